@@ -8,7 +8,7 @@ from . import html_extract, language_id, media, mixing, ngram_join, quality_clas
 from .common import read
 
 #: Shares of a round by source; every other source has one.
-SHARES, BLOCK = {"src0": 4, "src1": 3, "src2": 2}, 32
+SHARES, BLOCK = {"src0": 4, "src1": 3, "src2": 2}, 16
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
