@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Memo, crc32, crc_bucket, map_texts, sample_by_class, strings, text_groups
 
 STEMS, SHAPES, SIZE, NONZERO, REACH, HIDDEN = 1 << 14, 1 << 11, 32, 6, 2, 24
+#: Words that are pooled at once, which bounds the memory of long texts.
+AT_ONCE = 1 << 16
 SHAPE_RUNS = re.compile(r"(.)\1+")
 
 
@@ -70,13 +72,14 @@ class Pool:
         flat = np.fromiter((known[w] for x in words for w in x), np.int64, int(sizes.sum()))
         return flat // SHAPES, flat % SHAPES, np.repeat(np.arange(len(texts)), sizes)
 
-    def learn(self, texts: list[str]) -> None:
-        stem, form, doc = self.codes(texts)
-        own = self.stems[stem] + self.shapes[form]
-        for step in range(1, REACH + 1):
-            same = np.flatnonzero(doc[step:] == doc[:-step])
-            np.add.at(self.context, stem[same], own[same + step])
-            np.add.at(self.context, stem[same + step], own[same])
+    def learn(self, texts: list[str], at_once: int = 50) -> None:
+        for a in range(0, len(texts), at_once):  # a few texts at once bound the driver's memory
+            stem, form, doc = self.codes(texts[a : a + at_once])
+            own = self.stems[stem] + self.shapes[form]
+            for step in range(1, REACH + 1):
+                same = np.flatnonzero(doc[step:] == doc[:-step])
+                np.add.at(self.context, stem[same], own[same + step])
+                np.add.at(self.context, stem[same + step], own[same])
         self.context /= np.maximum(np.linalg.norm(self.context, axis=1, keepdims=True), 1e-6)
 
     def vectors(self, texts: list[str]) -> np.ndarray:
@@ -85,8 +88,8 @@ class Pool:
         size = np.maximum(n, 1)[:, None]
         out = np.zeros((len(texts), 2 * SIZE + 3))
         plain = np.zeros((len(texts), SIZE))
-        for a in range(0, len(doc), 1 << 17):  # so many words at once
-            part = slice(a, a + (1 << 17))
+        for a in range(0, len(doc), AT_ONCE):
+            part = slice(a, a + AT_ONCE)
             begins = np.flatnonzero(np.concatenate([[True], doc[part][1:] != doc[part][:-1]]))
             at = doc[part][begins]
             for table, code, target in ((self.context, stem, out[:, :SIZE]), (self.shapes, form, out[:, SIZE : 2 * SIZE]), (self.stems, stem, plain)):
@@ -140,10 +143,10 @@ class Classifier:
         y = np.array(labels, np.float64)
         self.prior = float(y.mean()) if len(y) else 0.5
         self.pool, self.network = Pool(), None
-        if 0 < self.prior < 1:
+        if len(y) and 0 < self.prior < 1:
             held = np.arange(len(y)) % 5 == 4
             self.pool.learn([t for t, h in zip(texts, held.tolist(), strict=True) if not h])
-            x = np.concatenate([self.pool.vectors(texts[a : a + 500]) for a in range(0, len(texts), 500)])
+            x = np.concatenate([self.pool.vectors(texts[a : a + 50]) for a in range(0, len(texts), 50)])
             fit = ~held if 0 < y[~held].mean() < 1 else held | True
             self.network = Network(x[fit], y[fit])
             if held.any():
