@@ -18,15 +18,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, kept, map_texts, prepare, strings, text_groups, written
+from .common import map_texts, prepare, text_groups, written
 from .connected import components
 
-#: Fixed sizes: counters of the sketch, bits of the filter, parts that they are merged in, members of a tile.
-COUNTERS, FILTER_BITS, PARTS, TILE = 1 << 20, 1 << 25, 16, 256
+#: Fixed sizes: counters of the sketch, bits of the filter, parts that they are merged in, members of a tile, bits of a cell.
+COUNTERS, FILTER_BITS, PARTS, TILE, CELL_BITS = 1 << 20, 1 << 25, 16, 256, 6
+CELLS = 1 << CELL_BITS
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -37,27 +38,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_memo() -> Memo:
-    return Memo(lambda words: [xxhash.xxh3_64_intdigest(w) for w in words], 400_000)
-
-
-def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of ``width``-word shingles; fewer words are one shingle, no words none."""
-    words = [t.encode("utf-8", "replace").lower().split() for t in texts]  # bytes: only A-Z and ASCII white space
-    known = kept(_word_memo).need(words)
-    out = []
-    for own in words:
-        if not own:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-        n = max(1, len(h) - width + 1)
-        code = np.full(n, min(len(h), width), np.uint64)
-        for k in range(min(len(h), width)):
-            code = mixed(code * A + h[k : k + n])
-        code.sort()
-        out.append(code[np.concatenate([[True], code[1:] != code[:-1]])])
-    return out
+#: Base of the words' polynomial hashes, its inverse, and a random number for each byte, modulo 2^64.
+BASE = np.uint64(0x9FB21C651E98DF25)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BYTES[0x41:0x5B] = BYTES[0x61:0x7B]  # A-Z count as a-z
+IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept for the next batch."""
+    if len(_POWERS.get("up", ())) < n:
+        for name, base in (("up", BASE), ("down", INVERSE)):
+            x = np.full(n, base, np.uint64)
+            x[0] = 1
+            _POWERS[name] = np.multiply.accumulate(x)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts, and the text that it is in; straight from the Arrow buffers."""
+    texts = pc.fill_null(texts, "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if not len(texts) or offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = ~IS_SPACE[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True  # no word goes on in the next text
+    begins = np.flatnonzero(inside & (first[:-1] | np.concatenate([[True], ~inside[:-1]])))
+    ends = np.flatnonzero(inside & (first[1:] | np.concatenate([~inside[1:], [True]]))) + 1
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * up[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[begins]) * down[begins]), np.searchsorted(offsets, begins, side="right") - 1
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's ``width``-word shingles, in one array with offsets.
+
+    A text with fewer words has one shingle of all of them, one without words none.
+    """
+    word, doc = word_hashes(texts)
+    n_words = np.bincount(doc, minlength=len(texts))
+    code = np.full(len(word), width, np.uint64)
+    for k in range(width):
+        code[: len(word) - k] = mixed(code[: len(word) - k] * A + word[k:])
+    begins = np.cumsum(n_words) - n_words
+    n = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
+    for i in np.flatnonzero((n_words > 0) & (n_words < width)).tolist():
+        short = np.full(1, n_words[i], np.uint64)
+        for w in word[begins[i] : begins[i] + n_words[i]]:
+            short = mixed(short * A + w)
+        code[begins[i]] = short[0]
+    keep = np.zeros(len(word), bool)
+    for a, m in zip(begins.tolist(), n.tolist(), strict=True):
+        own = code[a : a + m]
+        own.sort()
+        keep[a : a + m] = True
+        keep[a + 1 : a + m] = own[1:] != own[:-1]
+    return code[keep], np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=len(texts)))])
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -70,15 +112,24 @@ def pair_need(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def class_keys(sets: list[np.ndarray]) -> np.ndarray:
+def class_keys(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A 64-bit key of each set from its size, sum and exclusive or of mixed hashes; -1 for the empty set."""
-    out = np.empty(len(sets), np.int64)
-    for i, s in enumerate(sets):
-        m = mixed(s)
-        out[i] = -1 if not len(s) else int(xxhash.xxh3_64_intdigest(np.array([len(s), int(m.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(m))], np.uint64).tobytes())) >> 1
+    n = np.diff(offsets)
+    out, full = np.full(len(n), -1, np.int64), np.flatnonzero(n)
+    if len(full):
+        m, at = mixed(flat), offsets[full]
+        key = mixed(np.add.reduceat(m, at) ^ mixed(np.bitwise_xor.reduceat(m, at) + n[full].astype(np.uint64) * B))
+        out[full] = (key >> np.uint64(1)).astype(np.int64)
     return out
 
 
+def histograms(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each set's members by the first bits of their hashes: CELLS counts a set, which bound any overlap."""
+    n = np.diff(offsets)
+    cell = (flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(len(n)), n) * CELLS + cell, minlength=len(n) * CELLS).reshape(len(n), CELLS)
+
+
 # --- fixed-size summaries that all tasks fill and that are merged part by part -----------------
 
 
@@ -116,10 +167,8 @@ def gram_sketch(docs: DataFrame, width: int) -> np.ndarray:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for a, b in text_groups(batch.column(0)):
-                for s in shingle_sets(strings(batch.column(0).slice(a, b - a)), width):
-                    counts += 0 if not len(s) else np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 8 else 0
-                    if 0 < len(s) <= COUNTERS // 8:
-                        np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                flat, _ = shingle_sets(batch.column(0).slice(a, b - a), width)
+                counts += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield _parts(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
 
     prepare(docs.sparkSession)
@@ -156,7 +205,7 @@ def _key_and_id(k: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), k (key of its class) and the rarest n-grams that decide, of every row."""
+    """doc_id, n (size of the set), k (key of its class), cells (its histogram) and the rarest n-grams that decide."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # COUNTERS numbers
 
     def start():
@@ -164,21 +213,25 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             for a, b in text_groups(batch.column(1)):
-                sets = shingle_sets(strings(batch.column(1).slice(a, b - a)), width)
+                flat, offsets = shingle_sets(batch.column(1).slice(a, b - a), width)
+                n = np.diff(offsets)
+                rarity = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 first = []
-                for s in sets:
-                    p = len(s) - int(need(np.int64(len(s)), percent)) + 1 if len(s) else 0
-                    rarity = counts[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                    first.append(s[np.argsort(rarity, kind="stable")[:p]].view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+                for i, p in enumerate(np.where(n > 0, n - need(n, percent) + 1, 0).tolist()):
+                    own = slice(offsets[i], offsets[i + 1])
+                    first.append(flat[own][np.argsort(rarity[own], kind="stable")[:p]].view(np.int64))
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+                cells = histograms(flat, offsets)
+                small = cells.max(axis=1) < 65536  # larger counts have no histogram, and no bound
                 yield {
-                    "doc_id": batch.column(0).slice(a, b - a), "n": np.array([len(s) for s in sets], np.int64), "k": class_keys(sets),
-                    "prefix": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64())),
+                    "doc_id": batch.column(0).slice(a, b - a), "n": n.astype(np.int64), "k": class_keys(flat, offsets),
+                    "cells": pa.array([c.tobytes() if ok else b"" for c, ok in zip(cells.astype("<u2"), small.tolist(), strict=True)], pa.binary()),
+                    "prefix": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64())),
                 }
 
         return work
 
-    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), ["doc_id", "text"], "doc_id bigint, n bigint, k bigint, prefix array<bigint>", start)
+    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), ["doc_id", "text"], "doc_id bigint, n bigint, k bigint, cells binary, prefix array<bigint>", start)
 
 
 def sets_of(docs: DataFrame, width: int, keys: DataFrame) -> DataFrame:
@@ -196,11 +249,11 @@ def sets_of(docs: DataFrame, width: int, keys: DataFrame) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             for a, b in text_groups(batch.column(1)):
-                sets = shingle_sets(strings(batch.column(1).slice(a, b - a)), width)
-                k = class_keys(sets)
+                flat, ends = shingle_sets(batch.column(1).slice(a, b - a), width)
+                k = class_keys(flat, ends)
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(_in_filter(bits, _key_and_id(k, ids))).tolist()
-                parts = [sets[i].view(np.int64) for i in keep]
+                parts = [flat[ends[i] : ends[i + 1]].view(np.int64) for i in keep]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
                 yield {"k": k[keep], "cls": ids[keep].astype(np.int64), "grams": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))}
 
@@ -226,12 +279,7 @@ def tile_links(key: np.ndarray, left: np.ndarray, label: np.ndarray, grams: np.n
     if not len(owner):
         return []
     column = np.unique(column, return_inverse=True)[1]
-    rows = np.flatnonzero(left)
-    place = np.full(len(sizes), -1)
-    place[rows] = np.arange(len(rows))
-    least = pair_need(sizes[rows][:, None], sizes[None, :], percent)
-    able = (np.minimum(sizes[rows][:, None], sizes[None, :]) >= least) & (label[rows][:, None] != label[None, :])
-    able &= ~(left[None, :] & (rows[:, None] >= np.arange(len(sizes))[None, :]))  # a pair within the left side counts once
+    rows, able, least = pairs_to_check(left, label, sizes, percent)
     overlap = np.zeros(able.shape, np.float32)
     rest = np.bincount(owner, minlength=len(sizes)).astype(np.int64)
     by = np.argsort(column, kind="stable")
@@ -264,42 +312,96 @@ def tile_links(key: np.ndarray, left: np.ndarray, label: np.ndarray, grams: np.n
     return out
 
 
-def multiply(tiles: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of all tiles. Rows: tile, k, left, label, grams; a tile's rows are bounded by its making."""
+def by_tile(tiles: DataFrame, columns: list[str], schema: str, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """Deals rows out by their tile and gives ``work`` whole tiles: a table and the bounds of tiles in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            tile, key, left, label = (table.column(i).to_numpy() for i in range(4))
-            lists = table.column(4).combine_chunks() if isinstance(table.column(4), pa.ChunkedArray) else table.column(4)
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()
-            bounds = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]]))
-            links = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a > 1:
-                    links += tile_links(key[a:b], left[a:b], label[a:b], flat[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]).astype(np.int64), percent)
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        def done() -> pa.RecordBatch:
+            rows = pa.Table.from_batches([x for x in held if x.num_rows]).combine_chunks()
+            tile = rows.column(0).to_numpy()
+            return work(rows, np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1], [True]])))
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tile = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on in the next batch
-            if cut or held and held[-1].column(0)[-1].as_py() != tile[0]:
-                held.append(batch.slice(0, cut))
-                yield done([x for x in held if x.num_rows])
-                held = []
-            held.append(batch.slice(cut))
+            if batch.num_rows:
+                tile = batch.column(0).to_numpy()
+                cut = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on in the next batch
+                if cut or held and held[-1].column(0)[-1].as_py() != tile[0]:
+                    held.append(batch.slice(0, cut))
+                    if any(x.num_rows for x in held):
+                        yield done()
+                    held = []
+                held.append(batch.slice(cut))
         if held:
-            yield done(held)
+            yield done()
 
     prepare(tiles.sparkSession)
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tiles.select("tile", "k", "left", "label", "grams").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "a bigint, b bigint")
+    return tiles.select("tile", *columns).repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, schema)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.offsets.to_numpy(), lists.values.to_numpy()
+
+
+def pairs_to_check(left: np.ndarray, label: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left rows, which pairs of them with all rows are open, and the overlap that each pair needs."""
+    rows = np.flatnonzero(left)
+    least = pair_need(size[rows][:, None], size[None, :], percent)
+    able = (np.minimum(size[rows][:, None], size[None, :]) >= least) & (label[rows][:, None] != label[None, :])
+    able &= ~(left[None, :] & (rows[:, None] >= np.arange(len(size))[None, :]))  # a pair within the left side counts once
+    return rows, able, least
+
+
+def plausible(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows (tile, k, left, label) that have a partner in their tile by the bound of sizes and histograms.
+
+    The overlap of two sets is at most the sum of the smaller counts of each cell, so no link is lost.
+    Rows: tile, k, left, label, n, cells.
+    """
+
+    def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        left, label, size = (rows.column(i).to_numpy() for i in (2, 3, 4))
+        blank = np.full(CELLS, 65535, "<u2").tobytes()
+        cells = np.frombuffer(b"".join(c or blank for c in rows.column(5).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        keep = np.zeros(len(size), bool)
+        members = np.diff(bounds)
+        two = bounds[:-1][members == 2]
+        fits = np.minimum(cells[two], cells[two + 1]).sum(axis=1) >= pair_need(size[two], size[two + 1], percent)
+        fits &= (label[two] != label[two + 1]) & (left[two] | left[two + 1])
+        keep[two[fits]] = keep[two[fits] + 1] = True
+        for a, b in zip(bounds[:-1][members > 2].tolist(), bounds[1:][members > 2].tolist(), strict=True):
+            own, able, least = pairs_to_check(left[a:b], label[a:b], size[a:b], percent)
+            if able.any():
+                most = np.zeros(able.shape, np.int32)
+                for c in range(CELLS):
+                    x = cells[a:b, c]
+                    most += np.minimum(x[own][:, None], x[None, :])
+                able &= most >= least
+                keep[a + own[able.any(axis=1)]] = True
+                keep[a:b] |= able.any(axis=0)
+        tile, key = (rows.column(i).to_numpy() for i in (0, 1))
+        return pa.RecordBatch.from_pydict({"tile": pa.array(tile[keep]), "k": pa.array(key[keep]), "left": pa.array(left[keep]), "label": pa.array(label[keep])})
+
+    return by_tile(tiles, ["k", "left", "label", "n", "cells"], "tile bigint, k bigint, left boolean, label bigint", work)
+
+
+def multiply(tiles: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all tiles. Rows: tile, k, left, label, grams; a tile's rows are bounded by its making."""
+
+    def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        key, left, label = (rows.column(i).to_numpy() for i in (1, 2, 3))
+        offsets, flat = _flat(rows.column(4))
+        links = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if b - a > 1:
+                links += tile_links(key[a:b], left[a:b], label[a:b], flat[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]).astype(np.int64), percent)
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return by_tile(tiles, ["k", "left", "label", "grams"], "a bigint, b bigint", work)
 
 
 def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = TILE) -> DataFrame:
@@ -313,42 +415,53 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     by 64-bit hashes.
     """
     base = written(prefixes(docs, width, percent, gram_sketch(docs, width)), "prefixes")
-    sets = base.filter("n > 0 and doc_id is not null")
-    classes = written(sets.groupBy("k").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n")), "classes")
-    leaders = sets.join(classes.select("k", F.col("cls").alias("doc_id")), ["k", "doc_id"], "left_semi").dropDuplicates(["k"])
-    inc = leaders.select("k", F.explode("prefix").alias("g"))
+    sets = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "k")
+    classes = written(sets.groupBy("k").agg(F.min("doc_id").alias("cls"), F.max("n").alias("n")), "classes")
+    leaders = base.join(classes.select("k", F.col("cls").alias("doc_id")), ["k", "doc_id"], "left_semi").dropDuplicates(["k"])
+    leaders = written(leaders.select("k", "n", "cells", "prefix"), "leaders")
+    # A bucket: an n-gram and a class of sizes; sizes that may link are in the same class or in neighbours.
+    size = size_class("n", percent)
+    inc = leaders.select("k", F.explode("prefix").alias("g"), size.alias("size")).select("k", F.explode(F.array(F.xxhash64("g", "size"), F.xxhash64("g", F.col("size") + 1))).alias("g"))
     buckets = inc.groupBy("g").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("g", "pivot")
     members = written(inc.join(buckets, "g").select("pivot", "k").distinct(), "members")  # each pivot is a member, too
     groups = members.groupBy("pivot").count()
-    groups = groups.withColumn("cuts", F.greatest(F.lit(1), F.expr(f"(count + {tile - 1}) div {tile}")))
-    named = members.join(groups, "pivot").join(classes.select("k", "cls", "n"), "k")
-    active = named.select("k", "cls").distinct()
-    grams = written(sets_of(docs, width, active), "grams")
+    groups = groups.withColumn("cuts", F.expr(f"(count + {tile - 1}) div {tile}"))
+    traits = leaders.select("k", "n", "cells")
 
     # Round one: each part of a group, with its pivot in all parts.
+    named = members.join(groups, "pivot")
     inside = named.filter("k <> pivot").select("pivot", "k", F.expr("pmod(xxhash64(k), cuts)").alias("cut"))
     pivots = groups.select("pivot", F.col("pivot").alias("k"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut"))
     rows = inside.unionByName(pivots).select(F.xxhash64("pivot", "cut").alias("tile"), "k", F.lit(True).alias("left"), F.col("k").alias("label"))
-    links = written(multiply(rows.join(grams, "k"), percent), "tile-links")
+    open_ = written(plausible(rows.join(traits, "k"), percent), "plausible")
+    grams = written(sets_of(docs, width, classes.join(open_.select("k").distinct(), "k", "left_semi")), "grams")
+    links = written(multiply(open_.join(grams, "k"), percent), "tile-links")
     roots = written(components(links), "roots")
 
     # Round two: groups of several parts whose members aren't all connected.
-    wide = written(
-        named.filter("cuts > 1").join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("pivot", "k", "n", F.coalesce("root", "k").alias("label")), "wide"
-    )
-    across = _across(wide, percent, tile)
+    wide = named.filter("cuts > 1").select("pivot", "k").join(traits.select("k", "n"), "k").join(roots.select(F.col("node").alias("k"), "root"), "k", "left")
+    across = _across(written(wide.select("pivot", "k", "n", F.coalesce("root", "k").alias("label")), "wide"), percent, tile)
     if across is not None:
-        more = multiply(across.join(grams, "k"), percent)
-        roots = written(components(links.unionByName(more)), "roots")
+        more = written(plausible(across.join(traits, "k"), percent), "plausible")
+        missing = classes.join(more.select("k").distinct(), "k", "left_semi").join(grams, "k", "left_anti")
+        if not missing.isEmpty():
+            grams = grams.unionByName(written(sets_of(docs, width, missing), "grams"))
+        roots = written(components(links.unionByName(multiply(more.join(grams, "k"), percent))), "roots")
 
     found = classes.join(roots.select(F.col("node").alias("k"), "root"), "k", "left").select("k", "cls", F.coalesce("root", "k").alias("root"))
     least = found.groupBy("root").agg(F.min("cls").alias("component_id"))
     named_classes = found.join(least, "root").select("k", "component_id")
-    out = base.drop("prefix").join(named_classes, "k", "left")
+    out = base.select("doc_id", "n", "k").join(named_classes, "k", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("bigint")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def size_class(n: str, percent: int) -> Column:
+    """Number of a step on a logarithmic scale: sizes that may link are at most one step apart."""
+    step = math.log(100 / percent) * 1.000001 if percent < 100 else math.log(2)
+    return F.floor(F.log(n) / step)
+
+
 def _across(wide: DataFrame, percent: int, tile: int) -> DataFrame | None:
     """Tiles between the members outside a group's largest component and all of the group, or None.
 
@@ -358,8 +471,7 @@ def _across(wide: DataFrame, percent: int, tile: int) -> DataFrame | None:
     top = parts.groupBy("pivot").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     if top.isEmpty():
         return None
-    step = math.log(100 / percent) if percent < 100 else math.log(2)
-    open_ = wide.join(top.select("pivot", "top"), "pivot").withColumn("size", F.floor(F.log("n") / step + 1e-9))
+    open_ = wide.join(top.select("pivot", "top"), "pivot").withColumn("size", size_class("n", percent))
     every = open_.groupBy("pivot", "size").count().withColumn("cuts", F.expr(f"(count + {tile - 1}) div {tile}"))
     rest = open_.filter("label <> top")
     few = rest.groupBy("pivot", "size").count().select("pivot", F.col("size").alias("rest_size"), F.expr(f"(count + {tile - 1}) div {tile}").alias("rest_cuts"))
@@ -371,5 +483,3 @@ def _across(wide: DataFrame, percent: int, tile: int) -> DataFrame | None:
     left = rest.withColumnRenamed("size", "rest_size").join(meets, ["pivot", "rest_size"]).select("k", "label", "pivot", "size", one("cuts").alias("cut"), "rest_size", F.expr("pmod(xxhash64(k, 1), rest_cuts)").alias("rest_cut"))
     rows = left.select(name, "k", F.lit(True).alias("left"), "label").union(right.select(name, "k", F.lit(False).alias("left"), "label"))
     return rows.groupBy("tile", "k", "label").agg(F.max("left").alias("left"))
-
-

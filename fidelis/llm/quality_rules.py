@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo, kept, map_texts, ragged, strings, text_groups, written
 
+#: Groups of language and script whose bands are broadcast, at most.
+MOST_BANDS = 10_000
 SPACES, SYMBOLS, WINDOW = " \t\n\v\f\r", "#*$%&|<>", 5
-#: Words are cut at these bytes only.
+#: Scripts by ranges of code points (fixed values).
 SCRIPTS = {
     "Latin": (0x41, 0x24F), "Greek": (0x370, 0x3FF), "Cyrillic": (0x400, 0x52F), "Hebrew": (0x590, 0x5FF), "Arabic": (0x600, 0x6FF),
     "Indic": (0x900, 0xDFF), "Thai": (0xE00, 0xE7F), "Kana": (0x3040, 0x30FF), "Han": (0x3400, 0x9FFF), "Hangul": (0xAC00, 0xD7AF),
@@ -159,6 +161,8 @@ def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", widt
     columns = ["cpt_low", "cpt_high", "byte_high", "entropy_low"]
     by_script = bands(["script"])  # as many rows as there are scripts, at most
     by_lang = bands(["lang", "script"]).filter(F.col("lang").isNotNull()).select("lang", "script", F.struct(*columns).alias("own"))
+    if by_lang.limit(MOST_BANDS + 1).count() <= MOST_BANDS:  # languages are few; a column of anything else takes the shuffle
+        by_lang = F.broadcast(by_lang)
     rows = metrics.join(by_lang, ["lang", "script"], "left").join(F.broadcast(by_script.select("script", F.struct(*columns).alias("general"))), "script", "left")
     band = F.coalesce("own", "general")
     inside = F.col("chars_per_token").between(band["cpt_low"], band["cpt_high"]) & (F.col("byte_share") <= band["byte_high"]) & (F.col("token_entropy") >= band["entropy_low"])

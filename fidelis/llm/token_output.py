@@ -29,6 +29,8 @@ from .common import Memo, crc32, file_system, kept, map_texts, prepare, shared_d
 #: Fixed values of the seekable format.
 SKIPPABLE, INDEX_FRAME, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
 FRAME_BYTES, SHARD_BYTES = 1 << 20, 256 << 20
+#: Marks that form one pre-token behind letters. The apostrophe isn't one: contractions begin with it.
+MARKS = ".,;:!?*#$%&|<>=+-_/()[]{}@~"
 #: Documents of a shard, in order: id, 1 if the id is null, frame, bytes before it in the frame, tokens.
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("frame", "<u4"), ("at", "<u8"), ("tokens", "<u8")])
 
@@ -36,7 +38,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("null", "<u4"), ("frame", "<u4"), ("at", "
 class ShardWriter:
     """Writes one shard; ``close`` gives it its final name, so that a reader never sees a torn file."""
 
-    def __init__(self, folder: str, level: int = 3):
+    def __init__(self, folder: str, level: int = 1):
         self.fs, top = file_system(folder)
         self.fs.create_dir(top, recursive=True)
         self.name = f"{uuid.uuid4().hex}.ids.zst"
@@ -120,10 +122,28 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = byte_bpe.load(path)["special"]
         self.special, self.ids = byte_bpe.special_pattern(special), {k: struct.pack("<I", v) for k, v in special.items()}
-        self.memo = Memo(self.learn)
+        self.memo = Memo(self.learn, 1_100_000)
+        symbols = {b: c for c, b in byte_bpe.byte_symbols().items()}
+        self.symbols, self.space = {b: symbols[b] for b in range(256)}, symbols[0x20]
 
     def learn(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([byte_bpe.spelled(c) for c in chunks], add_special_tokens=False)]
+        """Ids of chunks. Letters behind a space are one pre-token, marks behind them another: these go straight
+        to the library's model in that model's byte symbols. Other chunks take the whole way through the library."""
+        model, out, others, marks = self.tokenizer.model.tokenize, [b""] * len(chunks), [], {"": b""}
+        for i, c in enumerate(chunks):
+            letters = c.rstrip(MARKS)
+            if letters.isalpha() and not isinstance(c, byte_bpe.Inner):
+                word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
+                tail = c[len(letters) :]
+                if tail not in marks:
+                    marks[tail] = array("I", [t.id for t in model(tail)]).tobytes()
+                out[i] = array("I", [t.id for t in model(self.space + word)]).tobytes() + marks[tail]
+            else:
+                others.append(i)
+        found = self.tokenizer.encode_batch_fast([byte_bpe.spelled(chunks[i]) for i in others], add_special_tokens=False)
+        for i, e in zip(others, found, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = [self.special.findall(t) if any(m in t for m in self.ids) else [] for t in texts]

@@ -4,20 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import packets as P
 from ..functions.addresses import label_of_file, label_of_folder
 
-PACKETS = T.StructType.fromDDL(
-    "`Timestamp` double, `Src IP` string, `Dst IP` string, `Src Port` int, `Dst Port` int, `Protocol` string, `Packet Size` int, pkt_len int, TTL int, `IP ID` int, `IP Type of Service` int, `TCP Window Size` int, `TCP Data Offset` int, `TCP Flags` string"
-)
-FLOWS = T.StructType.fromDDL("`Src IP` string, `Dst IP` string, `Src Port` int, `Dst Port` int, Protocol string, `Total Packets` bigint, `Total Bytes` bigint")
-BYTE_SEQUENCES = T.StructType.fromDDL("Data string, Hash string, Filename string, OrigLen int")
-INSTRUCTIONS = T.StructType.fromDDL("instruction string, output string")
+PACKETS = "`Timestamp` double, `Src IP` string, `Dst IP` string, `Src Port` int, `Dst Port` int, `Protocol` string, `Packet Size` int, pkt_len int, TTL int, `IP ID` int, `IP Type of Service` int, `TCP Window Size` int, `TCP Data Offset` int, `TCP Flags` string"
+FLOWS = "`Src IP` string, `Dst IP` string, `Src Port` int, `Dst Port` int, Protocol string, `Total Packets` bigint, `Total Bytes` bigint"
+BYTE_SEQUENCES = "Data string, Hash string, Filename string, OrigLen int"
+INSTRUCTIONS = "instruction string, output string"
 
 
-def csv(spark: SparkSession, glob: str, schema: T.StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
+def csv(spark: SparkSession, glob: str, schema: str | None = None, encoding: str = "UTF-8") -> DataFrame:
     """All CSV files of a glob as one scan, with ``file``. Empty and unreadable files give no rows.
 
     Give a schema for large inputs: without one Spark reads the files once more to infer it.
