@@ -26,8 +26,10 @@ from .common import map_texts, prepare, text_groups, written
 from .connected import components
 
 #: Fixed sizes: counters of the sketch, bits of the filter, parts that they are merged in, members of a tile, bits of a cell.
-COUNTERS, FILTER_BITS, PARTS, TILE, CELL_BITS = 1 << 20, 1 << 25, 16, 256, 6
+COUNTERS, FILTER_BITS, PARTS, TILE, CELL_BITS = 1 << 19, 1 << 25, 16, 256, 6
 CELLS = 1 << CELL_BITS
+#: Keys of classes that a task remembers, so that a class gives its n-grams once a task.
+SEEN = 1 << 18
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -205,29 +207,36 @@ def _key_and_id(k: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), k (key of its class), cells (its histogram) and the rarest n-grams that decide."""
+    """doc_id, n (size of the set), k (key of its class), cells (its histogram) and the rarest n-grams that decide.
+
+    Of the copies that a task sees, the first gives its histogram and n-grams; the others have nulls there.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # COUNTERS numbers
 
     def start():
         counts = shared.value
+        seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             for a, b in text_groups(batch.column(1)):
                 flat, offsets = shingle_sets(batch.column(1).slice(a, b - a), width)
-                n = np.diff(offsets)
+                n, ids, k = np.diff(offsets), batch.column(0).slice(a, b - a), class_keys(flat, offsets)
                 rarity = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                first = []
-                for i, p in enumerate(np.where(n > 0, n - need(n, percent) + 1, 0).tolist()):
-                    own = slice(offsets[i], offsets[i + 1])
-                    first.append(flat[own][np.argsort(rarity[own], kind="stable")[:p]].view(np.int64))
-                starts = np.concatenate([[0], np.cumsum([len(x) for x in first])])
                 cells = histograms(flat, offsets)
                 small = cells.max(axis=1) < 65536  # larger counts have no histogram, and no bound
-                yield {
-                    "doc_id": batch.column(0).slice(a, b - a), "n": n.astype(np.int64), "k": class_keys(flat, offsets),
-                    "cells": pa.array([c.tobytes() if ok else b"" for c, ok in zip(cells.astype("<u2"), small.tolist(), strict=True)], pa.binary()),
-                    "prefix": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64())),
-                }
+                traits, first = [], []
+                for i, (p, key, known) in enumerate(zip((n - need(n, percent) + 1).tolist(), k.tolist(), ids.is_valid().to_pylist(), strict=True)):
+                    if not known or not n[i] or key in seen:
+                        traits.append(None)
+                        first.append(None)
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    own = slice(offsets[i], offsets[i + 1])
+                    traits.append(cells[i].astype("<u2").tobytes() if small[i] else b"")
+                    first.append(flat[own][np.argsort(rarity[own], kind="stable")[:p]].view(np.int64))
+                yield {"doc_id": ids, "n": n.astype(np.int64), "k": k, "cells": pa.array(traits, pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))}
 
         return work
 
@@ -417,16 +426,18 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     base = written(prefixes(docs, width, percent, gram_sketch(docs, width)), "prefixes")
     sets = base.filter("n > 0 and doc_id is not null").select("doc_id", "n", "k")
     classes = written(sets.groupBy("k").agg(F.min("doc_id").alias("cls"), F.max("n").alias("n")), "classes")
-    leaders = base.join(classes.select("k", F.col("cls").alias("doc_id")), ["k", "doc_id"], "left_semi").dropDuplicates(["k"])
-    leaders = written(leaders.select("k", "n", "cells", "prefix"), "leaders")
-    # A bucket: an n-gram and a class of sizes; sizes that may link are in the same class or in neighbours.
-    size = size_class("n", percent)
-    inc = leaders.select("k", F.explode("prefix").alias("g"), size.alias("size")).select("k", F.explode(F.array(F.xxhash64("g", "size"), F.xxhash64("g", F.col("size") + 1))).alias("g"))
-    buckets = inc.groupBy("g").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("g", "pivot")
-    members = written(inc.join(buckets, "g").select("pivot", "k").distinct(), "members")  # each pivot is a member, too
+    leaders = base.filter("prefix is not null")  # each class in a few rows
+    # N-grams of one class only go first; then each n-gram falls apart by classes of sizes: sizes that
+    # may link are in the same one or in neighbours, so each row is in the bucket of its own and the next.
+    inc = leaders.select("k", size_class("n", percent).cast("int").alias("size"), F.explode("prefix").alias("g"))
+    shared = inc.groupBy("g").agg(F.min("k").alias("low"), F.max("k").alias("high")).filter("low <> high").select("g")
+    near = written(inc.join(shared, "g", "left_semi"), "shared-grams")
+    near = near.select("k", F.explode(F.array(F.xxhash64("g", "size"), F.xxhash64("g", F.col("size") + 1))).alias("g"))
+    buckets = near.groupBy("g").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("g", "pivot")
+    members = written(near.join(buckets, "g").select("pivot", "k").distinct(), "members")  # each pivot is a member, too
     groups = members.groupBy("pivot").count()
     groups = groups.withColumn("cuts", F.expr(f"(count + {tile - 1}) div {tile}"))
-    traits = leaders.select("k", "n", "cells")
+    traits = leaders.groupBy("k").agg(F.max("n").alias("n"), F.max("cells").alias("cells"))
 
     # Round one: each part of a group, with its pivot in all parts.
     named = members.join(groups, "pivot")
