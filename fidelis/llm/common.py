@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, so a batch holds few of them.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch. Texts may be long, so a batch holds few of them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Text bytes that a task works on at once; a single longer text is a group of its own.
 GROUP_BYTES = 4_000_000
 
@@ -26,6 +26,7 @@ GROUP_BYTES = 4_000_000
 def prepare(spark: SparkSession) -> None:
     """Sets the size of Arrow batches for texts; called by each operator that ships texts to Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

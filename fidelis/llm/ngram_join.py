@@ -7,8 +7,9 @@ order gives the same result. Classes that share such an n-gram with the same sma
 group, and a group is cut into tiles of bounded size. In a tile the incidence of documents and the
 n-grams that two of them share is multiplied in blocks of columns; overlap counts add up, and pairs
 whose sizes can't reach the threshold any more are discarded. Tiles emit a spanning forest of their
-links. Where a group has several tiles, members that are not yet connected are multiplied across
-tiles in a second round, so that no link between components is lost and no group's pairs are emitted.
+links. The first round takes each class in one of its groups only, which connects most copies. In
+the second, all groups with members that are not yet connected are multiplied, across tiles too, so
+that no link between components is lost and no group's pairs are emitted.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ COUNTERS, FILTER_BITS, PARTS, TILE, CELL_BITS = 1 << 19, 1 << 25, 16, 256, 6
 CELLS = 1 << CELL_BITS
 #: Keys of classes that a task remembers, so that a class gives its n-grams once a task.
 SEEN = 1 << 18
+#: Text bytes that are hashed at once; each takes about 50 bytes meanwhile.
+AT_ONCE = 1_000_000
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -168,7 +171,7 @@ def gram_sketch(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for a, b in text_groups(batch.column(0)):
+            for a, b in text_groups(batch.column(0), AT_ONCE):
                 flat, _ = shingle_sets(batch.column(0).slice(a, b - a), width)
                 counts += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield _parts(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
@@ -218,7 +221,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
         seen: set[int] = set()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            for a, b in text_groups(batch.column(1)):
+            for a, b in text_groups(batch.column(1), AT_ONCE):
                 flat, offsets = shingle_sets(batch.column(1).slice(a, b - a), width)
                 n, ids, k = np.diff(offsets), batch.column(0).slice(a, b - a), class_keys(flat, offsets)
                 rarity = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -244,7 +247,10 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
 
 
 def sets_of(docs: DataFrame, width: int, keys: DataFrame) -> DataFrame:
-    """k and the whole set of the classes in ``keys`` (k, cls): only the row with doc_id cls gives it."""
+    """k and the whole set of the classes in ``keys`` (k, cls): the row with doc_id cls gives it.
+
+    Some other classes may be there, too, and a class may be there twice if its document is.
+    """
     wanted = keys.select(F.col("k").cast("bigint"), F.col("cls").cast("bigint"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,20 +263,19 @@ def sets_of(docs: DataFrame, width: int, keys: DataFrame) -> DataFrame:
         bits = shared.value
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            for a, b in text_groups(batch.column(1)):
+            for a, b in text_groups(batch.column(1), AT_ONCE):
                 flat, ends = shingle_sets(batch.column(1).slice(a, b - a), width)
                 k = class_keys(flat, ends)
                 ids = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(_in_filter(bits, _key_and_id(k, ids))).tolist()
                 parts = [flat[ends[i] : ends[i + 1]].view(np.int64) for i in keep]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-                yield {"k": k[keep], "cls": ids[keep].astype(np.int64), "grams": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))}
+                yield {"k": k[keep], "grams": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else [], pa.int64()))}
 
         return work
 
     rows = docs.filter(F.col("doc_id").isNotNull()).selectExpr("cast(doc_id as bigint) doc_id", "text")
-    found = map_texts(rows, ["doc_id", "text"], "k bigint, cls bigint, grams array<bigint>", start)
-    return found.join(wanted, ["k", "cls"], "left_semi").dropDuplicates(["k"]).select("k", "grams")
+    return map_texts(rows, ["doc_id", "text"], "k bigint, grams array<bigint>", start)
 
 
 # --- tiles ---------------------------------------------------------------------------------
@@ -435,13 +440,12 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     near = near.select("k", F.explode(F.array(F.xxhash64("g", "size"), F.xxhash64("g", F.col("size") + 1))).alias("g"))
     buckets = near.groupBy("g").agg(F.min("k").alias("pivot"), F.max("k").alias("other")).filter("pivot <> other").select("g", "pivot")
     members = written(near.join(buckets, "g").select("pivot", "k").distinct(), "members")  # each pivot is a member, too
-    groups = members.groupBy("pivot").count()
-    groups = groups.withColumn("cuts", F.expr(f"(count + {tile - 1}) div {tile}"))
     traits = leaders.groupBy("k").agg(F.max("n").alias("n"), F.max("cells").alias("cells"))
 
-    # Round one: each part of a group, with its pivot in all parts.
-    named = members.join(groups, "pivot")
-    inside = named.filter("k <> pivot").select("pivot", "k", F.expr("pmod(xxhash64(k), cuts)").alias("cut"))
+    # Round one: each class in its first group, each part of a group with its pivot.
+    once = members.groupBy("k").agg(F.min("pivot").alias("pivot"))
+    groups = once.groupBy("pivot").count().withColumn("cuts", F.expr(f"(count + {tile - 1}) div {tile}"))
+    inside = once.filter("k <> pivot").join(groups, "pivot").select("pivot", "k", F.expr("pmod(xxhash64(k), cuts)").alias("cut"))
     pivots = groups.select("pivot", F.col("pivot").alias("k"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1)).alias("cut"))
     rows = inside.unionByName(pivots).select(F.xxhash64("pivot", "cut").alias("tile"), "k", F.lit(True).alias("left"), F.col("k").alias("label"))
     open_ = written(plausible(rows.join(traits, "k"), percent), "plausible")
@@ -449,8 +453,8 @@ def ngram_join(docs: DataFrame, width: int = 3, percent: int = 90, tile: int = T
     links = written(multiply(open_.join(grams, "k"), percent), "tile-links")
     roots = written(components(links), "roots")
 
-    # Round two: groups of several parts whose members aren't all connected.
-    wide = named.filter("cuts > 1").select("pivot", "k").join(traits.select("k", "n"), "k").join(roots.select(F.col("node").alias("k"), "root"), "k", "left")
+    # Round two: all groups whose members aren't all connected.
+    wide = members.join(traits.select("k", "n"), "k").join(roots.select(F.col("node").alias("k"), "root"), "k", "left")
     across = _across(written(wide.select("pivot", "k", "n", F.coalesce("root", "k").alias("label")), "wide"), percent, tile)
     if across is not None:
         more = written(plausible(across.join(traits, "k"), percent), "plausible")

@@ -56,7 +56,7 @@ class Pool:
 
     def restore(self) -> None:
         self.stems, self.shapes = index_vectors(STEMS, self.seed), index_vectors(SHAPES, self.seed + 1)
-        self.memo = Memo(lambda words: [buckets(w) for w in words], 300_000)
+        self.memo = Memo(lambda words: [buckets(w) for w in words], 100_000)
 
     def __getstate__(self):
         return self.seed, self.context

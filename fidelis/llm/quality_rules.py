@@ -78,7 +78,7 @@ class Fertility:
 
         self.library = SentencePieceProcessor(model_file=path)
         self.byte = np.array([self.library.is_byte(i) for i in range(self.library.get_piece_size())])
-        self.memo = Memo(self.learn, 300_000)
+        self.memo = Memo(self.learn, 100_000)
 
     def learn(self, words: list[bytes]) -> list[tuple[bytes, int]]:
         text = [w.decode() for w in words]
