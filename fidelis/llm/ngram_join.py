@@ -29,6 +29,8 @@ from .connected import components
 #: Fixed sizes: counters of the sketch, bits of the filter, parts that they are merged in, members of a tile, bits of a cell.
 COUNTERS, FILTER_BITS, PARTS, TILE, CELL_BITS = 1 << 19, 1 << 25, 16, 256, 6
 CELLS = 1 << CELL_BITS
+#: Sets of this size or more have histograms of so many cells instead, as few would say little of them.
+LONG, FINE = 1024, 16 * CELLS
 #: Keys of classes that a task remembers, so that a class gives its n-grams once a task.
 SEEN = 1 << 18
 #: Text bytes that are hashed at once; each takes about 50 bytes meanwhile.
@@ -128,11 +130,14 @@ def class_keys(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def histograms(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each set's members by the first bits of their hashes: CELLS counts a set, which bound any overlap."""
-    n = np.diff(offsets)
-    cell = (flat >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    return np.bincount(np.repeat(np.arange(len(n)), n) * CELLS + cell, minlength=len(n) * CELLS).reshape(len(n), CELLS)
+def histogram(own: np.ndarray) -> bytes:
+    """A set's members by the first bits of their hashes: CELLS counts, or FINE for a long set, that bound any overlap.
+
+    Empty if a count is too large; then there is no bound.
+    """
+    cells = FINE if len(own) >= LONG else CELLS
+    counts = np.bincount((own >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    return counts.astype("<u2").tobytes() if counts.max() < 65536 else b""
 
 
 # --- fixed-size summaries that all tasks fill and that are merged part by part -----------------
@@ -225,8 +230,6 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
                 flat, offsets = shingle_sets(batch.column(1).slice(a, b - a), width)
                 n, ids, k = np.diff(offsets), batch.column(0).slice(a, b - a), class_keys(flat, offsets)
                 rarity = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                cells = histograms(flat, offsets)
-                small = cells.max(axis=1) < 65536  # larger counts have no histogram, and no bound
                 traits, first = [], []
                 for i, (p, key, known) in enumerate(zip((n - need(n, percent) + 1).tolist(), k.tolist(), ids.is_valid().to_pylist(), strict=True)):
                     if not known or not n[i] or key in seen:
@@ -237,7 +240,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> D
                         seen.clear()
                     seen.add(key)
                     own = slice(offsets[i], offsets[i + 1])
-                    traits.append(cells[i].astype("<u2").tobytes() if small[i] else b"")
+                    traits.append(histogram(flat[own]))
                     first.append(flat[own][np.argsort(rarity[own], kind="stable")[:p]].view(np.int64))
                 yield {"doc_id": ids, "n": n.astype(np.int64), "k": k, "cells": pa.array(traits, pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))}
 
@@ -374,29 +377,39 @@ def plausible(tiles: DataFrame, percent: int) -> DataFrame:
     """Rows (tile, k, left, label) that have a partner in their tile by the bound of sizes and histograms.
 
     The overlap of two sets is at most the sum of the smaller counts of each cell, so no link is lost.
+    Two long sets are compared by their finer cells, too.
     Rows: tile, k, left, label, n, cells.
     """
 
     def work(rows: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
         left, label, size = (rows.column(i).to_numpy() for i in (2, 3, 4))
-        blank = np.full(CELLS, 65535, "<u2").tobytes()
-        cells = np.frombuffer(b"".join(c or blank for c in rows.column(5).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        kept = [np.frombuffer(c, "<u2").astype(np.int32) for c in rows.column(5).to_pylist()]
+        blank = np.full(CELLS, 65535, np.int32)
+        cells = np.stack([c.reshape(CELLS, -1).sum(axis=1) if len(c) else blank for c in kept])
         keep = np.zeros(len(size), bool)
         members = np.diff(bounds)
         two = bounds[:-1][members == 2]
         fits = np.minimum(cells[two], cells[two + 1]).sum(axis=1) >= pair_need(size[two], size[two + 1], percent)
         fits &= (label[two] != label[two + 1]) & (left[two] | left[two + 1])
-        keep[two[fits]] = keep[two[fits] + 1] = True
-        for a, b in zip(bounds[:-1][members > 2].tolist(), bounds[1:][members > 2].tolist(), strict=True):
+        small = [(i, i + 2) for i in two[fits].tolist()]
+        large = zip(bounds[:-1][members > 2].tolist(), bounds[1:][members > 2].tolist(), strict=True)
+        for a, b in [*small, *large]:
             own, able, least = pairs_to_check(left[a:b], label[a:b], size[a:b], percent)
-            if able.any():
+            if not able.any():
+                continue
+            if b - a > 2:
                 most = np.zeros(able.shape, np.int32)
                 for c in range(CELLS):
                     x = cells[a:b, c]
                     most += np.minimum(x[own][:, None], x[None, :])
                 able &= most >= least
-                keep[a + own[able.any(axis=1)]] = True
-                keep[a:b] |= able.any(axis=0)
+            fine = np.fromiter((len(c) == FINE for c in kept[a:b]), bool, b - a)
+            for i in np.flatnonzero(fine[own] & able.any(axis=1)).tolist():
+                at = np.flatnonzero(able[i] & fine)
+                if len(at):
+                    able[i, at] = np.minimum(kept[a + own[i]], np.stack([kept[a + j] for j in at.tolist()])).sum(axis=1) >= least[i, at]
+            keep[a + own[able.any(axis=1)]] = True
+            keep[a:b] |= able.any(axis=0)
         tile, key = (rows.column(i).to_numpy() for i in (0, 1))
         return pa.RecordBatch.from_pydict({"tile": pa.array(tile[keep]), "k": pa.array(key[keep]), "left": pa.array(left[keep]), "label": pa.array(label[keep])})
 
