@@ -3,8 +3,9 @@
 A public vocabulary is a yardstick for text: where it needs many tokens for few characters, falls
 back to bytes, or repeats few tokens, the text is unlike its language. For every document the
 operator measures characters per token, the share of byte pieces and the entropy of its tokens
-(relative to the most it could be). Bands come from all documents of the same language (of the
-same script where the language is null or rare): the median and spread of each measure.
+(relative to the most it could be). Bands come from the median and spread of each measure in four
+nested groups: documents of the same language and script, of the language, of the script, and all.
+The fewer documents a group has, the more its band is that of the next one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, kept, map_texts, ragged, strings, text_groups, written
@@ -135,40 +136,71 @@ def text_metrics(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> Da
 
 
 def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", width: float = 6.0, least_spread: float = 0.03, least_tokens: int = 50, least_docs: int = 200) -> DataFrame:
-    """Counts, base_failed and kept of every row of ``docs``, with the measures and the band's group.
-
-    A document stays if it passes the base rules and, having ``least_tokens`` tokens or more, lies in
-    its group's bands: characters per token within ``width`` spreads of the median on both sides,
-    entropy not more than that below, byte pieces not more than that above (and 5 % are always
-    allowed). A spread is the quartile range / 1.349, but ``least_spread`` of the median at least, so
-    that a large group of copies can't narrow a band to nothing. Groups of fewer than ``least_docs``
-    documents use their script's bands; a rare script has none, and its documents pass.
+    """Counts, base_failed and kept of every row of ``docs``, with the measures and the document's script.
+
+    A document stays if it passes the base rules and lies in its group's bands: characters per token
+    within ``width`` spreads of the median on both sides, entropy not more than that below, byte
+    pieces not more than that above (and 5 % are always allowed). A spread is the quartile range /
+    1.349, but ``least_spread`` of the median at least, so that a large group of copies can't narrow
+    a band to nothing. Documents of n < ``least_tokens`` tokens don't shape bands, as their measures
+    scatter; their own bands are wider by sqrt(least_tokens / n), and as many byte pieces are always
+    allowed as to a document of ``least_tokens``.
+
+    A group of n documents has the median and spread of a mixture of itself and the next group, with
+    weight n / (n + k). k is ``least_docs`` for a language within its script and a script within all,
+    and the language's documents (``least_docs`` at least) for a script within a language: a script
+    that is rare in its language is measured by the language. Every document has a band; where the
+    table has short documents only, those give it.
 
     Null texts are without words and fail the base rules. Null languages go by script. Equal texts in
     the same language get equal verdicts. Empty tables give empty results; other columns are ignored.
     """
     metrics = written(text_metrics(docs, vocabulary), "fertility")
     long = metrics.filter(F.col("n_tokens") >= least_tokens)
-    quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in ("chars_per_token", "byte_share", "token_entropy")]
-
-    def bands(keys: list[str]) -> DataFrame:
-        out = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *quartiles).filter(F.col("n") >= least_docs)
-        mid = lambda c: F.col(c)[1]
-        far = lambda c: width * F.greatest((F.col(c)[2] - F.col(c)[0]) / 1.349, least_spread * F.col(c)[1])
-        cpt, byte, entropy = "chars_per_token", "byte_share", "token_entropy"
-        return out.select(*keys, (mid(cpt) - far(cpt)).alias("cpt_low"), (mid(cpt) + far(cpt)).alias("cpt_high"), F.greatest(mid(byte) + far(byte), F.lit(0.05)).alias("byte_high"), (mid(entropy) - far(entropy)).alias("entropy_low"))
-
-    columns = ["cpt_low", "cpt_high", "byte_high", "entropy_low"]
-    by_script = bands(["script"])  # as many rows as there are scripts, at most
-    by_lang = bands(["lang", "script"]).filter(F.col("lang").isNotNull()).select("lang", "script", F.struct(*columns).alias("own"))
-    if by_lang.limit(MOST_BANDS + 1).count() <= MOST_BANDS:  # languages are few; a column of anything else takes the shuffle
+    measures = ("chars_per_token", "byte_share", "token_entropy")
+
+    def group(keys: list[str], name: str) -> DataFrame:
+        """Documents, medians and spreads of the groups by ``keys``, in the struct ``name``."""
+        quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(c) for c in measures]
+        out = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *quartiles)
+        return out.select(*keys, F.struct("n", *_centres(measures)).alias(name))
+
+    def mixed(name: str, parent: str, k: Column) -> Column:
+        """Medians and spreads of ``name`` mixed with those of ``parent``: the moments of a mixture."""
+        w = F.col(f"{name}.n") / (F.col(f"{name}.n") + k)
+        parts = []
+        for c in measures:
+            a, b = F.col(f"{name}.{c}"), F.col(f"{parent}.{c}")
+            far = a["mid"] - b["mid"]
+            spread = F.sqrt(w * a["spread"] * a["spread"] + (1 - w) * b["spread"] * b["spread"] + w * (1 - w) * far * far)
+            parts.append(F.struct((w * a["mid"] + (1 - w) * b["mid"]).alias("mid"), spread.alias("spread")).alias(c))
+        return F.when(F.col(f"{name}.n").isNotNull(), F.struct(*parts)).otherwise(F.struct(*[F.col(f"{parent}.{c}").alias(c) for c in measures]))
+
+    any_length = lambda c: F.coalesce(F.percentile_approx(F.when(F.col("n_tokens") >= least_tokens, F.col(c)), [0.25, 0.5, 0.75], 1000), F.percentile_approx(F.when(F.col("n_tokens") > 0, F.col(c)), [0.25, 0.5, 0.75], 1000))
+    whole = metrics.agg(*[any_length(c).alias(c) for c in measures]).select(F.struct(*_centres(measures)).alias("whole"))  # one row
+    by_script = metrics.select("script").distinct().join(group(["script"], "own"), "script", "left").join(F.broadcast(whole))
+    by_script = by_script.select("script", mixed("own", "whole", F.lit(least_docs)).alias("general"))  # as many rows as there are scripts, at most
+    by_lang = group(["lang", "script"], "both").filter(F.col("lang").isNotNull())
+    langs = group(["lang"], "own")
+    pairs = metrics.filter(F.col("lang").isNotNull()).select("lang", "script").distinct()
+    by_lang = pairs.join(langs, "lang").join(by_lang, ["lang", "script"], "left").join(F.broadcast(by_script), "script")
+    by_lang = by_lang.withColumn("tongue", mixed("own", "general", F.lit(least_docs)))
+    by_lang = by_lang.select("lang", "script", mixed("both", "tongue", F.greatest("own.n", F.lit(least_docs))).alias("special"))
+    if pairs.limit(MOST_BANDS + 1).count() <= MOST_BANDS:  # languages are few; a column of anything else takes the shuffle
         by_lang = F.broadcast(by_lang)
-    rows = metrics.join(by_lang, ["lang", "script"], "left").join(F.broadcast(by_script.select("script", F.struct(*columns).alias("general"))), "script", "left")
-    band = F.coalesce("own", "general")
-    inside = F.col("chars_per_token").between(band["cpt_low"], band["cpt_high"]) & (F.col("byte_share") <= band["byte_high"]) & (F.col("token_entropy") >= band["entropy_low"])
+    rows = metrics.join(by_lang, ["lang", "script"], "left").join(F.broadcast(by_script), "script", "left")
+    band, wider = F.coalesce("special", "general"), F.sqrt(F.greatest(least_tokens / F.greatest("n_tokens", F.lit(1)), F.lit(1.0)))
+    mid = lambda c: band[c]["mid"]
+    far = lambda c: wider * width * F.greatest(band[c]["spread"], least_spread * mid(c))
+    cpt, byte, entropy = measures
+    inside = F.col(cpt).between(mid(cpt) - far(cpt), mid(cpt) + far(cpt)) & (F.col(byte) <= F.greatest(mid(byte) + far(byte), 0.05 * wider * wider)) & (F.col(entropy) >= mid(entropy) - far(entropy))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (F.when(F.col("n_tokens") < least_tokens, True).otherwise(F.coalesce(inside, F.lit(True))))).alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"),
         "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script",
     )
+
+
+def _centres(measures: tuple[str, ...]) -> list[Column]:
+    """Median and spread from arrays of quartiles."""
+    return [F.struct(F.col(c)[1].alias("mid"), ((F.col(c)[2] - F.col(c)[0]) / 1.349).alias("spread")).alias(c) for c in measures]
