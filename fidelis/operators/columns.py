@@ -33,26 +33,30 @@ def chi_square(both: DataFrame, columns: list[str]) -> DataFrame:
     return shares.groupBy("field").agg(F.sum((F.col("q") - F.col("p")) ** 2 / F.col("p")).alias("statistic"), (F.count(F.lit(1)) - 1).alias("freedom"))
 
 
-def chi_square_score(both: DataFrame, columns: list[str], terms: int = 400) -> DataFrame:
-    """p-value of ``chi_square``: 1 less the regularised lower incomplete gamma function, by its series.
+def chi_square_score(both: DataFrame, columns: list[str]) -> DataFrame:
+    """p-value of ``chi_square``: the regularised upper incomplete gamma function of freedom / 2 and statistic / 2.
 
-    One row for each column; the series is a fold in SQL. A single category scores 1.
+    One row for each column; 1 less the lower function's series where that converges fast (x < a + 1),
+    a continued fraction elsewhere, both as folds in SQL. A single category scores 1.
     """
     a, x = F.col("freedom") / 2, F.col("statistic") / 2
     stat = chi_square(both, columns)
-    # Sum of x^n / (a (a + 1) ... (a + n)); its terms decrease once n > x, and statistics of shares are small.
-    steps = F.sequence(F.lit(1), F.lit(terms))
+    # Steps until what is left is below a double's precision: both converge in some sqrt(a) steps at x = a + 1, faster away from it.
+    steps = (F.ceil(10 * F.sqrt(a)) + 100).cast("int")
     series = F.aggregate(
-        steps, F.struct((1 / a).alias("term"), (1 / a).alias("total")),
+        F.sequence(F.lit(1), steps), F.struct((1 / a).alias("term"), (1 / a).alias("total")),
         lambda s, n: F.struct((s["term"] * x / (a + n)).alias("term"), (s["total"] + s["term"] * x / (a + n)).alias("total")),
         lambda s: s["total"],
     )
+    # x + 1 - a + 1 (a - 1) / (x + 3 - a + 2 (a - 2) / (x + 5 - a + ...)), from the inside; no part is below its step's number.
+    fraction = F.aggregate(F.sequence(steps, F.lit(1), F.lit(-1)), x + 2 * steps + 1 - a, lambda t, n: x + 2 * n - 1 - a + n * (a - n) / t)
     # ln gamma(k / 2) by recurrence from gamma(1/2) or gamma(1).
     half = F.col("freedom") % 2 == 1
     below = F.when(F.col("freedom") > 2, F.sequence(F.when(half, F.lit(1)).otherwise(F.lit(2)).cast("bigint"), F.greatest(F.col("freedom") - 2, F.lit(1)).cast("bigint"), F.lit(2).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     log_gamma = F.aggregate(below, F.when(half, F.lit(0.5723649429247001)).otherwise(F.lit(0.0)), lambda s, k: s + F.ln(k / 2))
-    lower = F.exp(a * F.ln(x) - x - log_gamma) * series
-    return stat.select("field", F.when((F.col("freedom") == 0) | (F.col("statistic") == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - lower)).alias("score"))
+    density = F.exp(a * F.ln(x) - x - log_gamma)  # 0 where it underflows, and so is the score
+    score = F.when((F.col("freedom") == 0) | (F.col("statistic") == 0), 1.0).when(x < a + 1, F.greatest(F.lit(0.0), 1 - density * series)).otherwise(density / fraction)
+    return stat.select("field", score.alias("score"))
 
 
 def category_coverage(both: DataFrame, columns: list[str]) -> DataFrame:
