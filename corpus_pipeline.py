@@ -44,8 +44,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' SentencePiece ids, with whether they decode to the text."""
-    return sentencepiece_lattice.sentencepiece_encoded(docs)
+    """The documents' SentencePiece ids, whether they decode to the text, and their places in the mixed sequence.
+
+    Neither written tables nor documents' columns hold an order, so the places are worked out again:
+    they depend on doc_id and source only. Ordering by mix_position gives the mixed sequence.
+    """
+    placed = mixing.mix(docs.select("doc_id", "text", "source"), queries.SHARES, block=queries.BLOCK)
+    return sentencepiece_lattice.sentencepiece_encoded(placed, keep=["mix_slot", "mix_position"])
 
 
 STAGES = [

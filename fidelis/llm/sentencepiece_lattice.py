@@ -259,16 +259,16 @@ def sentencepiece_summary(docs: DataFrame, vocabulary: str = "piece_bpe_32k.mode
             "round_trip": np.array([decode(pieces, x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], bool),
         }
 
-    return _encoded(docs, vocabulary, "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, ids_crc32 bigint, round_trip boolean", columns)
+    return _encoded(docs, vocabulary, "doc_id bigint, n_pieces bigint, n_byte_pieces bigint, ids_crc32 bigint, round_trip boolean", columns, keep or [])
 
 
-def sentencepiece_encoded(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
-    """What a training job reads: doc_id, ids, n_pieces, round_trip."""
+def sentencepiece_encoded(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", keep: list[str] | None = None) -> DataFrame:
+    """What a training job reads: doc_id, ids, n_pieces, round_trip, and the bigint columns ``keep`` of ``docs``."""
 
     def columns(pieces, texts, ids):
         return {"ids": _list(ids), "n_pieces": np.array([len(x) for x in ids], np.int64), "round_trip": np.array([decode(pieces, x) == t.replace(SPACE, " ") for x, t in zip(ids, texts, strict=True)], bool)}
 
-    return _encoded(docs, vocabulary, "doc_id bigint, ids array<int>, n_pieces bigint, round_trip boolean", columns)
+    return _encoded(docs, vocabulary, "doc_id bigint, ids array<int>, n_pieces bigint, round_trip boolean", columns, keep or [])
 
 
 def _list(ids: list[np.ndarray]) -> pa.Array:
@@ -276,7 +276,7 @@ def _list(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
 
 
-def _encoded(docs: DataFrame, vocabulary: str, schema: str, columns) -> DataFrame:
+def _encoded(docs: DataFrame, vocabulary: str, schema: str, columns, keep: list[str] = []) -> DataFrame:  # noqa: B006
     path = public_tokenizers.path(vocabulary)
 
     def start():
@@ -285,8 +285,10 @@ def _encoded(docs: DataFrame, vocabulary: str, schema: str, columns) -> DataFram
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             for a, b in text_groups(batch.column(1)):
                 texts = strings(batch.column(1).slice(a, b - a))
-                yield {"doc_id": batch.column(0).slice(a, b - a)} | columns(encoder.pieces, texts, encoder.encode(texts))
+                own = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(["doc_id", "text", *keep]) if c != "text"}
+                yield own | columns(encoder.pieces, texts, encoder.encode(texts))
 
         return work
 
-    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), ["doc_id", "text"], schema, start)
+    schema = ", ".join([schema, *[f"{c} bigint" for c in keep]])
+    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *keep), ["doc_id", "text", *keep], schema, start)
