@@ -102,15 +102,18 @@ def denormalize_series(series: DataFrame, key: list[str], features: list[str]) -
     return zipped.where("x.present > 0").select(*key, "step", *[F.col(f"x.{c}").alias(c) for c in features])
 
 
-def autocorrelation(packets: DataFrame, key: list[str], order: list[str], feature: str, length: int, most_lags: int = 16) -> DataFrame:
+def autocorrelation(packets: DataFrame, key: list[str], order: list[str], feature: str, length: int | None = None, most_lags: int | None = None) -> DataFrame:
     """lag, r: mean over flows of the Pearson correlation of a flow's zero-padded series with itself shifted by ``lag``.
 
-    Lags 1 to length - 2, ``most_lags`` at most. An undefined or zero correlation counts 1e-8, one beyond 1 counts 0.
+    Series are padded to the longest flow, or cut or padded to ``length``. Lags 1 to length - 2,
+    ``most_lags`` at most if given. An undefined or zero correlation counts 1e-8, one beyond 1 counts 0.
     """
+    if length is None:
+        return _whole_autocorrelation(packets, key, order, feature, most_lags)
     series = padded_series(packets, key, order, [feature], length)
     x = F.col(feature)
 
-    lags = F.explode(F.sequence(F.lit(1), F.lit(max(1, min(length - 2, most_lags))))).alias("lag")
+    lags = F.explode(F.sequence(F.lit(1), F.lit(max(1, min(length - 2, length if most_lags is None else most_lags))))).alias("lag")
     shifted = series.select(lags, x.alias("x")).select("lag", F.expr("slice(x, 1, size(x) - lag)").alias("a"), F.expr("slice(x, lag + 1, size(x) - lag)").alias("b"))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y)
     n = F.size("a").cast("double")
@@ -119,8 +122,42 @@ def autocorrelation(packets: DataFrame, key: list[str], order: list[str], featur
     parts = centred.select("lag", da.alias("a"), db.alias("b"))
     product = lambda c, e: total(F.zip_with(c, e, lambda y, z: y * z))
     r = parts.select("lag", F.try_divide(product("a", "b"), F.sqrt(product("a", "a") * product("b", "b"))).alias("r"))
-    tidy = F.when(F.col("r").isNull() | (F.col("r") == 0), 1e-8).when(F.abs("r") > 1.0000001, 0.0).otherwise(F.col("r"))
-    return r.groupBy("lag").agg(F.avg(tidy).alias("r"))
+    return r.groupBy("lag").agg(F.avg(_tidy(F.col("r"))).alias("r"))
+
+
+def _tidy(r: Column) -> Column:
+    return F.when(r.isNull() | (r == 0), 1e-8).when(F.abs(r) > 1.0000001, 0.0).otherwise(r)
+
+
+def _whole_autocorrelation(packets: DataFrame, key: list[str], order: list[str], feature: str, most_lags: int | None) -> DataFrame:
+    """All packets and lags. Moments of both ends of a padded series are sums up to and from a packet; only products need pairs."""
+    flow = F.struct(*key).alias("flow")
+    rows = packets.select(flow, F.coalesce(F.col(feature).cast("double"), F.lit(0.0)).alias("x"), F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("i"))
+    up, down = Window.partitionBy("flow").orderBy("i"), Window.partitionBy("flow").orderBy(F.desc("i"))
+    sums = lambda w: F.struct(*[f.over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, f in (("one", F.sum("x")), ("two", F.sum(F.col("x") * F.col("x"))), ("low", F.min("x")), ("high", F.max("x")))])
+    ends = rows.select("flow", "i", sums(up).alias("a"), sums(down).alias("b"))
+    sizes = rows.groupBy("flow").agg(F.max("i").alias("n"))
+    size = F.broadcast(sizes.agg(F.max("n").alias("length"), F.count(F.lit(1)).alias("flows")))  # one row
+    later = rows.select("flow", F.col("i").alias("_i"), F.col("x").alias("_x"))
+    last = F.greatest(F.col("length") - 2, F.lit(1))
+    lag = F.col("_i") - F.col("i")
+    pairs = rows.join(later, "flow").join(size).where((lag > 0) & (lag <= (last if most_lags is None else F.least(last, F.lit(most_lags)))))
+    # A flow's lags beyond its own length meet zeros only: their correlations are undefined.
+    lags = pairs.groupBy("flow", lag.alias("lag"), "length", "flows").agg(F.sum(F.col("x") * F.col("_x")).alias("ab")).join(sizes, "flow")
+    lags = lags.withColumn("m", F.col("length") - F.col("lag"))
+    lags = lags.withColumn("_end", F.least("m", "n")).join(ends.select("flow", F.col("i").alias("_end"), "a"), ["flow", "_end"])
+    lags = lags.withColumn("_from", F.col("lag") + 1).join(ends.select("flow", F.col("i").alias("_from"), "b"), ["flow", "_from"])
+
+    def varied(side: str, padded: Column) -> Column:
+        zero = F.when(padded, 0.0)
+        return F.least(F.col(f"{side}.low"), zero) < F.greatest(F.col(f"{side}.high"), zero)
+
+    m, a, b = F.col("m"), F.col("a"), F.col("b")
+    va, vb = m * a["two"] - a["one"] * a["one"], m * b["two"] - b["one"] * b["one"]
+    defined = varied("a", m > F.col("n")) & varied("b", F.col("n") < F.col("length")) & (va > 0) & (vb > 0)
+    r = F.when(defined, F.try_divide(m * F.col("ab") - a["one"] * b["one"], F.sqrt(va) * F.sqrt(vb)))
+    rest = 1e-8 * (F.col("flows") - F.count(F.lit(1)))
+    return lags.select("lag", "flows", _tidy(r).alias("r")).groupBy("lag", "flows").agg(((F.sum("r") + rest) / F.col("flows")).alias("r")).select("lag", "r")
 
 
 def autocorrelation_distance(real: DataFrame, synthetic: DataFrame) -> DataFrame:

@@ -128,6 +128,17 @@ def autocorrelation(spark, d) -> DataFrame:
     return rounded(FL.autocorrelation(packets(spark, d), ["user_id"], ORDER, "value", 24, 8))
 
 
+@query(
+    f"""WITH {PACKETS}, f AS (SELECT user_id, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY time, event_id) AS i FROM packets), m AS (SELECT MAX(i) AS n FROM f), u AS (SELECT DISTINCT user_id FROM f),
+ s AS (SELECT u.user_id, i.i, COALESCE(f.value, 0) AS x FROM u CROSS JOIN (SELECT UNNEST(RANGE(1, n + 1)) AS i FROM m) i LEFT JOIN f ON f.user_id = u.user_id AND f.i = i.i),
+ p AS (SELECT b.i - a.i AS lag, a.user_id, a.x AS a, b.x AS b FROM s a JOIN s b ON a.user_id = b.user_id AND b.i > a.i CROSS JOIN m WHERE b.i - a.i <= GREATEST(n - 2, 1)),
+ r AS (SELECT lag, user_id, CASE WHEN MIN(a) < MAX(a) AND MIN(b) < MAX(b) THEN CORR(a, b) END AS r FROM p GROUP BY ALL)
+ SELECT CAST(lag AS INTEGER) AS lag, ROUND(AVG(CASE WHEN r IS NULL OR r = 0 THEN 1e-8 ELSE r END), 6) AS r FROM r GROUP BY lag"""
+)
+def autocorrelation_whole(spark, d) -> DataFrame:
+    return rounded(FL.autocorrelation(packets(spark, d), ["user_id"], ORDER, "value"))
+
+
 @query("WITH s AS (SELECT event_type AS candidate, UNNEST(['mean', 'std', 'max']) AS metric, UNNEST([AVG(value), STDDEV_SAMP(value), MAX(value)]) AS value FROM events GROUP BY event_type), k AS (SELECT candidate, RANK() OVER (PARTITION BY metric ORDER BY value) + (COUNT(*) OVER (PARTITION BY metric, value) - 1) / CAST(2 AS DOUBLE) AS r FROM s) SELECT candidate, SUM(r) AS rank_sum FROM k GROUP BY candidate")
 def candidate_ranking(spark, d) -> DataFrame:
     stats = packets(spark, d).groupBy(F.col("event_type").alias("candidate")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.max("value").alias("max"))

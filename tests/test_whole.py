@@ -2,9 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from fidelis.operators import columns as C
+from fidelis.operators import flows as FL
 from fidelis.operators.tagged import tagged
 
 
@@ -39,3 +41,19 @@ def test_chi_square_scores_of_many_categories(spark, monkeypatch):
     monkeypatch.setattr(C, "chi_square", lambda *_: spark.createDataFrame(rows, "field string, statistic double, freedom bigint"))
     for r in C.chi_square_score(None, ["x"]).collect():
         assert math.isclose(r["score"], math.erfc(float(r["field"]) / math.sqrt(2)) / 2, abs_tol=1e-4)
+
+
+def test_autocorrelation_of_whole_flows(spark):
+    """All lags up to the longest flow's length less two, against numpy on padded series."""
+    rng = np.random.default_rng(5)
+    series = {"a": rng.normal(5, 2, 40), "b": rng.normal(size=31), None: rng.normal(size=12), "c": np.ones(40), "d": np.ones(3), "e": np.zeros(1)}
+    packets = spark.createDataFrame([(k, i, float(x)) for k, xs in series.items() for i, x in enumerate(xs)], "flow string, i int, x double").repartition(3)
+    got = {r["lag"]: r["r"] for r in FL.autocorrelation(packets, ["flow"], ["i"], "x").collect()}
+    assert sorted(got) == list(range(1, 39))
+    for lag, r in got.items():
+        each = []
+        for xs in series.values():
+            x = np.pad(xs, (0, 40 - len(xs)))
+            a, b = x[: 40 - lag], x[lag:]
+            each.append(np.corrcoef(a, b)[0, 1] if np.ptp(a) and np.ptp(b) else 1e-8)
+        assert math.isclose(r, np.mean(each), abs_tol=1e-9), lag
