@@ -40,7 +40,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixed sequence."""
-    return mixing.mix(docs, queries.SHARES, block=queries.BLOCK).orderBy("mix_position", "doc_id").select(*COLUMNS)
+    return mixing.mix(docs, queries.SHARES, block=queries.BLOCK, many=True).orderBy("mix_position", "doc_id").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Neither written tables nor documents' columns hold an order, so the places are worked out again:
     they depend on doc_id and source only. Ordering by mix_position gives the mixed sequence.
     """
-    placed = mixing.mix(docs.select("doc_id", "text", "source"), queries.SHARES, block=queries.BLOCK)
+    placed = mixing.mix(docs.select("doc_id", "text", "source"), queries.SHARES, block=queries.BLOCK, many=True)
     return sentencepiece_lattice.sentencepiece_encoded(placed, keep=["mix_slot", "mix_position"])
 
 

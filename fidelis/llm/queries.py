@@ -24,7 +24,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"), SHARES, block=BLOCK)
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source"), SHARES, block=BLOCK, many=True)
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_position", "mix_on_target")
 
 
