@@ -109,11 +109,11 @@ def property_scores(report: DataFrame) -> DataFrame:
     return by.unionByName(by.agg(F.avg("score").alias("score")).select(F.lit("Overall").alias("property"), "score"))
 
 
-def diagnostic_report(real: DataFrame, synthetic: DataFrame, metadata: TableMetadata, sample: int = 10_000, seed: int = 0) -> DataFrame:
-    """property, score, verdict: coverage, boundaries and synthesis of new rows (of ``sample`` synthetic rows, as a report does)."""
+def diagnostic_report(real: DataFrame, synthetic: DataFrame, metadata: TableMetadata, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """property, score, verdict: coverage, boundaries and synthesis of new rows (of all synthetic rows, or of ``sample`` of them)."""
     cover = scores(real, synthetic, metadata, ["range_coverage", "category_coverage"]).agg(F.avg("score").alias("score")).select(F.lit("Coverage").alias("property"), "score")
     bounds = scores(real, synthetic, metadata, ["boundary_adherence"]).agg(F.avg("score").alias("score")).select(F.lit("Boundaries").alias("property"), "score")
-    few = synthetic.orderBy(F.xxhash64(F.lit(seed), *synthetic.columns), *synthetic.columns).limit(sample)
+    few = synthetic.orderBy(F.xxhash64(F.lit(seed), *synthetic.columns), *synthetic.columns).limit(sample) if sample is not None else synthetic
     fresh = new_row_synthesis(real, few, metadata.select(*CATEGORIES), metadata.select("numerical")).select(F.lit("Synthesis").alias("property"), "score")
     rows = cover.unionByName(bounds).unionByName(fresh)
     return rows.withColumn("verdict", F.when(F.col("score") >= 0.9, "SUCCESS").when(F.col("score") >= 0.5, "WARNING").otherwise("DANGER"))

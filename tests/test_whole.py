@@ -7,6 +7,8 @@ import pytest
 
 from fidelis.operators import columns as C
 from fidelis.operators import flows as FL
+from fidelis.operators import quality as Q
+from fidelis.operators import tables as T
 from fidelis.operators.tagged import tagged
 
 
@@ -57,3 +59,11 @@ def test_autocorrelation_of_whole_flows(spark):
             a, b = x[: 40 - lag], x[lag:]
             each.append(np.corrcoef(a, b)[0, 1] if np.ptp(a) and np.ptp(b) else 1e-8)
         assert math.isclose(r, np.mean(each), abs_tol=1e-9), lag
+
+
+def test_diagnostic_report_takes_all_synthetic_rows(spark):
+    real = spark.range(10).selectExpr("cast(id as double) x", "'a' c")
+    fake = spark.range(12_000).selectExpr("cast(id % 10 as double) x", "if(id < 1, 'new', 'a') c")
+    meta = T.TableMetadata({"x": "numerical", "c": "categorical"})
+    score = lambda **k: {r["property"]: r["score"] for r in Q.diagnostic_report(real, fake, meta, **k).collect()}["Synthesis"]
+    assert score() == 1 / 12_000 and score(sample=100) in (0, 0.01)
