@@ -86,7 +86,8 @@ def generalized_cap(real: DataFrame, synthetic: DataFrame, keys: list[str], sens
     """The same with all synthetic keys at the least Hamming distance from the real key.
 
     Distinct real keys are matched on ever smaller subsets of their fields: a key at distance d equals the
-    real one in some subset of the others. Each is an equi-join of distinct keys; no pairs of all keys.
+    real one in some subset of the others. Synthetic rows are counted by those fields and the sensitive
+    values before they meet the keys, so a frequent value joins one row for each of them; no pairs of keys.
     """
     from itertools import combinations
 
@@ -94,24 +95,19 @@ def generalized_cap(real: DataFrame, synthetic: DataFrame, keys: list[str], sens
     s = synthetic.groupBy(*[text(c) for c in keys], _key(sensitive).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     r = real.groupBy(*[text(c) for c in keys], _key(sensitive).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("m"))
     open_, scored = r.select(*keys).distinct(), None
-    for d in range(len(keys) + 1):
-        # With f fields equal, counts add up over all synthetic keys at that distance exactly.
+    for d in range(len(keys)):
+        # An open key has no closer match, so what is equal in these fields differs in all others.
         hits = None
         for same in combinations(keys, len(keys) - d):
-            differ = [c for c in keys if c not in same]
-            if same:
-                agg = s.select(*same, *[F.col(c).alias(f"_{c}") for c in differ], "v", "n")
-                found = open_.join(agg, list(same))
-                for c in differ:
-                    found = found.where(F.col(c) != F.col(f"_{c}"))
-                found = found.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
-                hits = found if hits is None else hits.unionByName(found)
-        if hits is None:  # nothing equal: all synthetic rows
-            hits = open_.join(F.broadcast(s.groupBy("v").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("v", "n")).alias("_all")))).select(*keys, F.inline("_all"))  # one row
+            found = open_.join(s.groupBy(*same, "v").agg(F.sum("n").alias("n")), list(same)).select(*keys, "v", "n")
+            hits = found if hits is None else hits.unionByName(found)
         hits = hits.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
         scored = hits if scored is None else scored.unionByName(hits)
         open_ = open_.join(hits.select(*keys).distinct(), keys, "left_anti")
     totals = scored.groupBy(*keys).agg(F.sum("n").alias("t"))
+    # Nothing equal: all synthetic rows, of which only the real row's own values count.
+    totals = totals.unionByName(open_.join(F.broadcast(s.agg(F.sum("n").alias("t")).where("t is not null"))))  # one row
+    scored = scored.unionByName(r.select(*keys, "v").join(open_, keys).join(s.groupBy("v").agg(F.sum("n").alias("n")), "v").select(*keys, "v", "n"))
     both = r.join(totals, keys).join(scored, [*keys, "v"], "left")
     return both.agg(F.coalesce(1 - F.sum(F.col("m") * F.coalesce(F.col("n") / F.col("t"), F.lit(0.0))) / F.sum("m"), F.lit(0.0)).alias("score"))
 

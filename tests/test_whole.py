@@ -7,6 +7,7 @@ import pytest
 
 from fidelis.operators import columns as C
 from fidelis.operators import flows as FL
+from fidelis.operators import membership as M
 from fidelis.operators import quality as Q
 from fidelis.operators import tables as T
 from fidelis.operators.tagged import tagged
@@ -67,3 +68,18 @@ def test_diagnostic_report_takes_all_synthetic_rows(spark):
     meta = T.TableMetadata({"x": "numerical", "c": "categorical"})
     score = lambda **k: {r["property"]: r["score"] for r in Q.diagnostic_report(real, fake, meta, **k).collect()}["Synthesis"]
     assert score() == 1 / 12_000 and score(sample=100) in (0, 0.01)
+
+
+def test_generalized_cap_is_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = lambda n, high: [tuple(map(str, (*rng.integers(0, high, 3), rng.integers(0, 3)))) for _ in range(n)]
+    real, fake = rows(60, 9) + [("x", "y", "z", "1"), ("x", "y", "z", "8")], rows(50, 7)
+    chance = []
+    for *k, v in real:
+        far = [sum(a != b for a, b in zip(k, f, strict=False)) for f in fake]
+        near = [f[3] for f, d in zip(fake, far, strict=True) if d == min(far)]
+        chance.append(near.count(v) / len(near))
+    frame = lambda x: spark.createDataFrame(x, "a string, b string, c string, v string")
+    got = M.generalized_cap(frame(real), frame(fake), ["a", "b", "c"], ["v"])
+    assert math.isclose(got.first()["score"], 1 - np.mean(chance), rel_tol=1e-9)
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
