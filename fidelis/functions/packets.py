@@ -78,7 +78,7 @@ def ip_value(text: Column, field: str) -> Column:
 
 def packets_of(sequence: Column) -> Column:
     """Packets of a delimited sequence, trimmed."""
-    return F.transform(F.split(sequence, r"<\|pkt\|>"), F.trim)
+    return F.transform(F.split(sequence, r"<\|pkt\|>"), lambda x: F.trim(x))
 
 
 def byte_slice(packet: Column, first: int, last: int, labelled: bool = False) -> Column:

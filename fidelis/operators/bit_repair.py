@@ -97,16 +97,58 @@ def handshake_flags(rows: DataFrame) -> DataFrame:
     }).drop("_r")
 
 
-#: Lengths of TCP options that a repaired header may have, longest first (fixed values).
-TCP_OPTIONS = {8: 10, 5: 10, 4: 2, 3: 3, 2: 4, 1: 1}
-
-
-def legal_option_bytes(present: Column) -> Column:
-    """Bytes of options that a run of present option bits is snapped to: greedily the longest legal lengths, each once."""
-    lengths = F.array(*[F.lit(n) for n in sorted(TCP_OPTIONS.values(), reverse=True)])
-    state = lambda total, left: F.struct(total.cast("int").alias("total"), left.cast("int").alias("left"))
-    fits = lambda s, n: s["left"] >= n
-    return F.aggregate(lengths, state(F.lit(0), F.floor(present / 8)), lambda s, n: state(F.when(fits(s, n), s["total"] + n).otherwise(s["total"]), F.when(fits(s, n), s["left"] - n).otherwise(s["left"])), lambda s: s["total"])
+#: TCP options by their bits: kind and length bytes (fixed values). 8 bits are an end or a no-op, 0 bits a gap.
+TCP_OPTIONS = {32: (2, 4), 24: (3, 3), 16: (4, 2), 40: (5, 10), 80: (8, 10)}
+#: Candidates in the order in which the first of equally near ones is taken, and the bits of all options (fixed values).
+OPTION_SIZES, OPTION_BITS = (0, 8, 32, 24, 16, 40, 80), 320
+
+
+def tcp_options(bits: Column, seed: int) -> Column:
+    """Snaps the 320 option bits of a header to legal options, from left to right.
+
+    At each place the run of present bits up to the next missing one is compared with the sizes that
+    are left, and the nearest one is written there: kind and length, then the old bits, missing ones
+    filled at random. Each option is used once; only gaps and no-ops repeat. A first bit of 0 in an
+    option of 8 bits ends the options (in the first place it is taken for a gap instead, and no
+    option of 8 bits follows). The fold runs in the JVM; null stays null.
+    """
+    old = F.transform(bits, lambda b: b.cast("int"))
+    free = fill_missing_bits(bits, seed)
+    state = lambda at, left, out: F.struct(at.cast("int").alias("at"), left.alias("left"), out.alias("out"))
+    gap = missing_bits(8)
+
+    def step(s: Column, _: Column) -> Column:
+        at, left = s["at"], s["left"]
+        to_gap = F.array_position(F.slice(old, at + 1, OPTION_BITS), F.lit(-1)).cast("int")
+        run = F.when(to_gap == 0, OPTION_BITS - at).otherwise(to_gap - 1)
+        near = F.array_min(F.transform(left, lambda x, i: F.struct(F.abs(x - run).alias("d"), i.alias("i"), x.alias("x"))))["x"]
+        rest = F.filter(left, lambda x: x != near)
+        first = F.get(old, at)
+        end = (near == 8) & (first == 0)
+        written = F.when(near == 0, gap).when(near == 8, F.when(first == 1, constant_bits(8, 1)).when(at == 0, gap).otherwise(constant_bits(8, 0)))
+        for n, (kind, length) in TCP_OPTIONS.items():
+            written = written.when(near == n, F.concat(constant_bits(8, kind), constant_bits(8, length), F.slice(free, at + 17, n - 16)))
+        out = F.concat(s["out"], F.slice(written, 1, OPTION_BITS - at))
+        stop = F.when(end & (at > 0), F.lit(OPTION_BITS)).otherwise(at + F.greatest(near, F.lit(8)))
+        kept = F.when((near == 0) | ((near == 8) & (first == 1)), left).otherwise(rest)
+        return F.when(at >= OPTION_BITS, s).otherwise(state(stop, kept, out))
+
+    begin = state(F.lit(0), F.array(*map(F.lit, OPTION_SIZES)), F.array().cast("array<int>"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(OPTION_BITS // 8)), begin, step, lambda s: s["out"])
+    return F.when(bits.isNotNull(), F.slice(F.concat(done, missing_bits(OPTION_BITS)), 1, OPTION_BITS))
+
+
+def address_shares(rows: DataFrame, column: str = "src_ip") -> DataFrame:
+    """address, share of the rows that have it, nulls left out."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("address")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("t"))
+    return counts.join(F.broadcast(total)).select("address", (F.col("n") / F.col("t")).alias("share"))  # one row
+
+
+def flow_ports(rows: DataFrame, seed: int) -> DataFrame:
+    """src_port, dst_port: two numbers drawn for each flow by a seeded hash, swapped in packets of the other direction."""
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "flow"), F.lit(65536)).cast("int")
+    return rows.withColumns({"src_port": directed(rows, draw(0), draw(1)), "dst_port": directed(rows, draw(1), draw(0))})
 
 
 def repair(rows: DataFrame, seed: int = 0) -> DataFrame:

@@ -74,14 +74,16 @@ def range_coverage(both: DataFrame, columns: list[str]) -> DataFrame:
     """How much of the real range the synthetic values reach."""
     span = F.col("max_real") - F.col("min_real")
     missed = F.greatest((F.col("min_synthetic") - F.col("min_real")) / span, F.lit(0.0)) + F.greatest((F.col("max_real") - F.col("max_synthetic")) / span, F.lit(0.0))
-    return _ranges(both, columns).select("field", F.when(span > 0, F.greatest(1 - missed, F.lit(0.0))).alias("score"))
+    known = (span > 0) & F.col("min_synthetic").isNotNull()  # greatest and least pass over nulls
+    return _ranges(both, columns).select("field", F.when(known, F.greatest(1 - missed, F.lit(0.0))).alias("score"))
 
 
 def interval_overlap(both: DataFrame, columns: list[str]) -> DataFrame:
     """Overlap of both value ranges over their hull; 0 where they are apart."""
     inner = F.least("max_real", "max_synthetic") - F.greatest("min_real", "min_synthetic")
     hull = F.greatest("max_real", "max_synthetic") - F.least("min_real", "min_synthetic")
-    return _ranges(both, columns).select("field", F.when(inner < 0, 0.0).when(hull > 0, inner / hull).alias("score"))
+    known = F.col("min_real").isNotNull() & F.col("min_synthetic").isNotNull()
+    return _ranges(both, columns).select("field", F.when(known, F.when(inner < 0, 0.0).when(hull > 0, inner / hull)).alias("score"))
 
 
 def boundary_adherence(both: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,7 +104,7 @@ def statistic_similarity(both: DataFrame, columns: list[str], statistic: str = "
     of = {"mean": F.avg, "std": F.stddev_samp, "median": lambda x: F.percentile(x, 0.5)}[statistic]
     values = long_form(both, columns, "double")
     row = values.groupBy("field").agg(of(_side(REAL)).alias("r"), of(_side(SYNTHETIC)).alias("s"), (F.max(_side(REAL)) - F.min(_side(REAL))).alias("span"))
-    return row.select("field", F.when(F.col("span") > 0, F.greatest(1 - F.abs(F.col("r") - F.col("s")) / F.col("span"), F.lit(0.0))).alias("score"))
+    return row.select("field", F.when((F.col("span") > 0) & F.col("r").isNotNull() & F.col("s").isNotNull(), F.greatest(1 - F.abs(F.col("r") - F.col("s")) / F.col("span"), F.lit(0.0))).alias("score"))
 
 
 # --- pairs -----------------------------------------------------------------------------------
@@ -118,16 +120,46 @@ def _pairs(both: DataFrame, pairs: list[tuple[str, str]], kind: str) -> DataFram
     return both.select("side", F.inline(rows))
 
 
+def _correlation(side: str) -> Column:
+    """Pearson correlation of one side's a and b; null where one of them is constant."""
+    a, b = _side(side, "a"), _side(side, "b")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlation_similarity(both: DataFrame, pairs: list[tuple[str, str]], method: str = "pearson") -> DataFrame:
-    """1 less half the difference of the correlations; rows with a null in the pair are left out."""
-    values = _pairs(both, pairs, "double").where("a is not null and b is not null")
+    """1 less half the difference of the correlations; rows with a null in the pair are left out, constant columns give null."""
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    values = None
     if method == "spearman":
-        for c in "ab":
-            values = mid_ranks(values, ["side", "pair"], c)
-    row = values.groupBy("pair").agg(F.corr(_side(REAL, "a"), _side(REAL, "b")).alias("r"), F.corr(_side(SYNTHETIC, "a"), _side(SYNTHETIC, "b")).alias("s"))
+        gaps = both.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first()
+        if not any(gaps):  # then a column's ranks are the same in all its pairs
+            values = _pairs(_ranked(both, names), pairs, "double")
+    if values is None:
+        values = _pairs(both, pairs, "double").where("a is not null and b is not null")
+        if method == "spearman":
+            for c in "ab":
+                values = mid_ranks(values, ["side", "pair"], c)
+    row = values.groupBy("pair").agg(_correlation(REAL).alias("r"), _correlation(SYNTHETIC).alias("s"))
     return row.select("pair", (1 - F.abs(F.col("r") - F.col("s")) / 2).alias("score"))
 
 
+#: Ranks of a column with at most so many distinct values go to all tasks instead of through a shuffle.
+FEW = 50_000
+
+
+def _ranked(both: DataFrame, names: list[str]) -> DataFrame:
+    """``both`` with each column replaced by its ranks within the side: distinct values are ranked once for all pairs."""
+    long = long_form(both, names, "double").groupBy("side", "field", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    summed = running(long, ["side", "field"], "value", "n")
+    ranks = summed.select("side", "field", "value", (F.col("cum") - (F.col("n") - 1) / 2).alias("rank")).persist()
+    distinct = {r["field"]: r["count"] for r in ranks.groupBy("field").count().collect()}  # a row for each column
+    out = both.select("side", *[F.col(c).cast("double").alias(c) for c in names])
+    for c in names:
+        own = ranks.where(F.col("field") == c).select("side", F.col("value").alias(c), F.col("rank").alias(f"_{c}"))
+        out = out.join(F.broadcast(own) if distinct.get(c, 0) <= FEW else own, ["side", c])
+    return out.select("side", *[F.col(f"_{c}").alias(c) for c in names])
+
+
 def mid_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Replaces a column by its rank within ``keys``, ties by their mean: a running sum over distinct values."""
     counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).cast("double").alias("_n"))

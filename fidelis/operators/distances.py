@@ -70,7 +70,7 @@ def rank_distance(both: DataFrame, column: str) -> DataFrame:
     ranked = frequency_rank(counts)
     shares = ranked.groupBy("rank").agg(F.sum(F.when(F.col("side") == REAL, F.col("share")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("side") != REAL, F.col("share")).otherwise(0.0)).alias("q"))
     mid = (F.col("p") + F.col("q")) / 2
-    summed = running(shares.withColumn("key", F.lit(0)).withColumn("d", F.col("p") - F.col("q")), ["key"], "rank", "d")
+    summed = running(shares.withColumn("d", F.col("p") - F.col("q")), [], "rank", "d")
     total = F.greatest(F.sum(safe_log_term(F.col("p"), mid) + safe_log_term(F.col("q"), mid)) / 2, F.lit(0.0))
     return summed.agg(total.alias("jsd"), F.sum(F.abs("cum")).alias("emd")).select(F.lit(column).alias("field"), "jsd", "emd")
 
@@ -100,6 +100,6 @@ def clamped_tv(both: DataFrame, column: str, low: int, high: int) -> DataFrame:
 
 def cumulative_shares(df: DataFrame, column: str) -> DataFrame:
     """value, share of rows up to it: the empirical distribution function."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n")).withColumn("key", F.lit(0))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     total = df.where(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("total"))
-    return running(counts, ["key"], "value", "n").join(F.broadcast(total)).select("value", (F.col("cum") / F.col("total")).alias("share"))  # one row of totals
+    return running(counts, [], "value", "n").join(F.broadcast(total)).select("value", (F.col("cum") / F.col("total")).alias("share"))  # one row of totals

@@ -84,7 +84,7 @@ def propagate_flow_tags(flows: DataFrame, chunk: str, flags: str) -> DataFrame:
     """Copies a flow that starts in ``chunk`` into each later chunk that its ``flags`` array marks, without the start mark."""
     later = F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: (i > F.col(chunk)) & (F.get(flags, i) > 0))
     own = flows.withColumn("starts", F.lit(True))
-    copies = flows.withColumn(chunk, F.explode(later).cast(flows.schema[chunk].dataType)).withColumn("starts", F.lit(False))
+    copies = flows.withColumn("_later", F.explode(later)).withColumn(chunk, F.col("_later").cast(flows.schema[chunk].dataType)).drop("_later").withColumn("starts", F.lit(False))
     return own.unionByName(copies)
 
 

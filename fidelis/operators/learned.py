@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .membership import label_summary
@@ -39,7 +40,7 @@ def detection(real: DataFrame, synthetic: DataFrame, numeric: list[str], categor
 
 
 LEARNERS = {
-    "random_forest": lambda seed: RandomForestClassifier(numTrees=50, seed=seed), "decision_tree": lambda seed: DecisionTreeClassifier(maxDepth=15, seed=seed),
+    "random_forest": lambda seed: RandomForestClassifier(numTrees=200, maxDepth=10, seed=seed), "decision_tree": lambda seed: DecisionTreeClassifier(maxDepth=15, seed=seed),
     "logistic": lambda seed: LogisticRegression(maxIter=50), "boosted": lambda seed: GBTClassifier(maxIter=20, seed=seed),
 }
 
@@ -73,16 +74,21 @@ def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, numeric: list[
     """score: mean log-likelihood of synthetic rows under a Gaussian mixture fitted on real rows."""
     assemble = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="skip")
     model = GaussianMixture(k=components, seed=seed).fit(assemble.transform(real.dropna(subset=numeric)))
-    parts = [(w, r["mean"].toArray().tolist(), r["cov"].toArray()) for w, r in zip(model.weights, model.gaussiansDF.collect(), strict=True)]  # one row for each component
-    import numpy as np
-
-    density = F.lit(0.0)
-    for w, mean, cov in parts:
-        inverse, n = np.linalg.inv(cov), len(mean)
-        d = [F.col(c) - F.lit(m) for c, m in zip(numeric, mean, strict=True)]
-        square = sum((d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(n) for j in range(n)), F.lit(0.0))
-        density = density + F.lit(float(w) / float(np.sqrt((2 * np.pi) ** n * np.linalg.det(cov)))) * F.exp(-square / 2)
-    return synthetic.dropna(subset=numeric).agg(F.avg(F.ln(F.greatest(density, F.lit(1e-300)))).alias("score"))
+    parts = [(float(w), r["mean"].toArray(), r["cov"].toArray()) for w, r in zip(model.weights, model.gaussiansDF.collect(), strict=True)]  # one row for each component
+    logs = F.array(*[_log_density(numeric, *p) for p in parts if p[0] > 0])
+    most = F.array_max(logs)
+    total = most + F.ln(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - most)))
+    return synthetic.dropna(subset=numeric).agg(F.avg(total).alias("score"))
+
+
+def _log_density(numeric: list[str], weight: float, mean: np.ndarray, cov: np.ndarray) -> Column:
+    """Log of a component's weighted density. Directions in which it has (nearly) no spread get a small one."""
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    values = np.maximum(values, max(1e-9 * float(values.max()), 1e-12))
+    inverse = (vectors / values) @ vectors.T
+    d = [F.col(c) - F.lit(float(m)) for c, m in zip(numeric, mean, strict=True)]
+    square = sum((d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
+    return F.lit(float(np.log(weight) - (len(d) * np.log(2 * np.pi) + np.log(values).sum()) / 2)) - square / 2
 
 
 def perceptron(layers: list[int], seed: int = 0) -> MultilayerPerceptronClassifier:

@@ -12,8 +12,8 @@ def _levels(scores: DataFrame, label: str, score: str) -> DataFrame:
     """Distinct scores with members (pos), others (neg) and running sums of both from the lowest score up."""
     levels = scores.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum((F.col(label) == 1).cast("double")).alias("pos"), F.sum((F.col(label) != 1).cast("double")).alias("neg")
-    ).withColumn("key", F.lit(0))
-    return running(levels, ["key"], "score", "neg").withColumnRenamed("cum", "neg_below").drop("after")
+    )
+    return running(levels, [], "score", "neg").withColumnRenamed("cum", "neg_below").drop("after")
 
 
 def membership_auc(scores: DataFrame, label: str, score: str) -> DataFrame:
@@ -25,14 +25,14 @@ def membership_auc(scores: DataFrame, label: str, score: str) -> DataFrame:
 
 def membership_ks(scores: DataFrame, label: str, score: str) -> DataFrame:
     """One row, ks: largest difference of the two kinds' distribution functions."""
-    levels = running(_levels(scores, label, score), ["key"], "score", "pos").withColumnRenamed("cum", "pos_below").drop("after")
+    levels = running(_levels(scores, label, score), [], "score", "pos").withColumnRenamed("cum", "pos_below").drop("after")
     totals = levels.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return levels.join(F.broadcast(totals)).agg(F.max(F.abs(F.try_divide("pos_below", "p") - F.try_divide("neg_below", "n"))).alias("ks"))  # one row of totals
 
 
 def membership_tpr(scores: DataFrame, label: str, score: str, fpr: float = 0.01) -> DataFrame:
     """One row, tpr: the largest share of members at or above a threshold that at most ``fpr`` of the others reach."""
-    levels = running(_levels(scores, label, score), ["key"], "score", "pos").withColumnRenamed("cum", "pos_below").drop("after")
+    levels = running(_levels(scores, label, score), [], "score", "pos").withColumnRenamed("cum", "pos_below").drop("after")
     totals = levels.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = lambda kind, total: (F.col(total) - F.col(f"{kind}_below") + F.col(kind)) / F.col(total)
     return levels.join(F.broadcast(totals)).agg(F.coalesce(F.max(F.when(above("neg", "n") <= fpr, above("pos", "p"))), F.lit(0.0)).alias("tpr"))
@@ -136,16 +136,24 @@ def label_summary(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def nearest_rows(points: DataFrame, model: DataFrame, features: list[str], k: int = 5) -> DataFrame:
-    """For each point (id) the ``k`` model rows with the most equal features: an attack of its own by votes.
+    """For each point (id) the ``k`` model rows with the most equal features (ties by id): id, model_id, equal, rank.
 
-    Rows that share no feature value are not compared; each feature value's model rows are counted first,
-    so candidates come from equi-joins on single features.
+    Rows that share no feature value are not compared; null equals nothing. For each set of features
+    the model keeps its ``k`` smallest ids by value, which is all that can matter: a row behind them
+    has ``k`` rows before it that are equal in as many features. So a frequent value never meets more
+    than ``k`` rows, and no pairs of all points and rows arise. 2^features joins: for a few features.
     """
-    hits = None
-    for c in features:
-        part = points.select("id", F.col(c).cast("string").alias("x")).join(model.select(F.col("id").alias("model_id"), F.col(c).cast("string").alias("x")), "x").select("id", "model_id")
-        hits = part if hits is None else hits.unionAll(part)
-    equal = hits.groupBy("id", "model_id").agg(F.count(F.lit(1)).alias("equal"))
+    from itertools import combinations
+
+    pick = lambda df, name: df.select(F.col("id").alias(name), *[F.col(c).cast("string").alias(c) for c in features])
+    p, m, hits = pick(points, "id"), pick(model, "model_id"), None
+    for n in range(1, len(features) + 1):
+        for same in map(list, combinations(features, n)):
+            order = Window.partitionBy(*same).orderBy("model_id")
+            first = m.dropna(subset=same).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k).select(*same, "model_id")
+            part = p.join(first, same).select("id", "model_id", F.lit(n).alias("equal"))
+            hits = part if hits is None else hits.unionAll(part)
+    equal = hits.groupBy("id", "model_id").agg(F.max("equal").cast("bigint").alias("equal"))
     order = Window.partitionBy("id").orderBy(F.desc("equal"), "model_id")
     return equal.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

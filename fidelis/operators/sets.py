@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,26 +46,28 @@ def new_rows(real: DataFrame, synthetic: DataFrame, exact: list[str], numeric: l
     """Synthetic rows without a real row that matches in all fields.
 
     ``exact`` fields must be equal (null equals null), ``numeric`` ones within ``tolerance`` of the
-    synthetic value's size. The join is an equi-join also where all fields are numeric: values fall in
-    steps of a logarithmic scale as wide as the tolerance, and a real row meets synthetic ones of its own
-    and the two neighbouring steps of the first numeric field only.
+    synthetic value's size. Numbers fall in cells of a logarithmic scale; a distinct real row is in the
+    cells of each numeric field that hold values within reach, so the join is an equi-join on the exact
+    fields and the cells of all numeric ones, also where all fields are numeric.
     """
-    r = real.select(*[F.col(c).alias(f"r_{c}") for c in (*exact, *numeric)])
+    r = real.select(*[F.col(c).alias(f"r_{c}") for c in (*exact, *numeric)]).distinct()
     s = synthetic
     equal = [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in exact]
     near = [(F.col(c).isNull() & F.col(f"r_{c}").isNull()) | (F.abs(F.col(f"r_{c}") - F.col(c)) <= tolerance * F.abs(F.col(c))) for c in numeric]
-    if numeric:
-        first, width = numeric[0], 2 * tolerance
-        scale = lambda x: F.floor(F.ln(F.abs(x)) / F.lit(width))
-        name = lambda x, n: F.when(x.isNull(), F.lit("null")).when(x == 0, F.lit("0")).otherwise(F.concat((x > 0).cast("string"), n.cast("string")))
-        x = F.col(f"r_{first}")
-        r = r.withColumn("_step", F.explode(F.array_distinct(F.array(*[name(x, scale(x) + k) for k in (-1, 0, 1)]))))
-        s = s.withColumn("_step", name(F.col(first), scale(F.col(first))))
-        equal.append(s["_step"] == r["_step"])
+    width = 4 * tolerance
+    name = lambda x, n: F.when(x.isNull(), F.lit("null")).when(x == 0, F.lit("0")).otherwise(F.concat((x > 0).cast("string"), n.cast("string")))
+    for i, c in enumerate(numeric):
+        x, y = F.col(f"r_{c}").cast("double"), F.col(c).cast("double")
+        at = lambda v, out=0.0: F.floor((F.ln(F.abs(v)) + F.lit(out)) / F.lit(width))
+        # |real - y| <= t |y| puts y between real / (1 + t) and real / (1 - t); a little more for rounding.
+        reach = F.when(F.coalesce(x == 0, F.lit(True)), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(at(x, -math.log1p(tolerance) - 1e-9), at(x, -math.log1p(-tolerance) + 1e-9)))
+        r = r.withColumn(f"_n{i}", F.explode(reach)).withColumn(f"_cell{i}", name(x, F.col(f"_n{i}"))).drop(f"_n{i}")
+        s = s.withColumn(f"_cell{i}", name(y, at(y)))
+        equal.append(s[f"_cell{i}"] == r[f"_cell{i}"])
     condition = None
     for c in equal + near:
         condition = c if condition is None else condition & c
-    return s.join(r, condition, "left_anti").drop("_step")
+    return s.join(r, condition, "left_anti").drop(*[f"_cell{i}" for i in range(len(numeric))])
 
 
 def new_row_synthesis(real: DataFrame, synthetic: DataFrame, exact: list[str], numeric: list[str], tolerance: float = 0.01) -> DataFrame:

@@ -42,16 +42,17 @@ def running(df: DataFrame, keys: list[str], order: str, add: str, cuts: int = 64
 
     Rows of one key don't meet in one task: approximate quantiles cut the order into ranges, each
     range is summed on its own, and the ranges' totals (``cuts`` rows a key) are summed up before
-    them. ``order`` must be unique within a key.
+    them. ``order`` must be unique within a key. Without keys the bounds are one row that all tasks get.
     """
     share = [k / cuts for k in range(1, cuts)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(order, share, 1000).alias("_bounds"))
-    ranged = df.join(bounds, keys).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+    ranged = (df.join(bounds, keys) if keys else df.join(F.broadcast(bounds))).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     summed = ranged.withColumn("_in", F.sum(add).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead(order).over(inside))
     across = Window.partitionBy(*keys).orderBy("_range")
     totals = ranged.groupBy(*keys, "_range").agg(F.sum(add).alias("_total"), F.min(order).alias("_first"))
     totals = totals.select(*keys, "_range", F.coalesce(F.sum("_total").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.lead("_first").over(across).alias("_first_after"))
+    totals = totals if keys else F.broadcast(totals)  # then ``cuts`` rows
     return summed.join(totals, [*keys, "_range"]).select(*df.columns, (F.col("_before") + F.col("_in")).alias("cum"), F.coalesce("_next", "_first_after").alias("after"))
 
 

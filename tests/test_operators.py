@@ -193,7 +193,6 @@ def test_bit_repair(spark):
     assert seq == [(100, 0), (101, 110), (110, 111), (111, 120)]
     flags = [(r["syn"], r["ackf"]) for r in R.handshake_flags(df).orderBy("idx").collect()]
     assert flags == [(1, 0), (1, 1), (0, 1), (0, 1)]
-    assert [r[0] for r in spark.createDataFrame([(0,), (96,), (200,), (320,)], "n int").select(R.legal_option_bytes(F.col("n"))).collect()] == [0, 12, 24, 30]
     walk = R.sample_directions(spark.createDataFrame([("a",), ("b",)], "flow string"), 0.5, 0.5, 40, 1)
     assert walk.count() == 80 and walk.collect() == R.sample_directions(spark.createDataFrame([("a",), ("b",)], "flow string"), 0.5, 0.5, 40, 1).collect()
     turns = R.transition_matrix(spark.createDataFrame([("f", 0, "a"), ("f", 1, "b"), ("f", 2, "a"), ("f", 3, "a")], "flow string, idx int, src_ip string"))
@@ -229,7 +228,7 @@ def test_learned(spark):
     assert rows["synthetic"]["accuracy"] == 1.0 and rows["synthetic"]["gap"] == 0
     line = spark.range(50).selectExpr("cast(id as double) x", "cast(2 * id + 1 as double) y")
     assert L.regression_efficacy(line, line, ["x"], "y").first()["r2"] > 0.999
-    points = spark.createDataFrame([(random.Random(i).gauss(0, 1), random.Random(-i).gauss(0, 1)) for i in range(200)], "x double, y double")
+    points = spark.createDataFrame([(random.Random(i).gauss(0, 1), random.Random(1000 + i).gauss(0, 1)) for i in range(200)], "x double, y double")
     assert L.mixture_log_likelihood(points, points, ["x", "y"], 2).first()["score"] > L.mixture_log_likelihood(points, points.selectExpr("x + 9 as x", "y"), ["x", "y"], 2).first()["score"]
 
 
