@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
+from .common import dropped, give_back, let_go, written
 
 #: Links that a task joins at once.
-AT_ONCE = 200_000
+AT_ONCE = 100_000
 
 
 def _joined(edges: DataFrame) -> DataFrame:
@@ -38,6 +37,7 @@ def _joined(edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        let_go()
         for batch in batches:
             held.append(batch)
             if sum(x.num_rows for x in held) >= AT_ONCE:
@@ -45,6 +45,8 @@ def _joined(edges: DataFrame) -> DataFrame:
                 held = []
         if held:
             yield stars(pa.Table.from_batches(held))
+            del held
+        give_back()
 
     return edges.mapInArrow(run, "a bigint, b bigint")
 
@@ -68,7 +70,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a <> b"), "links")
     mark = None  # of the round before
     for _ in range(most_rounds):
-        edges = written(_star(_star(_joined(edges), True), False).distinct(), "links")
+        before, edges = edges, written(_star(_star(_joined(edges), True), False).distinct(), "links")
+        dropped(before)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == (now["n"], now["h"]):
             break

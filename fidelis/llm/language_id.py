@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, map_texts, sample_by_class, strings, text_groups
 
-ORDER, ALPHABET = 4, 4000
+ORDER, ALPHABET, BITS = 4, 65_000, 16
 MIX = np.uint64(0x9E3779B97F4A7C15)  # odd: the hash of a packed n-gram is unique
-SHIFT = np.uint64(12)
+SHIFT = np.uint64(BITS)  # ORDER symbols fill 64 bits
+#: Log probabilities that are looked up at once (symbols times languages).
+AT_ONCE = 1 << 22
 
 
 class Symbols:
@@ -84,7 +86,7 @@ class Model:
                     keys, counts = np.unique(grams(symbols, ORDER), return_counts=True)
                 else:  # continuation counts: distinct symbols before
                     longer = np.unique(grams(symbols, order + 1))
-                    keys, counts = np.unique(longer & np.uint64((1 << (12 * order)) - 1), return_counts=True)
+                    keys, counts = np.unique(longer & np.uint64((1 << (BITS * order)) - 1), return_counts=True)
                 tables.append((keys, counts.astype(np.float64)))
             union = np.unique(np.concatenate([k for k, _ in tables]))
             contexts = np.unique(union >> SHIFT)
@@ -113,7 +115,7 @@ class Model:
         """Probabilities by the next lower order."""
         if order == 1:
             return np.full((len(keys), len(self.langs)), self.base)
-        return np.exp(self.log_probability(keys & np.uint64((1 << (12 * (order - 1))) - 1), order - 1))
+        return np.exp(self.log_probability(keys & np.uint64((1 << (BITS * (order - 1))) - 1), order - 1))
 
     def log_probability(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Log probabilities, by language, of the last symbol of each n-gram after those before."""
@@ -124,7 +126,7 @@ class Model:
         out = self.logs[order - 1][at]
         missed = np.flatnonzero(table[at] != hashed)
         if len(missed):
-            rest = self.log_probability(keys[missed] & np.uint64((1 << (12 * (order - 1))) - 1), order - 1)
+            rest = self.log_probability(keys[missed] & np.uint64((1 << (BITS * (order - 1))) - 1), order - 1)
             context, names = (keys[missed] >> SHIFT) * MIX, self.contexts[order - 1]
             c = np.minimum(np.searchsorted(names, context), len(names) - 1)
             out[missed] = rest + np.where((names[c] == context)[:, None], self.weights[order - 1][c], 0)
@@ -134,8 +136,9 @@ class Model:
         """Nats per symbol, by text and language, and the letters of each text."""
         symbols, doc = self.symbols.encode(texts)
         total = np.zeros((len(texts), len(self.langs)))
-        for a in range(0, len(symbols), 1 << 20):  # n-grams of a part also see the symbols before it
-            b, first = min(len(symbols), a + (1 << 20)), max(0, a - ORDER + 1)
+        step = max(1, AT_ONCE // len(self.langs))
+        for a in range(0, len(symbols), step):  # n-grams of a part also see the symbols before it
+            b, first = min(len(symbols), a + step), max(0, a - ORDER + 1)
             part = self.log_probability(grams(symbols[first:b], ORDER)[a - first :], ORDER)
             begins = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
             total[doc[a:b][begins]] += np.add.reduceat(part, begins, axis=0, dtype=np.float64)
@@ -177,15 +180,18 @@ def fit(docs: DataFrame, learnable, per_lang: int = 200, longest: int = 50_000,
     """Fits on at most ``per_lang`` rows of each language among the ``learnable`` ones, chosen by a hash of doc_id.
 
     Texts of more than ``longest`` characters are not chosen, so that the sample has a bound; every
-    fifth chosen text is held back for calibration. More than ``most_langs`` languages are an error.
+    fifth chosen text is held back for calibration. An id that repeats gives one text, the least.
+    More than ``most_langs`` languages are an error: the model has a column for each.
     """
-    rows = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("n_chars").isNull() | (F.col("n_chars") <= longest)) & F.col("doc_id").isNotNull())
+    rows = docs.filter(learnable & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("doc_id").isNotNull())
     picked = sample_by_class(rows, "lang", per_lang, [])
     n_langs = picked.select("lang").distinct().limit(most_langs + 1).count()
     if n_langs > most_langs:
         raise ValueError(f"more than {most_langs} languages")
-    texts = docs.join(F.broadcast(picked.withColumnRenamed("lang", "_lang").dropDuplicates(["doc_id"])), "doc_id").filter(F.col("lang") == F.col("_lang"))
-    sample = sorted({(r["doc_id"], r["lang"], r["text"]) for r in texts.filter(F.length("text") <= longest).select("doc_id", "lang", "text").collect()})
+    picked = picked.groupBy("doc_id").agg(F.min("lang").alias("_lang"))  # at most most_langs * per_lang rows
+    texts = rows.join(F.broadcast(picked), "doc_id").filter(F.col("lang") == F.col("_lang"))
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one text for an id, however often it repeats
+    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in texts.collect())
     train: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     seen: Counter = Counter()

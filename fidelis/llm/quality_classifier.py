@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, crc32, crc_bucket, map_texts, sample_by_class, strings, text_groups
+from .common import Memo, crc32, crc_bucket, give_back, let_go, map_texts, prepare, sample_by_class, strings, text_groups
 
 STEMS, SHAPES, SIZE, NONZERO, REACH, HIDDEN = 1 << 14, 1 << 11, 32, 6, 2, 24
 #: Words that are pooled at once, which bounds the memory of long texts.
@@ -162,12 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     """Fits on at most ``per_class`` labelled rows of each class whose crc32(doc_id) mod 5 isn't 0.
 
     Rows with null ids, labels or texts, and texts of more than ``longest`` characters, are not
-    learned from; repeated or contradicting labels of one id count once each.
+    learned from; repeated or contradicting labels of one id count once each, with the least of its texts.
     """
     rows = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_bucket("doc_id", 5) != 0)).select("doc_id", F.col(label).cast("int").alias("_label")).distinct()
     picked = sample_by_class(rows, "_label", per_class, [])
-    texts = docs.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # two classes of per_class rows
-    sample = sorted({(r["doc_id"], r["_label"], r["text"]) for r in texts.collect()}, key=lambda r: (crc32(str(r[0]).encode()), r))
+    texts = docs.filter(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # two classes of per_class rows
+    texts = texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))  # one text for an id, however often it repeats
+    sample = sorted(((r["doc_id"], r["_label"], r["text"]) for r in texts.collect()), key=lambda r: (crc32(str(r[0]).encode()), r))
     return Classifier([r[2] for r in sample], [r[1] for r in sample])
 
 
@@ -181,6 +182,7 @@ def quality_scores(docs: DataFrame, classifier: Classifier, threshold: float = 0
 
     def start():
         own = shared.value
+        let_go()
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             for a, b in text_groups(batch.column(1), 2_000_000):
@@ -192,6 +194,28 @@ def quality_scores(docs: DataFrame, classifier: Classifier, threshold: float = 0
     return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), ["doc_id", "text"], "doc_id bigint, score double, predicted int", start)
 
 
+def accepted(docs: DataFrame, classifier: Classifier, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores ``threshold`` or more.
+
+    The verdict falls where the text is read, row by row, so nothing is shuffled and null or repeated
+    ids don't matter. ``docs`` must have a column text; null counts as empty; an empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)  # fixed size
+    prepare(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        let_go()
+        for batch in batches:
+            for a, b in text_groups(batch.column(at), 2_000_000):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(own.score(strings(part.column(at))) >= threshold))
+        give_back()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out (crc32(doc_id) mod 5 is 0), score, predicted."""
     out = quality_scores(docs, fit(docs, labels), threshold)

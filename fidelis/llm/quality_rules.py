@@ -17,6 +17,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Memo, kept, map_texts, ragged, strings, text_groups, written
 
@@ -118,21 +119,26 @@ class Fertility:
         }
 
 
-def text_metrics(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
-    """Counts and fertility measures of every row, as a DataFrame with the columns METRICS."""
+def text_metrics(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", carry: bool = False) -> DataFrame:
+    """Counts and fertility measures of every row, with the columns METRICS; the row itself as struct ``row`` where ``carry``."""
     path = public_tokenizers.path(vocabulary)
 
     def start():
         fertility = kept(Fertility, path)
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            for a, b in text_groups(batch.column(2)):
+            texts = batch.column(2).field("text") if carry else batch.column(2)
+            for a, b in text_groups(texts):
                 part = batch.slice(a, b - a)
-                yield {"doc_id": part.column(0), "lang": part.column(1)} | fertility.measure(strings(part.column(2)))
+                own = {"row": part.column(2)} if carry else {}
+                yield {"doc_id": part.column(0), "lang": part.column(1)} | fertility.measure(strings(texts.slice(a, b - a))) | own
 
         return work
 
-    return map_texts(docs.selectExpr("cast(doc_id as bigint) doc_id", "lang", "text"), ["doc_id", "lang", "text"], METRICS, start)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", whole if carry else F.col("text"))
+    schema = StructType.fromDDL(METRICS)
+    return map_texts(rows, rows.columns, schema.add("row", docs.schema) if carry else schema, start)
 
 
 def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", width: float = 6.0, least_spread: float = 0.03, least_tokens: int = 50, least_docs: int = 200) -> DataFrame:
@@ -155,7 +161,23 @@ def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", widt
     Null texts are without words and fail the base rules. Null languages go by script. Equal texts in
     the same language get equal verdicts. Empty tables give empty results; other columns are ignored.
     """
-    metrics = written(text_metrics(docs, vocabulary), "fertility")
+    return _judged(written(text_metrics(docs, vocabulary), "fertility"), width, least_spread, least_tokens, least_docs).drop("row")
+
+
+def accepted(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", width: float = 6.0, least_spread: float = 0.03, least_tokens: int = 50, least_docs: int = 200) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``quality_rules`` keeps.
+
+    Each row is written beside its measures, and its verdict falls when it is read again with the bands
+    at hand: texts are not shuffled, and null or repeated ids don't matter. Cases as in ``quality_rules``.
+    """
+    metrics = written(text_metrics(docs, vocabulary, carry=True), "fertility-rows")
+    return _judged(metrics, width, least_spread, least_tokens, least_docs).filter("kept").select("row.*")
+
+
+def _judged(metrics: DataFrame, width: float, least_spread: float, least_tokens: int, least_docs: int) -> DataFrame:
+    """Verdicts of measured documents, with their struct ``row`` (null if they carry none)."""
+    if "row" not in metrics.columns:
+        metrics = metrics.withColumn("row", F.lit(None).cast("string"))
     long = metrics.filter(F.col("n_tokens") >= least_tokens)
     measures = ("chars_per_token", "byte_share", "token_entropy")
 
@@ -197,7 +219,7 @@ def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", widt
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"),
-        "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script",
+        "n_tokens", "chars_per_token", "byte_share", "token_entropy", "script", "row",
     )
 
 
