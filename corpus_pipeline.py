@@ -1,8 +1,12 @@
 """A corpus pipeline of five stages over ``documents``, each calling one operator of ``fidelis.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
-documents. The result of each is written as Parquet and read again as the next one's input. Tests
-compare the stages with brute force; SQL can't express them, so ORACLE_SQL is None.
+their input, which are those of documents and may be more. The result of each is written as Parquet
+and read again as the next one's input. Tests compare the stages with brute force; SQL can't express
+them, so ORACLE_SQL is None.
+
+Cases that hold for all stages: an empty table stays empty; rows are judged one by one, so repeated
+rows and null ids are rows like others; a null text counts as empty (and fails the quality rules).
 """
 
 from __future__ import annotations
@@ -17,30 +21,38 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't rejected; rows without an id stay."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (labels of the corpus train it)."""
-    scored = quality_classifier.quality_classifier(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, scored.filter("predicted = 0"))
+    return quality_classifier.accepted(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return _without(docs, quality_rules.quality_rules(docs).filter(~F.col("kept")))
+    return quality_rules.accepted(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies: five words, similarity 0.8."""
-    return _without(docs, ngram_join.ngram_join(docs, width=5, percent=80).filter("doc_id <> component_id"))
+    """One document, that with the smallest id, of each group of near copies: five words, similarity 0.8.
+
+    Where ids repeat or are null, rows get numbers of their own first, so that each row is a document;
+    of rows with the same id, or of rows without any, the smallest number stays. Documents without
+    words are near nothing and stay.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("n > 1 or doc_id is null").isEmpty():
+        found = ngram_join.ngram_join(docs, width=5, percent=80)
+        return docs.join(found.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_number"), row), "numbered-rows")
+    found = ngram_join.ngram_join(numbered.select(F.col("_number").alias("doc_id"), "row.text"), width=5, percent=80)
+    named = found.select(F.col("doc_id").alias("_number"), "component_id").join(numbered.select("_number", F.col("row.doc_id").alias("id")), "_number")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_number")).alias("best"))
+    return numbered.join(best.select(F.col("best._number").alias("_number")), "_number", "left_semi").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixed sequence."""
-    return mixing.mix(docs, queries.SHARES, block=queries.BLOCK, many=True).orderBy("mix_position", "doc_id").select(*COLUMNS)
+    """All documents, written in the order of the mixed sequence."""
+    return mixing.mix(docs, queries.SHARES, block=queries.BLOCK, many=True).orderBy("mix_position", "doc_id").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
