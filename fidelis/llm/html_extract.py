@@ -32,7 +32,7 @@ KINDS = {
 KIND_OF = {tag: i for i, tags in enumerate(KINDS.values()) for tag in tags.split()}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never shown as part of a page's text.
-UNSEEN = set("head title script style template noscript svg math iframe object canvas audio video select option textarea button datalist".split())
+UNSEEN = set("head title script style template noscript iframe select option textarea button datalist".split())
 CLOSES_P = set(KIND_OF) - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"} | {"hr"}
 #: A start tag closes an open element of these, up to the bound.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -50,6 +50,8 @@ class Page(HTMLParser):
         self.runs: list[tuple[int, list[str]]] = []
         self.chars, self.linked = [0], [0]
         self.stack: list[tuple[str, int]] = []  # open elements and their nodes
+        self.open: dict[str, list[int]] = {}  # where in the stack elements of a tag are
+        self.blocks: list[int] = []  # and those of KINDS
         self.unseen = self.links = 0
         self.fresh = True
         self.feed(html)
@@ -87,33 +89,40 @@ class Page(HTMLParser):
             self.linked.append(0)
             at = len(self.parents) - 1
             self.fresh = True
+        if tag in KIND_OF:
+            self.blocks.append(len(self.stack))
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, at))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def pop(self) -> str:
-        tag, at = self.stack.pop()
+        tag, _ = self.stack.pop()
+        self.open[tag].pop()
         self.unseen = max(0, self.unseen - (tag in UNSEEN))
         self.links -= tag == "a"
         if tag in KIND_OF:
             self.fresh = True
+            self.blocks.pop()
         return tag
 
+    def innermost(self, tags: set[str]) -> int:
+        """Place in the stack of the innermost open element of ``tags``, -1 without one."""
+        return max((at[-1] for t in tags if (at := self.open.get(t))), default=-1)
+
     def close_to(self, tags: set[str], bounds: set[str]) -> None:
         """Closes the innermost open element of ``tags``, unless one of ``bounds`` is inside it."""
-        for tag, _ in reversed(self.stack):
-            if tag in tags:
-                while self.pop() not in tags:
-                    pass
-                return
-            if tag in bounds or tag in KIND_OF and tag not in tags and bounds == set():
-                return
+        at = self.innermost(tags)
+        if at < 0 or self.innermost(bounds) > at or not bounds and self.blocks and self.blocks[-1] > at:
+            return
+        while len(self.stack) > at:
+            self.pop()
 
     def handle_endtag(self, tag):
-        if any(t == tag for t, _ in reversed(self.stack)):
-            while self.pop() != tag:
-                pass
+        at = self.innermost({tag})
+        while len(self.stack) > at >= 0:
+            self.pop()
 
     def handle_data(self, data):
         if self.unseen:

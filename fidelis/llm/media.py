@@ -68,15 +68,15 @@ def samples_of(image: bytes) -> np.ndarray:
     return rows[:, 1:]
 
 
-def feature_of(samples: np.ndarray, info: dict) -> str:
-    """Size, mean, deviation, entropy of the samples and mean difference of neighbours, all from stored bytes."""
+def feature_of(samples: np.ndarray) -> str:
+    """Mean, deviation and entropy of the samples and mean difference of neighbours, all from stored bytes."""
     flat = samples.reshape(-1)
     count = np.bincount(flat, minlength=256)
     share = count[count > 0] / len(flat)
     mean = float((count * np.arange(256)).sum() / len(flat))
     dev = float(np.sqrt((count * (np.arange(256) - mean) ** 2).sum() / len(flat)))
     step = float(np.abs(np.diff(flat.astype(np.int16))).mean()) if len(flat) > 1 else 0.0
-    return f"{info['width']}x{info['height']}@{info['depth']} mean={mean:.3f} dev={dev:.3f} bits={-(share * np.log2(share)).sum() + 0.0:.3f} step={step:.3f}"
+    return f"mean={mean:.3f} dev={dev:.3f} bits={-(share * np.log2(share)).sum() + 0.0:.3f} step={step:.3f}"
 
 
 class TarShard:
@@ -185,25 +185,30 @@ def _ranges(places: DataFrame, folder: str, schema: str, first: int | None, colu
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Stores the texts of ``docs`` as media, reads them back and describes what was read.
+    """Stores the texts of ``docs`` as media and describes what is read back.
 
     Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature. Null and empty texts are 64 zero bytes. Equal texts share one payload and have equal
+    feature, and the columns of a media table: digest, shard, offset, length (the address), width,
+    height, depth (from header-only range reads). Digests and features come from reads of whole
+    members. Null and empty texts are 64 zero bytes. Equal texts share one payload and have equal
     values; every row comes back once, null doc_ids included; an empty table gives no rows.
     """
     folder = folder or shared_dir(docs.sparkSession, "media")
     rows = store(docs, folder)
-    places = addresses(rows)
+    places = written(addresses(rows), "media-places")
 
     def columns(digests, images):
         out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
         for image in images:
             samples = samples_of(image)
             payload = samples.tobytes()
-            for k, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(samples, header_of(image[:HEADER]))), strict=True):
+            for k, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature_of(samples)), strict=True):
                 out[k].append(v)
         kinds = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64()}
         return {"digest": digests} | {k: pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()}
 
     read = _ranges(places, folder, "digest string, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string", None, columns)
-    return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
+    media = read.join(read_headers(places, folder), "digest").join(places, "digest")
+    media = media.withColumn("feature", F.format_string("%dx%d@%d %s", "width", "height", "depth", "feature"))
+    found = rows.select("doc_id", "n_bytes", "digest").join(media, "digest")  # a frequent digest is a skewed join, which Spark splits
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "shard", "offset", "length", "width", "height", "depth")

@@ -19,8 +19,8 @@ SF = "/root/testdata/sf0.01"
 def test_kneser_ney_sums_to_one():
     model = L.Model({"a": ["abc abd abc bcd", "cab"], "b": ["xyz xyy zzy", "abc"]})
     symbols = np.arange(len(model.symbols.letters) + 2, dtype=np.uint64)
-    for context in (0, (1 << 24) | (2 << 12) | 3, 5, (9 << 24) | (9 << 12) | 9):
-        p = np.exp(model.log_probability((np.uint64(context) << np.uint64(12)) | symbols, L.ORDER))
+    for context in (0, (1 << 2 * L.BITS) | (2 << L.BITS) | 3, 5, (9 << 2 * L.BITS) | (9 << L.BITS) | 9):
+        p = np.exp(model.log_probability((np.uint64(context) << L.SHIFT) | symbols, L.ORDER))
         assert np.allclose(p.sum(axis=0), 1, atol=1e-4)
 
 
