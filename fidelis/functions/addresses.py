@@ -74,3 +74,8 @@ def label_of_file(path: Column) -> Column:
 def label_of_folder(path: Column) -> Column:
     """Label of a sample: the suffix of its folder behind the last underscore."""
     return F.element_at(F.split(F.element_at(F.split(path, "/"), -2), "_"), -1)
+
+
+def path_hash(path: Column) -> Column:
+    """SHA-256 of a file's path, as the name of its sample."""
+    return F.sha2(path, 256)

@@ -100,3 +100,13 @@ def fill_missing(df: DataFrame, numeric: list[str], categorical: list[str], plac
     """Numbers by their mean, categories by a placeholder."""
     means = df.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict() if numeric else {}
     return df.fillna({k: v for k, v in means.items() if v is not None}).fillna({c: placeholder for c in categorical})
+
+
+def fill_array(values: Column, placeholder: str = "?") -> Column:
+    """Nulls in an array of texts as a placeholder."""
+    return F.transform(values, lambda x: F.coalesce(x.cast("string"), F.lit(placeholder)))
+
+
+def share_equal(df: DataFrame, column: str, target) -> DataFrame:
+    """share: of the rows whose value is ``target`` (nulls are other values; null for an empty table)."""
+    return df.agg(F.avg(F.coalesce((F.col(column) == F.lit(target)).cast("double"), F.lit(0.0))).alias("share"))

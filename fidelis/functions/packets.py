@@ -123,3 +123,39 @@ def ipv4_checksum(header_hex: Column) -> Column:
     digits = clean_hex(header_hex)
     at = F.sequence(F.lit(1), F.greatest(F.length(digits) - 3, F.lit(1)), F.lit(4))
     return checksum(F.transform(at, lambda i: F.when(i == 21, F.lit(0)).otherwise(F.conv(F.substring(digits, i, F.lit(4)), 16, 10)).cast("bigint")))
+
+
+def number_bytes(number: Column, length: int) -> Column:
+    """A number as hexadecimal digits of ``length`` bytes."""
+    return F.lower(F.lpad(F.hex(number.cast("bigint")), 2 * length, "0"))
+
+
+def ip_bytes(ip: Column) -> Column:
+    return F.array_join(F.transform(F.split(ip, r"\."), lambda o: number_bytes(o, 1)), "")
+
+
+def header_bytes(src: Column, dst: Column, proto: Column, sport: Column, dport: Column, payload_bytes: Column) -> Column:
+    """Hexadecimal Ethernet, IPv4 and TCP or UDP header for a generated packet.
+
+    Addresses of the link are zero; the IP length is 16 more than the payload, its checksum right, that
+    of TCP and UDP zero. Anything but TCP and UDP ends behind the IP header.
+    """
+    number = F.when(F.upper(proto) == "TCP", 6).when(F.upper(proto) == "UDP", 17).otherwise(0)
+    blank = lambda check: F.concat(F.lit("4500"), number_bytes(payload_bytes + 16, 2), F.lit("0001000040"), number_bytes(number, 1), check, ip_bytes(src), ip_bytes(dst))
+    ports = F.concat(number_bytes(sport, 2), number_bytes(dport, 2))
+    up = F.when(number == 6, F.concat(ports, F.lit("0" * 16 + "5002200000000000"))).when(number == 17, F.concat(ports, number_bytes(payload_bytes + 8, 2), F.lit("0000"))).otherwise("")
+    return F.concat(F.lit("0" * 24 + "0800"), blank(number_bytes(ipv4_checksum(blank(F.lit("0000"))), 2)), up)
+
+
+def flow_key_text(src: Column, dst: Column, sport: Column, dport: Column, proto: Column) -> Column:
+    """A packet's five-tuple as text, the header part of generated packets."""
+    part = lambda name, c: F.concat(F.lit(f"'{name}': '"), F.coalesce(c.cast("string"), F.lit("")), F.lit("'"))
+    return F.concat(F.lit("{"), F.concat_ws(", ", part("src", src), part("dst", dst), part("proto", proto), part("sport", sport), part("dport", dport)), F.lit("}"))
+
+
+def packet_text(mode: str, tuple_text: Column, packet: Column) -> Column:
+    """A packet for a text model: its five-tuple ("tuple"), its bytes in hexadecimal ("hex"), or both ("tuple_hex")."""
+    digits = F.lower(F.hex(packet))
+    if mode not in ("tuple", "hex", "tuple_hex"):
+        raise ValueError(f"unknown mode {mode!r}")
+    return {"tuple": tuple_text, "hex": digits, "tuple_hex": F.concat_ws(" ", tuple_text, digits)}[mode]

@@ -73,6 +73,30 @@ def fixed_size_chunks(packets: DataFrame, time: str, tie: str, chunks: int) -> D
     return placed.join(F.broadcast(total)).withColumn("chunk", F.expr("position div _size").cast("int")).drop("position", "_size")  # one row
 
 
+def near_equal_chunks(rows: DataFrame, order: str, tie: str, chunks: int) -> DataFrame:
+    """Adds ``chunk``: sizes that differ by one row at most, the first ones larger, in the order of two columns."""
+    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    placed = global_positions(rows, order, tie).join(total).withColumn("_q", F.expr(f"_n div {chunks}")).withColumn("_rest", F.col("_n") % chunks)
+    big = F.col("_rest") * (F.col("_q") + 1)
+    chunk = F.when(F.col("position") < big, F.expr("position div (_q + 1)")).otherwise(F.col("_rest") + F.expr("(position - _rest * (_q + 1)) div greatest(_q, 1)"))
+    return placed.withColumn("chunk", chunk.cast("int")).drop("position", "_n", "_q", "_rest")
+
+
+def slices(rows: DataFrame, order: str, tie: str, size: int) -> DataFrame:
+    """Adds ``chunk``: ``size`` rows each, the last one perhaps fewer."""
+    return global_positions(rows, order, tie).withColumn("chunk", F.expr(f"position div {size}").cast("int")).drop("position")
+
+
+def flattened_bits(rows: DataFrame, file: str, order: str, fields: list[str], n: int = 3) -> DataFrame:
+    """file, bits: the bit arrays of the first ``n`` packets one after the other, without ports and addresses; missing packets are -1."""
+    use = [f for f in fields if f != "src_ip" and "prt" not in f and "port" not in f]
+    first = head_per_flow(rows, [file], [order], n)
+    row = first.groupBy(file).agg(F.sort_array(F.collect_list(F.struct("position", F.concat(*use).alias("b")))).alias("_p"))
+    flat = F.flatten(F.transform("_p", lambda x: x["b"]))
+    width = F.size(F.col("_p")[0]["b"])
+    return row.select(file, F.slice(F.concat(flat, F.array_repeat(F.lit(-1), width * n)), F.lit(1), width * n).alias("bits"))
+
+
 def cross_chunk_flows(chunked: DataFrame, key: list[str]) -> DataFrame:
     """Flow, its chunks in order, and whether they follow each other evenly."""
     row = chunked.groupBy(*key).agg(F.sort_array(F.collect_set("chunk")).alias("chunks"))

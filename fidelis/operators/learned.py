@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .membership import label_summary
+from .tables import denormalize
 
 
 def features(numeric: list[str], categorical: list[str]) -> list:
@@ -50,7 +51,13 @@ def train_and_test(train: DataFrame, test: DataFrame, numeric: list[str], catego
     known = train.join(test.select(target).distinct(), target, "left_semi")
     cast = lambda df: df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("target"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
     index = StringIndexer(inputCol="target", outputCol="label", handleInvalid="keep").fit(cast(test))
-    fitted = Pipeline(stages=[*features(numeric, categorical), LEARNERS[model](seed)]).fit(index.transform(cast(known)))
+    rows = index.transform(cast(known))
+    prepared = Pipeline(stages=features(numeric, categorical)).fit(rows)
+    if model == "perceptron":
+        learner = perceptron([prepared.transform(rows.limit(1)).first()["features"].size, 20, len(index.labels) + 1], seed)
+    else:
+        learner = LEARNERS[model](seed)
+    fitted = Pipeline(stages=[prepared, learner]).fit(rows)
     return label_summary(fitted.transform(index.transform(cast(test))), "label", "prediction").select("accuracy", "macro_f1")
 
 
@@ -62,6 +69,27 @@ def downstream(train: DataFrame, synthetic: DataFrame, test: DataFrame, numeric:
     return rows.join(F.broadcast(best)).select("trained_on", "accuracy", "macro_f1", (F.col("_real") - F.col("accuracy")).alias("gap"))  # one row
 
 
+def ml_efficacy(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, kind: str) -> DataFrame:
+    """score: mean score of all models that suit the target.
+
+    A target with two values takes the binary classifiers (macro F1), a numerical one the linear
+    regression (r2), a categorical one the classifiers of several classes.
+    """
+    two = test.where(F.col(target).isNotNull()).select(target).distinct().limit(3).count() == 2
+    if kind == "numerical" and not two:
+        return regression_efficacy(train, test, numeric, target).select(F.col("r2").alias("score"))
+    if kind not in ("categorical", "boolean", "numerical"):
+        raise ValueError(f"unsupported kind of target {kind!r}")
+    models = ["decision_tree", "logistic", "boosted", "perceptron"] if two else ["decision_tree", "perceptron"]
+    each = [train_and_test(train, test, numeric, categorical, target, m).select(F.col("macro_f1").alias("score")) for m in models]
+    return reduce(DataFrame.unionByName, each).agg(F.avg("score").alias("score"))
+
+
+def parent_child_detection(real: tuple[DataFrame, DataFrame], synthetic: tuple[DataFrame, DataFrame], key: str, foreign_key: str, numeric: list[str], categorical: list[str], model: str = "logistic") -> DataFrame:
+    """``detection`` on the denormalised rows of a parent and a child table; model is logistic or svc."""
+    return detection(*[denormalize(*pair, key, foreign_key) for pair in (real, synthetic)], numeric, categorical, model)
+
+
 def regression_efficacy(train: DataFrame, test: DataFrame, numeric: list[str], target: str) -> DataFrame:
     """r2 of a linear regression trained on one table and tested on another."""
     model = Pipeline(stages=[*features(numeric, []), LinearRegression(labelCol=target)]).fit(train.where(F.col(target).isNotNull()))
@@ -72,9 +100,15 @@ def regression_efficacy(train: DataFrame, test: DataFrame, numeric: list[str], t
 
 def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, numeric: list[str], components: int = 3, seed: int = 0) -> DataFrame:
     """score: mean log-likelihood of synthetic rows under a Gaussian mixture fitted on real rows."""
-    assemble = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="skip")
-    model = GaussianMixture(k=components, seed=seed).fit(assemble.transform(real.dropna(subset=numeric)))
-    parts = [(float(w), r["mean"].toArray(), r["cov"].toArray()) for w, r in zip(model.weights, model.gaussiansDF.collect(), strict=True)]  # one row for each component
+    rows = real.dropna(subset=numeric)
+    if components == 1:  # one Gaussian needs no fit: its moments are one aggregate
+        moments = [F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)] + [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}") for i, a in enumerate(numeric) for j, b in enumerate(numeric)]
+        row, n = rows.agg(*moments).first(), len(numeric)
+        parts = [(1.0, np.array([row[f"m{i}"] for i in range(n)], float), np.array([[row[f"c{i}_{j}"] for j in range(n)] for i in range(n)], float))]
+    else:
+        assemble = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="skip")
+        model = GaussianMixture(k=components, seed=seed).fit(assemble.transform(rows))
+        parts = [(float(w), r["mean"].toArray(), r["cov"].toArray()) for w, r in zip(model.weights, model.gaussiansDF.collect(), strict=True)]  # one row for each component
     logs = F.array(*[_log_density(numeric, *p) for p in parts if p[0] > 0])
     most = F.array_max(logs)
     total = most + F.ln(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - most)))

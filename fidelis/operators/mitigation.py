@@ -73,3 +73,8 @@ def pseudonym_mac(mac: Column, key: str) -> Column:
 def pseudonymize(packets: DataFrame, ips: list[str], macs: list[str], key: str) -> DataFrame:
     """Consistent pseudonyms for all listed columns; without the key they can't be recomputed."""
     return packets.withColumns({c: pseudonym_ip(F.col(c), key) for c in ips} | {c: pseudonym_mac(F.col(c), key) for c in macs})
+
+
+def write_noisy(packets: DataFrame, path: str, file: str, overwrite: bool = False, **options) -> None:
+    """Writes packets with noise (``add_noise``) as Parquet. Existing results stay unless ``overwrite``."""
+    add_noise(packets, file, **options).write.mode("overwrite" if overwrite else "ignore").parquet(path)

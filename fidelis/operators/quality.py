@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from enum import Enum
 from functools import reduce
 
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import columns as C
 from .sets import new_row_synthesis
-from .tables import TableMetadata
-from .tagged import SYNTHETIC, tagged
+from .tables import TableMetadata, cardinality_shape
+from .tagged import tagged
 
 
 class Goal(Enum):
@@ -116,7 +116,91 @@ def diagnostic_report(real: DataFrame, synthetic: DataFrame, metadata: TableMeta
     few = synthetic.orderBy(F.xxhash64(F.lit(seed), *synthetic.columns), *synthetic.columns).limit(sample) if sample is not None else synthetic
     fresh = new_row_synthesis(real, few, metadata.select(*CATEGORIES), metadata.select("numerical")).select(F.lit("Synthesis").alias("property"), "score")
     rows = cover.unionByName(bounds).unionByName(fresh)
-    return rows.withColumn("verdict", F.when(F.col("score") >= 0.9, "SUCCESS").when(F.col("score") >= 0.5, "WARNING").otherwise("DANGER"))
+    return rows.withColumn("verdict", _verdict())
 
 
-__all__ = ["Goal", "Metric", "REGISTRY", "SYNTHETIC", "diagnostic_report", "metric_table", "normalize", "property_scores", "quality_report", "register", "scores"]
+def _verdict() -> Column:
+    """In words; null where there is no score."""
+    return F.when(F.col("score") >= 0.9, "SUCCESS").when(F.col("score") >= 0.5, "WARNING").when(F.col("score").isNotNull(), "DANGER")
+
+
+# --- several tables ---------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Relation:
+    """A child table's column that refers to its parent's key."""
+
+    parent: str
+    parent_key: str
+    child: str
+    child_key: str
+
+
+def without_references(metadata: dict[str, TableMetadata], relations: list[Relation]) -> dict[str, TableMetadata]:
+    """The tables' metadata with the children's references as ids, which no column score takes."""
+    out = dict(metadata)
+    for r in relations:
+        out[r.child] = replace(out[r.child], kinds=out[r.child].kinds | {r.child_key: "id"})
+    return out
+
+
+def table_scores(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: dict[str, TableMetadata], names: list[str]) -> DataFrame:
+    """table, metric, field, score: single-table metrics of each table."""
+    each = [scores(real[t], synthetic[t], metadata[t], names).select(F.lit(t).alias("table"), "*") for t in real]
+    return reduce(DataFrame.unionByName, each)
+
+
+def multi_table_metric(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: dict[str, TableMetadata], name: str) -> DataFrame:
+    """score: mean over tables of their mean over fields, nulls left out."""
+    by = table_scores(real, synthetic, metadata, [name]).groupBy("table").agg(F.avg("score").alias("score"))
+    return by.agg(F.avg("score").alias("score"))
+
+
+def relation_scores(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], relations: list[Relation]) -> DataFrame:
+    """parent, child, score: how alike the numbers of children for each parent are."""
+    each = [cardinality_shape((real[r.parent], real[r.child]), (synthetic[r.parent], synthetic[r.child]), r.parent_key, r.child_key).select(F.lit(r.parent).alias("parent"), F.lit(r.child).alias("child"), "score") for r in relations]
+    return reduce(DataFrame.unionByName, each)
+
+
+def multi_table_quality(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: dict[str, TableMetadata], relations: list[Relation]) -> DataFrame:
+    """property, table, metric, field, score: ``quality_report`` of each table and the parent-child relations."""
+    known = without_references(metadata, relations)
+    parts = [quality_report(real[t], synthetic[t], known[t]).select("property", F.lit(t).alias("table"), "metric", "field", "score") for t in real]
+    if relations:
+        own = relation_scores(real, synthetic, relations)
+        parts.append(own.select(F.lit("Parent Child Relationships").alias("property"), F.col("child").alias("table"), F.lit("cardinality_shape").alias("metric"), F.col("parent").alias("field"), "score"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def multi_table_diagnostic(real: dict[str, DataFrame], synthetic: dict[str, DataFrame], metadata: dict[str, TableMetadata], relations: list[Relation], sample: int | None = None) -> DataFrame:
+    """property, score, verdict: means over tables of ``diagnostic_report``."""
+    known = without_references(metadata, relations)
+    each = [diagnostic_report(real[t], synthetic[t], known[t], sample).select(F.lit(t).alias("table"), "property", "score") for t in real]
+    rows = reduce(DataFrame.unionByName, each).groupBy("property").agg(F.avg("score").alias("score"))
+    return rows.withColumn("verdict", _verdict())
+
+
+def metric_config(fields: list[dict], comparison: str = "quantitative") -> dict:
+    """Columns and kinds for scores from a codec configuration: bits, word vectors and categories are categorical, floats numerical.
+
+    A field may name several columns. The result names the columns of each kind, ready for ``series_report``.
+    """
+    kinds = {}
+    for f in fields:
+        kind = "numerical" if f.get("type") == "float" or f.get("encoding") == "float" else "categorical"
+        for c in f["columns"] if "columns" in f else [f["column"]]:
+            kinds[c] = kind
+    return {"comparison": comparison, "kinds": kinds, "attribute": [c for c, k in kinds.items() if k == "categorical"], "feature": [c for c, k in kinds.items() if k == "numerical"]}
+
+
+def flattened_scores(nested: dict, prefix: str = "") -> dict[str, float]:
+    """A nested dictionary of scores as field to value; tuples and lists give their first part."""
+    out = {}
+    for k, v in nested.items():
+        name = f"{prefix}{k}"
+        if isinstance(v, dict):
+            out |= flattened_scores(v, f"{name}.")
+        else:
+            out[name] = v[0] if isinstance(v, list | tuple) else v
+    return out

@@ -44,3 +44,15 @@ def encode_bytes(texts: DataFrame, column: str, length: int, specials: tuple[str
 def responses_by_label(rows: DataFrame, prompt: str, response: str) -> DataFrame:
     """label (last word but one of the prompt), responses."""
     return rows.groupBy(F.element_at(F.split(F.trim(prompt), r"\s+"), -2).alias("label")).agg(F.sort_array(F.collect_list(response)).alias("responses"))
+
+
+def detection_set(samples: DataFrame, text: str, label: str, template: str, cap: int | None = None, train_share: float = 0.95, seed: int = 0) -> DataFrame:
+    """instruction, output, split: packets of all labels, each asked for its label."""
+    split = split_by_class(samples.select(F.col(text).alias("t"), F.col(label).alias("l")), "l", cap, train_share, seed)
+    return split.select(F.concat(F.lit(template), F.col("t")).alias("instruction"), F.col("l").cast("string").alias("output"), "split")
+
+
+def generation_set(samples: DataFrame, text: str, label: str, template: str, cap: int | None = None, train_share: float = 0.95, seed: int = 0) -> DataFrame:
+    """instruction, output, split: each label is asked for and a packet of it is the answer; {label} in the template is replaced."""
+    split = split_by_class(samples.select(F.col(text).alias("t"), F.col(label).alias("l")), "l", cap, train_share, seed)
+    return split.select(F.replace(F.lit(template), F.lit("{label}"), F.col("l").cast("string")).alias("instruction"), F.col("t").alias("output"), "split")

@@ -37,7 +37,8 @@ def test_query(spark, duck, name):
     assert sorted(rel.columns) == columns
     kinds = {c: str(t) for c, t in zip(rel.columns, rel.types, strict=True)}
     assert {c: TYPES[t] for c, t in df.dtypes} == kinds
-    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
+    names = ", ".join(f'"{c}"' for c in columns)
+    want = duck.sql(f"SELECT {names} FROM ({ORACLE[name]})").fetchall()
     assert ordered(got) == ordered(want)
 
 
