@@ -6,7 +6,6 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from fidelis.operators import bit_repair as R
 from fidelis.operators import columns as C
 from fidelis.operators import membership as M
@@ -112,13 +111,3 @@ def test_score_of_constant_and_empty_sides(spark):
         both = tagged(make(real), make(synthetic), ["x"])
         for f in (C.range_coverage, C.interval_overlap, C.statistic_similarity):
             assert all(r["score"] is None for r in f(both, ["x"]).collect())
-
-
-LEARNED = ("detection", "downstream", "op", "pipeline")
-
-
-def test_no_registered_plan_has_a_cartesian_product(spark):
-    for name, run in entry.queries().items():
-        if not name.startswith(LEARNED):  # those run models while they are planned
-            plan = run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-            assert "CartesianProduct" not in plan, name
