@@ -179,9 +179,10 @@ class Memo:
         new = list(words.difference(self.known))
         if new:
             if len(self.known) + len(new) > self.limit or self.bytes > self.most_bytes:
-                self.known.clear()
-                self.bytes = 0
-                new = list(words)
+                # Only what this batch needs stays: it has the frequent words.
+                each = self.bytes // max(1, len(self.known))
+                self.known = {w: self.known[w] for w in words if w in self.known}
+                self.bytes = each * len(self.known)
             found = self.learn(new)
             self.known.update(zip(new, found, strict=True))
             self.passing = [w for w in new if len(w) > self.LONG_WORD]

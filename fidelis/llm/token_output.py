@@ -15,6 +15,7 @@ import sys
 import uuid
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -122,24 +123,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         special = byte_bpe.load(path)["special"]
         self.special, self.ids = byte_bpe.special_pattern(special), {k: struct.pack("<I", v) for k, v in special.items()}
-        self.memo = Memo(self.learn, 1_100_000)
+        self.memo = Memo(self.learn, 1_100_000, 192 << 20)
         symbols = {b: c for c, b in byte_bpe.byte_symbols().items()}
         self.symbols, self.space = {b: symbols[b] for b in range(256)}, symbols[0x20]
 
+    def pieces(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of pre-tokens in the model's byte symbols, by the library's model."""
+        for a in range(0, len(words), 2000):
+            found = list(map(self.tokenizer.model.tokenize, words[a : a + 2000]))
+            ends = [0, *accumulate(map(len, found))]
+            ids = np.fromiter((t.id for t in chain.from_iterable(found)), "<u4", ends[-1]).tobytes()
+            yield from (ids[4 * x : 4 * y] for x, y in pairwise(ends))
+
     def learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks. Letters behind a space are one pre-token, marks behind them another: these go straight
         to the library's model in that model's byte symbols. Other chunks take the whole way through the library."""
-        model, out, others, marks = self.tokenizer.model.tokenize, [b""] * len(chunks), [], {"": b""}
+        out, words, at, tails, others, marks = [b""] * len(chunks), [], [], [], [], {"": b""}
         for i, c in enumerate(chunks):
             letters = c.rstrip(MARKS)
             if letters.isalpha() and not isinstance(c, byte_bpe.Inner):
-                word = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)
-                tail = c[len(letters) :]
-                if tail not in marks:
-                    marks[tail] = array("I", [t.id for t in model(tail)]).tobytes()
-                out[i] = array("I", [t.id for t in model(self.space + word)]).tobytes() + marks[tail]
+                words.append(self.space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)))
+                at.append(i)
+                tails.append(c[len(letters) :])
             else:
                 others.append(i)
+        new = [x for x in set(tails) if x]
+        marks |= zip(new, self.pieces(new), strict=True)
+        for i, ids, tail in zip(at, self.pieces(words), tails, strict=True):
+            out[i] = ids + marks[tail] if tail else ids
         found = self.tokenizer.encode_batch_fast([byte_bpe.spelled(chunks[i]) for i in others], add_special_tokens=False)
         for i, e in zip(others, found, strict=True):
             out[i] = array("I", e.ids).tobytes()
