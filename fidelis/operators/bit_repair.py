@@ -13,7 +13,14 @@ from ..functions.bits import bits_to_int, int_to_bits
 
 def fill_missing_bits(bits: Column, seed: int) -> Column:
     """-1 becomes a random bit: those of a seeded hash of the place and the row's bits."""
-    return F.transform(bits, lambda b, i: F.when(b == -1, F.pmod(F.xxhash64(F.lit(seed), i, F.array_join(F.transform(bits, lambda x: x.cast("string")), "")), F.lit(2)).cast("int")).otherwise(b.cast("int")))
+    row = F.array_join(F.transform(bits, lambda x: x.cast("string")), "")
+    draw = lambda i, key: F.pmod(F.xxhash64(F.lit(seed), i, key), F.lit(2)).cast("int")
+    return _let(row, lambda key: F.transform(bits, lambda b, i: F.when(b == -1, draw(i, key)).otherwise(b.cast("int"))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def constant_bits(width: int, value: int) -> Column:
@@ -113,28 +120,30 @@ def tcp_options(bits: Column, seed: int) -> Column:
     option of 8 bits follows). The fold runs in the JVM; null stays null.
     """
     old = F.transform(bits, lambda b: b.cast("int"))
-    free = fill_missing_bits(bits, seed)
     state = lambda at, left, out: F.struct(at.cast("int").alias("at"), left.alias("left"), out.alias("out"))
     gap = missing_bits(8)
 
-    def step(s: Column, _: Column) -> Column:
+    def step(s: Column, header: Column) -> Column:
+        to_gap = F.array_position(F.slice(header["old"], s["at"] + 1, OPTION_BITS), F.lit(-1)).cast("int")
+        run = F.when(to_gap == 0, OPTION_BITS - s["at"]).otherwise(to_gap - 1)
+        sizes = _let(run, lambda n: F.array_min(F.transform(s["left"], lambda x, i: F.struct(F.abs(x - n).alias("d"), i.alias("i"), x.alias("x")))))
+        chosen = F.struct(sizes["x"].alias("near"), F.get(header["old"], s["at"]).alias("first"))
+        return F.when(s["at"] >= OPTION_BITS, s).otherwise(_let(chosen, lambda c: write(s, header, c["near"], c["first"])))
+
+    def write(s: Column, header: Column, near: Column, first: Column) -> Column:
         at, left = s["at"], s["left"]
-        to_gap = F.array_position(F.slice(old, at + 1, OPTION_BITS), F.lit(-1)).cast("int")
-        run = F.when(to_gap == 0, OPTION_BITS - at).otherwise(to_gap - 1)
-        near = F.array_min(F.transform(left, lambda x, i: F.struct(F.abs(x - run).alias("d"), i.alias("i"), x.alias("x"))))["x"]
-        rest = F.filter(left, lambda x: x != near)
-        first = F.get(old, at)
         end = (near == 8) & (first == 0)
         written = F.when(near == 0, gap).when(near == 8, F.when(first == 1, constant_bits(8, 1)).when(at == 0, gap).otherwise(constant_bits(8, 0)))
         for n, (kind, length) in TCP_OPTIONS.items():
-            written = written.when(near == n, F.concat(constant_bits(8, kind), constant_bits(8, length), F.slice(free, at + 17, n - 16)))
+            written = written.when(near == n, F.concat(constant_bits(8, kind), constant_bits(8, length), F.slice(header["free"], at + 17, n - 16)))
         out = F.concat(s["out"], F.slice(written, 1, OPTION_BITS - at))
         stop = F.when(end & (at > 0), F.lit(OPTION_BITS)).otherwise(at + F.greatest(near, F.lit(8)))
-        kept = F.when((near == 0) | ((near == 8) & (first == 1)), left).otherwise(rest)
-        return F.when(at >= OPTION_BITS, s).otherwise(state(stop, kept, out))
+        kept = F.when((near == 0) | ((near == 8) & (first == 1)), left).otherwise(F.filter(left, lambda x: x != near))
+        return state(stop, kept, out)
 
     begin = state(F.lit(0), F.array(*map(F.lit, OPTION_SIZES)), F.array().cast("array<int>"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(OPTION_BITS // 8)), begin, step, lambda s: s["out"])
+    header = F.struct(old.alias("old"), fill_missing_bits(bits, seed).alias("free"))
+    done = _let(header, lambda h: F.aggregate(F.sequence(F.lit(1), F.lit(OPTION_BITS // 8)), begin, lambda s, _: step(s, h), lambda s: s["out"]))
     return F.when(bits.isNotNull(), F.slice(F.concat(done, missing_bits(OPTION_BITS)), 1, OPTION_BITS))
 
 

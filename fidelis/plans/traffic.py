@@ -118,14 +118,14 @@ def head_per_flow(spark, d) -> DataFrame:
 
 
 @query(
-    f"""WITH {PACKETS}, f AS (SELECT user_id, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY time, event_id) AS i FROM packets), u AS (SELECT DISTINCT user_id FROM packets),
- s AS (SELECT u.user_id, i.i, COALESCE(f.value, 0) AS x FROM u CROSS JOIN (SELECT UNNEST(RANGE(1, 25)) AS i) i LEFT JOIN f ON f.user_id = u.user_id AND f.i = i.i),
- p AS (SELECT l.lag, a.user_id, a.x AS a, b.x AS b FROM (SELECT UNNEST(RANGE(1, 9)) AS lag) l JOIN s a ON a.i <= 24 - l.lag JOIN s b ON a.user_id = b.user_id AND b.i = a.i + l.lag),
- r AS (SELECT lag, user_id, CASE WHEN VAR_POP(a) > 0 AND VAR_POP(b) > 0 THEN CORR(a, b) END AS r FROM p GROUP BY ALL)
+    f"""WITH {PACKETS}, f AS (SELECT DENSE_RANK() OVER (ORDER BY user_id, event_type) AS flow, value, ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY time, event_id) AS i FROM packets), m AS (SELECT MAX(i) AS n FROM f), u AS (SELECT DISTINCT flow FROM f),
+ s AS (SELECT u.flow, i.i, COALESCE(f.value, 0) AS x FROM u CROSS JOIN (SELECT UNNEST(RANGE(1, n + 1)) AS i FROM m) i LEFT JOIN f ON f.flow = u.flow AND f.i = i.i),
+ p AS (SELECT b.i - a.i AS lag, a.flow, a.x AS a, b.x AS b FROM s a JOIN s b ON a.flow = b.flow AND b.i > a.i CROSS JOIN m WHERE b.i - a.i <= GREATEST(n - 2, 1)),
+ r AS (SELECT lag, flow, CASE WHEN MIN(a) < MAX(a) AND MIN(b) < MAX(b) THEN CORR(a, b) END AS r FROM p GROUP BY ALL)
  SELECT CAST(lag AS INTEGER) AS lag, ROUND(AVG(CASE WHEN r IS NULL OR r = 0 THEN 1e-8 ELSE r END), 6) AS r FROM r GROUP BY lag"""
 )
 def autocorrelation(spark, d) -> DataFrame:
-    return rounded(FL.autocorrelation(packets(spark, d), ["user_id"], ORDER, "value", 24, 8))
+    return rounded(FL.autocorrelation(packets(spark, d), KEY, ORDER, "value"))
 
 
 @query(
