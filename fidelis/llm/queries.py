@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_lattice, token_counts, token_output
+from . import html_extract, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_lattice, source_divergence, token_counts, token_output
 from .common import read
 
 #: Shares of a round by source; every other source has one.
@@ -52,5 +52,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_source_mixing, op5_quality_rules, op6_ngram_join, op7_html_text, op8_media_columns, op9_quality_classifier, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.source_divergence(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_source_mixing, op5_quality_rules, op6_ngram_join, op7_html_text, op8_media_columns, op9_quality_classifier, op10_token_output, op11_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op11_source_divergence": source_divergence.divergence_sql()}
