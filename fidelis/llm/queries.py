@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, language_id, media, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_lattice, source_divergence, token_counts, token_output
+from . import html_extract, language_id, media, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, sentencepiece_lattice, simhash_anchors, source_divergence, token_counts, token_output
 from .common import read
 
 #: Shares of a round by source; every other source has one.
@@ -56,5 +56,13 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.source_divergence(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_source_mixing, op5_quality_rules, op6_ngram_join, op7_html_text, op8_media_columns, op9_quality_classifier, op10_token_output, op11_source_divergence)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(read(spark, sf_dir, "documents"))
+
+
+def op13_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_anchors.simhash(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_sentencepiece, op4_source_mixing, op5_quality_rules, op6_ngram_join, op7_html_text, op8_media_columns, op9_quality_classifier, op10_token_output, op11_source_divergence, op12_periodic_runs, op13_simhash_anchors)}
 ORACLE_SQL: dict[str, str] = {"op11_source_divergence": source_divergence.divergence_sql()}
