@@ -11,76 +11,132 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .membership import majority, nearest_rows
+from .tagged import running
 
 # --- numbers ----------------------------------------------------------------------------------
 
 
-def quantile_edges(df: DataFrame, columns: list[str], edges: int = 128) -> dict[str, list[float]]:
-    """``edges`` quantiles of each column: the empirical distribution function in fixed size. Empty columns have none."""
-    share = [(k + 0.5) / edges for k in range(edges)]
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), share, 10_000).alias(c) for c in columns]).first()
-    return {c: list(row[c] or []) for c in columns}
+def shares_below(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(value, share) of each distinct ``value`` of ``asked``: the share of the values of ``known`` at or below it.
+
+    The empirical distribution function, exactly: equal values are counted first, then summed up by
+    ranges of the order. Nulls are left out on both sides; without known values the share is null.
+    """
+    kept = lambda df, n: df.where(F.col("value").isNotNull()).select(F.col("value").cast("double").alias("value"), n.alias("n"))
+    counts = kept(known, F.lit(1.0)).groupBy("value").agg(F.sum("n").alias("n"))
+    steps = counts.unionByName(kept(asked, F.lit(0.0)).distinct()).groupBy("value").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return running(steps, [], "value", "n").join(F.broadcast(total)).select("value", (F.col("cum") / F.col("total")).alias("share"))  # one row
 
 
-def level(x: Column, edges: list[float]) -> Column:
-    """How many of the edges are at or below a number: the distribution function in steps of 1 / len(edges). Null stays null."""
-    below = F.aggregate(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), F.lit(0), lambda n, e: n + F.when(e <= x, 1).otherwise(0))
-    return F.when(x.isNotNull(), below)
+def cdf_distance(real: DataFrame, pairs: DataFrame, p: float = 2) -> DataFrame:
+    """rows, total: over ``pairs`` (predicted, actual) the sum of |F(predicted) - F(actual)| ** p with F of the ``value`` column of ``real``.
 
+    Equal pairs are counted once, so a frequent value meets its share in few rows.
+    """
+    # A guess is looked up by its value, which a second run of a sum might not hit to the last bit.
+    each = stored(pairs.groupBy("predicted", "actual").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    shares = shares_below(real, each.select(F.col("predicted").alias("value")).union(each.select("actual")))
+    of = lambda c: shares.select(F.col("value").alias(c), F.col("share").alias(f"of_{c}"))
+    met = each.join(of("predicted"), "predicted").join(of("actual"), "actual")
+    return met.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * F.pow(F.abs(F.col("of_predicted") - F.col("of_actual")), F.lit(float(p)))).alias("total"))
 
-def cdf_distance(predicted: list[Column], actual: list[Column], edges: list[list[float]], p: float = 2) -> Column:
-    """Sum over columns of |F(predicted) - F(actual)| ** p."""
-    parts = [F.pow(F.abs(level(a, e) - level(b, e)) / F.lit(float(max(len(e), 1))), F.lit(float(p))) for a, b, e in zip(predicted, actual, edges, strict=True)]
-    return reduce(lambda a, b: a + b, parts)
+
+def _mean_distance(real: DataFrame, rows: DataFrame, sensitive: list[str], p: float) -> DataFrame:
+    """score: mean over ``rows`` (each sensitive column and its guess _of_) of the columns' distances summed up."""
+    each = [cdf_distance(real.select(F.col(c).alias("value")), rows.select(F.col(f"_of_{c}").alias("predicted"), F.col(c).alias("actual")), p) for c in sensitive]
+    return reduce(DataFrame.unionByName, each).agg((F.sum("total") / F.max("rows")).alias("score"))
 
 
 def regression_attack(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: list[str], p: float = 2) -> DataFrame:
-    """score: mean ``cdf_distance`` of the real rows' sensitive numbers from those that linear regressions on synthetic rows predict.
+    """score: mean distance of the real rows' sensitive numbers from those that linear regressions on synthetic rows predict.
 
-    Rows with a null in ``keys`` or ``sensitive`` are left out; 0 is a perfect attack.
+    The distance of a row is the sum over sensitive columns of |F(predicted) - F(actual)| ** p, F being
+    the distribution function of the real column. Rows with a null in ``keys`` or ``sensitive`` are left
+    out; 0 is a perfect attack.
     """
-    edges = quantile_edges(real, sensitive)
     rows = _numbers(real, keys, sensitive)
     assemble = VectorAssembler(inputCols=keys, outputCol="_features")
     train = assemble.transform(_numbers(synthetic, keys, sensitive))
     rows = assemble.transform(rows)
     for c in sensitive:
         rows = LinearRegression(featuresCol="_features", labelCol=c, predictionCol=f"_of_{c}").fit(train).transform(rows)
-    distance = cdf_distance([F.col(f"_of_{c}") for c in sensitive], [F.col(c) for c in sensitive], [edges[c] for c in sensitive], p)
-    return rows.agg(F.avg(distance).alias("score"))
+    return _mean_distance(real, rows, sensitive, p)
 
 
 def _numbers(df: DataFrame, keys: list[str], sensitive: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in (*keys, *sensitive)]).dropna()
 
 
-def radius_attack(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: list[str], p: float = 2, cutoff: float = 0.1, edges: int = 64) -> DataFrame:
-    """score: mean ``cdf_distance`` when a real row's sensitive numbers are guessed by the mean of the synthetic rows near its keys.
+def near_sums(places: DataFrame, points: DataFrame, axes: list[str], sums: list[str], radius: float, p: float = 2, depth: int | None = None) -> DataFrame:
+    """For each row of ``places`` (axes, between 0 and 1) the totals of ``sums`` over the ``points`` near it; places near nothing have no row.
 
-    Near means that the p-th powers of the differences of the keys' distribution functions, in steps of
-    1 / ``edges``, sum up to less than len(keys) * cutoff ** p; nothing near gives a guess of 0. (The
-    numerator takes near rows only, as a mean should.) Both sides are summed up by the keys' steps
-    before they meet, so the join has at most edges ** (2 len(keys)) rows whatever the data, and it is
-    an equi-join on cells as wide as the radius.
+    Near: the p-th powers of the differences on all axes add up to less than ``radius``. A tree of cells,
+    halved on each axis from level to level, meets itself: pairs of cells that are near as a whole take
+    the cell's totals, pairs that are far drop out, and only pairs on the rim go on to their halves. At
+    the last level the rows of rim cells are compared one by one. ``depth`` follows from the number of
+    points, so that cells have few of them.
+    """
+    k = len(axes)
+    if depth is None:
+        depth = max(1, min(62 // k, -(-max(1, points.count()).bit_length() // k)))
+
+    def code(level: int) -> Column:
+        side = 1 << level
+        at = [F.least(F.floor(F.col(a) * side), F.lit(side - 1)) for a in axes]
+        return reduce(lambda x, y: x + y, [F.shiftleft(v.cast("bigint"), level * i) for i, v in enumerate(at)])
+
+    def bound(level: int, more: int) -> Column:
+        """Least (-1) or greatest (1) distance of two cells' rows."""
+        mask, parts = (1 << level) - 1, []
+        for i in range(k):
+            place = [F.shiftright(F.col(c), level * i).bitwiseAND(F.lit(mask)) for c in ("cell", "other")]
+            steps = F.abs(place[0] - place[1]) + more
+            parts.append(F.pow(F.greatest(steps, F.lit(0)) / float(1 << level), F.lit(float(p))))
+        return reduce(lambda x, y: x + y, parts)
+
+    levels = range(depth + 1)
+    own = places.select(*axes).distinct().select("*", *[code(n).alias(f"_q{n}") for n in levels])
+    data = points.select(*axes, *sums, *[code(n).alias(f"_d{n}") for n in levels])
+    rim, given = places.limit(1).select(F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("other")), []
+    for n in levels:
+        totals = data.groupBy(F.col(f"_d{n}").alias("other")).agg(*[F.sum(c).alias(c) for c in sums])
+        if n:
+            down = own.select(F.col(f"_q{n - 1}").alias("cell"), F.col(f"_q{n}").alias("cell_")).distinct()
+            across = data.select(F.col(f"_d{n - 1}").alias("other"), F.col(f"_d{n}").alias("other_")).distinct()
+            rim = rim.join(down, "cell").join(across, "other").select(F.col("cell_").alias("cell"), F.col("other_").alias("other"))
+        pairs = rim.where(bound(n, -1) < radius).withColumn("whole", bound(n, 1) < radius)
+        met = pairs.where("whole").join(totals, "other").groupBy("cell").agg(*[F.sum(c).alias(c) for c in sums])
+        given.append(own.join(met, own[f"_q{n}"] == met["cell"]).select(*axes, *sums))
+        rim = pairs.where("not whole").select("cell", "other")
+    leaf = own.select(F.col(f"_q{depth}").alias("cell"), *axes).join(rim, "cell")
+    far = data.select(F.col(f"_d{depth}").alias("other"), *[F.col(a).alias(f"_{a}") for a in axes], *sums)
+    apart = reduce(lambda x, y: x + y, [F.pow(F.abs(F.col(a) - F.col(f"_{a}")), F.lit(float(p))) for a in axes])
+    given.append(leaf.join(far, "other").where(apart < radius).select(*axes, *sums))
+    return reduce(DataFrame.unionByName, given).groupBy(*axes).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def radius_attack(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: list[str], p: float = 2, cutoff: float = 0.1, depth: int | None = None) -> DataFrame:
+    """score: mean distance when a real row's sensitive numbers are guessed by the mean of the synthetic rows near its keys.
+
+    Near means that the p-th powers of the differences of the keys' distribution functions (of the real
+    columns) sum up to less than len(keys) * cutoff ** p; nothing near gives a guess of 0. (The numerator
+    takes near rows only, as a mean should.) The distance is that of ``regression_attack``. Rows are
+    counted by distinct keys before they meet, and ``near_sums`` finds what is near.
     """
-    key_edges, own_edges = quantile_edges(real, keys, edges), quantile_edges(real, sensitive)
-    steps = {c: level(F.col(c), key_edges[c]).alias(c) for c in keys}
-    s = _numbers(synthetic, keys, sensitive).select(*steps.values(), *sensitive).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sensitive])
-    rows = _numbers(real, keys, sensitive).select(*steps.values(), *sensitive)
+    rows, fake = _numbers(real, keys, sensitive), _numbers(synthetic, keys, sensitive)
     places = rows.select(*keys).distinct()
-    radius = max(1, int(edges * cutoff * len(keys) ** (1 / p)) + 1)
-    cell = lambda c: F.expr(f"`{c}` div {radius}")
-    near = places.select("*", *[F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1)).alias(f"_cell_{c}") if i == 0 else cell(c).alias(f"_at_{c}") for i, c in enumerate(keys)])
-    for c in keys[1:]:
-        near = near.withColumn(f"_cell_{c}", F.explode(F.array(F.col(f"_at_{c}") - 1, F.col(f"_at_{c}"), F.col(f"_at_{c}") + 1))).drop(f"_at_{c}")
-    other = s.select(*[F.col(c).alias(f"_other_{c}") for c in keys], *[cell(c).alias(f"_cell_{c}") for c in keys], "_n", *[f"_sum_{c}" for c in sensitive])
-    apart = reduce(lambda a, b: a + b, [F.pow(F.abs(F.col(c) - F.col(f"_other_{c}")) / F.lit(float(edges)), F.lit(float(p))) for c in keys])
-    hits = near.join(other, [f"_cell_{c}" for c in keys]).where(apart < len(keys) * cutoff**p)
-    guess = hits.groupBy(*keys).agg(*[(F.sum(f"_sum_{c}") / F.sum("_n")).alias(f"_of_{c}") for c in sensitive])
-    found = rows.join(guess, keys, "left").fillna(0.0, [f"_of_{c}" for c in sensitive])
-    distance = cdf_distance([F.col(f"_of_{c}") for c in sensitive], [F.col(c) for c in sensitive], [own_edges[c] for c in sensitive], p)
-    return found.agg(F.avg(distance).alias("score"))
+    data = fake.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sensitive])
+    for c in keys:
+        value = lambda df, c=c: df.select(F.col(c).cast("double").alias("value"))
+        shares = shares_below(value(real), value(places).union(value(data))).select(F.col("value").alias(c), F.col("share").alias(f"_at_{c}"))
+        places, data = places.join(shares, c), data.join(shares, c)
+    axes, sums = [f"_at_{c}" for c in keys], ["_n", *[f"_sum_{c}" for c in sensitive]]
+    near = near_sums(places, data, axes, sums, len(keys) * cutoff**p, p, depth)
+    guess = places.join(near, axes, "left").select(*keys, *[F.coalesce(F.col(f"_sum_{c}") / F.col("_n"), F.lit(0.0)).alias(f"_of_{c}") for c in sensitive])
+    return _mean_distance(real, rows.join(guess, keys), sensitive, p)
 
 
 # --- categories -------------------------------------------------------------------------------
@@ -106,7 +162,7 @@ def guesses(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: s
         counted = s.groupBy(*keys, sensitive).agg(F.count(F.lit(1)).alias("_n"))
         rows = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("_n", F.lit(neighbours))))).withColumn("id", F.xxhash64(*keys, sensitive, "_i"))
         points = r.select(*keys).distinct().withColumn("id", F.xxhash64(*keys))
-        near = nearest_rows(points, rows, keys, neighbours).join(rows.select(F.col("id").alias("model_id"), F.col(sensitive).alias("vote")), "model_id")
+        near = nearest_rows(points, rows, keys, neighbours, fill=True).join(rows.select(F.col("id").alias("model_id"), F.col(sensitive).alias("vote")), "model_id")
         found = points.join(majority(near, ["id"], "vote"), "id", "left").select(*keys, F.col("vote").alias("guess"))
     else:
         stages = [

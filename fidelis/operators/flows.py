@@ -153,8 +153,61 @@ def _tidy(r: Column) -> Column:
     return F.when(r.isNull() | (r == 0), 1e-8).when(F.abs(r) > 1.0000001, 0.0).otherwise(r)
 
 
+#: Values in a block of a series, and the length up to which products are summed directly.
+BLOCK, DIRECT = 1 << 16, 512
+
+
+def lag_products(rows: DataFrame, most_lags: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(flow, lag, ab): sums of x at i times x at i + lag over each flow's rows (flow, i from 1, x), for lags from 1 below its length.
+
+    A flow is cut into blocks of ``block`` values. A block is multiplied with itself and each later one
+    at all shifts at once by fast Fourier transforms, and a lag's parts are added up. So a task holds two
+    blocks, a flow of one block gives one row a lag, and the blocks of a long flow meet in many tasks.
+    """
+    at = F.floor((F.col("i") - 1) / block)
+    parts = rows.select("flow", at.alias("u"), F.struct("i", "x").alias("p")).groupBy("flow", "u").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    parts = parts.select("flow", "u", F.col("p.x").alias("x"))
+    sizes = rows.groupBy("flow").agg(F.max(at).alias("top"))
+    parts = parts.join(sizes, "flow")
+    reach = F.col("top") if most_lags is None else F.least("top", F.col("u") + F.lit((most_lags - 1) // block + 1))
+    back = F.lit(0) if most_lags is None else F.greatest(F.lit(0), F.col("u") - F.lit((most_lags - 1) // block + 1))
+    own = parts.select("flow", "u", F.col("u").alias("v"), "x", F.lit(None).cast("array<double>").alias("y"))
+    left = parts.where("u < top").select("flow", "u", F.explode(F.sequence(F.col("u") + 1, reach)).alias("v"), "x")
+    right = parts.where("u > 0").select("flow", F.explode(F.sequence(back.cast("bigint"), F.col("u") - 1)).alias("u"), F.col("u").alias("v"), F.col("x").alias("y"))
+    both = own.unionByName(left.join(right, ["flow", "u", "v"]))
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, lags, values = [], [], []
+            for k in range(batch.num_rows):
+                u, v = (batch.column(c)[k].as_py() for c in (1, 2))
+                x = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                y = x if u == v else batch.column(4)[k].values.to_numpy(zero_copy_only=False)
+                shift = np.arange(1 - len(x), len(y)) + (v - u) * block
+                if len(x) <= DIRECT and len(y) <= DIRECT:
+                    all_ = np.correlate(y, x, "full")
+                else:
+                    n = 1 << (len(x) + len(y) - 1).bit_length()
+                    wave = np.fft.irfft(np.conj(np.fft.rfft(x, n)) * np.fft.rfft(y, n), n)
+                    all_ = np.concatenate([wave[n - len(x) + 1 :], wave[: len(y)]])
+                keep = (shift > 0) if most_lags is None else (shift > 0) & (shift <= most_lags)
+                keys.append(np.full(int(keep.sum()), k))
+                lags.append(shift[keep])
+                values.append(all_[keep])
+                if sum(map(len, lags)) >= 50_000 or k == batch.num_rows - 1:
+                    rows_ = pa.array(np.concatenate(keys))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows_), pa.array(np.concatenate(lags), pa.int64()), pa.array(np.concatenate(values))], ["flow", "lag", "ab"])
+                    keys, lags, values = [], [], []
+
+    flow = rows.schema["flow"].dataType.simpleString()
+    return both.mapInArrow(products, f"flow {flow}, lag bigint, ab double").groupBy("flow", "lag").agg(F.sum("ab").alias("ab"))
+
+
 def _whole_autocorrelation(packets: DataFrame, key: list[str], order: list[str], feature: str, most_lags: int | None) -> DataFrame:
-    """All packets and lags. Moments of both ends of a padded series are sums up to and from a packet; only products need pairs."""
+    """All packets and lags. Moments of both ends of a padded series are sums up to and from a packet; products come from ``lag_products``."""
     flow = F.struct(*key).alias("flow")
     rows = packets.select(flow, F.coalesce(F.col(feature).cast("double"), F.lit(0.0)).alias("x"), F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("i"))
     up, down = Window.partitionBy("flow").orderBy("i"), Window.partitionBy("flow").orderBy(F.desc("i"))
@@ -162,12 +215,10 @@ def _whole_autocorrelation(packets: DataFrame, key: list[str], order: list[str],
     ends = rows.select("flow", "i", sums(up).alias("a"), sums(down).alias("b"))
     sizes = rows.groupBy("flow").agg(F.max("i").alias("n"))
     size = F.broadcast(sizes.agg(F.max("n").alias("length"), F.count(F.lit(1)).alias("flows")))  # one row
-    later = rows.select("flow", F.col("i").alias("_i"), F.col("x").alias("_x"))
     last = F.greatest(F.col("length") - 2, F.lit(1))
-    lag = F.col("_i") - F.col("i")
-    pairs = rows.join(later, "flow").join(size).where((lag > 0) & (lag <= (last if most_lags is None else F.least(last, F.lit(most_lags)))))
+    last = last if most_lags is None else F.least(last, F.lit(most_lags))
     # A flow's lags beyond its own length meet zeros only: their correlations are undefined.
-    lags = pairs.groupBy("flow", lag.alias("lag"), "length", "flows").agg(F.sum(F.col("x") * F.col("_x")).alias("ab")).join(sizes, "flow")
+    lags = lag_products(rows, most_lags).join(size).where(F.col("lag") <= last).join(sizes, "flow")
     lags = lags.withColumn("m", F.col("length") - F.col("lag"))
     lags = lags.withColumn("_end", F.least("m", "n")).join(ends.select("flow", F.col("i").alias("_end"), "a"), ["flow", "_end"])
     lags = lags.withColumn("_from", F.col("lag") + 1).join(ends.select("flow", F.col("i").alias("_from"), "b"), ["flow", "_from"])

@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .membership import label_summary
+from .mixture import mixture_log_likelihood  # noqa: F401  (it belongs to the learned audits)
 from .tables import denormalize
 
 
@@ -98,32 +97,5 @@ def regression_efficacy(train: DataFrame, test: DataFrame, numeric: list[str], t
     return rows.join(F.broadcast(mean)).agg((1 - F.try_divide(F.sum((F.col(target) - F.col("prediction")) ** 2), F.sum((F.col(target) - F.col("_m")) ** 2))).alias("r2"))
 
 
-def mixture_log_likelihood(real: DataFrame, synthetic: DataFrame, numeric: list[str], components: int = 3, seed: int = 0) -> DataFrame:
-    """score: mean log-likelihood of synthetic rows under a Gaussian mixture fitted on real rows."""
-    rows = real.dropna(subset=numeric)
-    if components == 1:  # one Gaussian needs no fit: its moments are one aggregate
-        moments = [F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)] + [F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}_{j}") for i, a in enumerate(numeric) for j, b in enumerate(numeric)]
-        row, n = rows.agg(*moments).first(), len(numeric)
-        parts = [(1.0, np.array([row[f"m{i}"] for i in range(n)], float), np.array([[row[f"c{i}_{j}"] for j in range(n)] for i in range(n)], float))]
-    else:
-        assemble = VectorAssembler(inputCols=numeric, outputCol="features", handleInvalid="skip")
-        model = GaussianMixture(k=components, seed=seed).fit(assemble.transform(rows))
-        parts = [(float(w), r["mean"].toArray(), r["cov"].toArray()) for w, r in zip(model.weights, model.gaussiansDF.collect(), strict=True)]  # one row for each component
-    logs = F.array(*[_log_density(numeric, *p) for p in parts if p[0] > 0])
-    most = F.array_max(logs)
-    total = most + F.ln(F.aggregate(logs, F.lit(0.0), lambda s, x: s + F.exp(x - most)))
-    return synthetic.dropna(subset=numeric).agg(F.avg(total).alias("score"))
-
-
-def _log_density(numeric: list[str], weight: float, mean: np.ndarray, cov: np.ndarray) -> Column:
-    """Log of a component's weighted density. Directions in which it has (nearly) no spread get a small one."""
-    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-    values = np.maximum(values, max(1e-9 * float(values.max()), 1e-12))
-    inverse = (vectors / values) @ vectors.T
-    d = [F.col(c) - F.lit(float(m)) for c, m in zip(numeric, mean, strict=True)]
-    square = sum((d[i] * d[j] * F.lit(float(inverse[i, j])) for i in range(len(d)) for j in range(len(d))), F.lit(0.0))
-    return F.lit(float(np.log(weight) - (len(d) * np.log(2 * np.pi) + np.log(values).sum()) / 2)) - square / 2
-
-
 def perceptron(layers: list[int], seed: int = 0) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(layers=layers, maxIter=50, seed=seed)

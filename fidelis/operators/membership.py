@@ -135,10 +135,11 @@ def label_summary(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     return by.agg(mean("recall").alias("accuracy"), mean("precision").alias("weighted_precision"), mean("recall").alias("weighted_recall"), mean("f1").alias("weighted_f1"), F.avg("f1").alias("macro_f1"))
 
 
-def nearest_rows(points: DataFrame, model: DataFrame, features: list[str], k: int = 5) -> DataFrame:
+def nearest_rows(points: DataFrame, model: DataFrame, features: list[str], k: int = 5, fill: bool = False) -> DataFrame:
     """For each point (id) the ``k`` model rows with the most equal features (ties by id): id, model_id, equal, rank.
 
-    Rows that share no feature value are not compared; null equals nothing. For each set of features
+    Rows that share no feature value are not compared, unless ``fill``: then they are equal in 0 features
+    and follow behind, so that each point has ``k`` rows if the model has them. Null equals nothing. For each set of features
     the model keeps its ``k`` smallest ids by value, which is all that can matter: a row behind them
     has ``k`` rows before it that are equal in as many features. So a frequent value never meets more
     than ``k`` rows, and no pairs of all points and rows arise. 2^features joins: for a few features.
@@ -153,6 +154,10 @@ def nearest_rows(points: DataFrame, model: DataFrame, features: list[str], k: in
             first = m.dropna(subset=same).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= k).select(*same, "model_id")
             part = p.join(first, same).select("id", "model_id", F.lit(n).alias("equal"))
             hits = part if hits is None else hits.unionAll(part)
+    if fill:  # of rows that are equal in nothing only the k smallest ids can matter
+        least = [r[0] for r in m.select("model_id").orderBy("model_id").limit(k).collect()]
+        if least:
+            hits = hits.unionAll(p.select("id", F.explode(F.array(*map(F.lit, least))).alias("model_id"), F.lit(0).alias("equal")))
     equal = hits.groupBy("id", "model_id").agg(F.max("equal").cast("bigint").alias("equal"))
     order = Window.partitionBy("id").orderBy(F.desc("equal"), "model_id")
     return equal.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

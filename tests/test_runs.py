@@ -152,17 +152,18 @@ def test_number_attacks(spark):
     rows = [(float(i), 2.0 * i + rng.gauss(0, 1), rng.random()) for i in range(400)]
     real, fake = spark.createDataFrame(rows[::2], "x double, y double, z double"), spark.createDataFrame(rows[1::2], "x double, y double, z double")
     assert AT.regression_attack(real, fake, ["x"], ["y"]).first()["score"] < 0.001 < AT.regression_attack(real, fake, ["x"], ["z"]).first()["score"]
-    score = AT.radius_attack(real, fake, ["x", "z"], ["y"], cutoff=0.2, edges=16).first()["score"]
-    # Brute force over the same steps.
-    edges = AT.quantile_edges(real, ["x", "z", "y"], 16)
-    own = AT.quantile_edges(real, ["y"])["y"]
-    lv = lambda v, e: sum(q <= v for q in e)
+    # Brute force with exact shares, whatever the depth of the tree.
+    share = lambda v, k: sum(r[k] <= v for r in rows[::2]) / 200
     total = 0
     for a in rows[::2]:
-        near = [b for b in rows[1::2] if ((lv(a[0], edges["x"]) - lv(b[0], edges["x"])) / 16) ** 2 + ((lv(a[2], edges["z"]) - lv(b[2], edges["z"])) / 16) ** 2 < 2 * 0.2**2]
+        near = [b for b in rows[1::2] if (share(a[0], 0) - share(b[0], 0)) ** 2 + (share(a[2], 2) - share(b[2], 2)) ** 2 < 2 * 0.2**2]
         guess = sum(b[1] for b in near) / len(near) if near else 0.0
-        total += ((lv(guess, own) - lv(a[1], own)) / len(own)) ** 2
-    assert math.isclose(score, total / 200, rel_tol=1e-6)
+        total += (share(guess, 1) - share(a[1], 1)) ** 2
+    for depth in (1, 3, None):
+        score = AT.radius_attack(real, fake, ["x", "z"], ["y"], cutoff=0.2, depth=depth).first()["score"]
+        assert math.isclose(score, total / 200, rel_tol=1e-6), depth
+    assert AT.radius_attack(real, fake.where("false"), ["x", "z"], ["y"]).first()["score"] > 0
+    assert AT.radius_attack(real.where("false"), fake, ["x", "z"], ["y"]).first()["score"] is None
 
 
 def test_category_attacks(spark):
