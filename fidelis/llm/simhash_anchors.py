@@ -9,8 +9,10 @@ one bit away: 13.6 or 14.6 on average, its home included. So of two fingerprints
 of the segment, each visits the home of the other, and comparing an anchor's residents with its
 visitors misses no link.
 
-The codes' sizes are fixed (2^19 anchors in all), so counts by anchor are bounded tables. An
-anchor with many members is cut into tiles of bounded size. Before, its residents are compared in parts
+The codes' sizes are fixed (2^19 anchors in all), so counts by anchor are bounded tables. So are the
+bits that all or none of an anchor's residents have, in four cells by two bits of another segment: a
+visitor that departs from them in more bits than the threshold in each cell is near no resident and
+stays away. An anchor with many members is cut into tiles of bounded size. Before, its residents are compared in parts
 that share one member, which connects most copies; then only members outside its largest component
 meet the others. So a third of all documents in one group of copies takes no quadratic work, and no
 pairs are emitted, only links that connect something new in a tile.
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ TILE = 2048
 #: Anchors are numbered by segment, plain bits and number of the code's word.
 WORD_BITS = 11
 ANCHORS = len(SEGMENTS) << (WORD_BITS + 22 - CODED)
+#: Cells of an anchor's residents, by two bits of the next segment.
+CELLS = 4
 
 FINGERPRINTS = "doc_id bigint, f bigint, words bigint"
 
@@ -169,14 +174,67 @@ def _map_nodes(nodes: DataFrame, columns: list[str], schema: str, start: Callabl
     return nodes.select(*columns).mapInArrow(run, schema)
 
 
-def anchor_counts(nodes: DataFrame, tops: np.ndarray | None) -> np.ndarray:
-    """By anchor: residents and visitors (first two rows), and those of them outside the anchor's top label (last two)."""
+class Residents:
+    """How many residents each cell of each anchor has, and the bits that all of them (``low``) or any of them (``high``) have."""
+
+    def __init__(self, cells: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.n, self.low, self.high = np.zeros(CELLS * ANCHORS, np.int64), np.full(CELLS * ANCHORS, ~np.uint64(0)), np.zeros(CELLS * ANCHORS, np.uint64)
+        self.n[cells], self.low[cells], self.high[cells] = n, low.view(np.uint64), high.view(np.uint64)
+
+    def __reduce__(self):  # only cells that have residents travel
+        at = np.flatnonzero(self.n)
+        return Residents, (at.astype(np.int32), np.minimum(self.n[at], 1 << 30).astype(np.int32), self.low[at].view(np.int64), self.high[at].view(np.int64))
+
+    @staticmethod
+    def cell(f: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        """The cell of each fingerprint's anchor by two bits of the next segment."""
+        shift = np.array([SEGMENTS[(s + 1) % len(SEGMENTS)][0] for s in range(len(SEGMENTS))], np.uint64)[anchors >> (WORD_BITS + 22 - CODED)]
+        return anchors * CELLS + ((f >> shift) & np.uint64(CELLS - 1)).astype(np.int64)
+
+    def fits(self, f: np.ndarray, anchors: np.ndarray, resident: np.ndarray, distance: int) -> np.ndarray:
+        """Which fingerprints may be near a resident of their anchor, other than themselves."""
+        own, out = np.where(resident, self.cell(f, anchors), -1), np.zeros(len(f), bool)
+        for k in range(CELLS):
+            at = anchors * CELLS + k
+            apart = np.bitwise_count((self.low[at] & ~f) | (~self.high[at] & f))
+            out |= (apart <= distance) & (self.n[at] > (at == own))
+        return out
+
+    def by_anchor(self) -> np.ndarray:
+        return self.n.reshape(ANCHORS, CELLS).sum(axis=1)
+
+
+def residents_of(nodes: DataFrame) -> Residents:
+    def start():
+        let_go()
+        code = Covering()
+
+        def work(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+            if batch is None:
+                return
+            f = batch.column(0).to_numpy()
+            rows, anchors, resident = code.members(f.view(np.uint64))
+            f = f[rows[resident]]
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(Residents.cell(f.view(np.uint64), anchors[resident]), pa.int64()), "f": pa.array(f, pa.int64())})
+
+        return work
+
+    cells = _map_nodes(nodes, ["f"], "cell bigint, f bigint", start).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_and("f").alias("low"), F.bit_or("f").alias("high"))
+    return Residents(*(c.to_numpy() for c in cells.toArrow().columns))  # a row for each cell of the codes at most
+
+
+#: Rows of ``anchor_counts``.
+RESIDENTS, VISITORS, ODD_RESIDENTS, ODD_VISITORS, NEAR = range(5)
+
+
+def anchor_counts(nodes: DataFrame, homes: Broadcast, tops: np.ndarray | None, distance: int) -> np.ndarray:
+    """By anchor: residents, visitors that fit, both of these outside the anchor's top label, and members that fit."""
     shared = nodes.sparkSession.sparkContext.broadcast(tops)  # a number for each anchor, or None
 
     def start():
         let_go()
-        code, top = Covering(), shared.value
-        counts = np.zeros(4 * ANCHORS, np.int32)
+        code, known, top = Covering(), homes.value, shared.value
+        counts = np.zeros(5 * ANCHORS, np.int32)
 
         def work(batch: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
             if batch is None:
@@ -186,18 +244,21 @@ def anchor_counts(nodes: DataFrame, tops: np.ndarray | None) -> np.ndarray:
                 return
             f, label = (batch.column(i).to_numpy() for i in (0, 1))
             rows, anchors, resident = code.members(f.view(np.uint64))
-            np.add.at(counts, np.where(resident, 0, ANCHORS) + anchors, 1)
+            fits = known.fits(f.view(np.uint64)[rows], anchors, resident, distance)
+            met = resident | fits
+            np.add.at(counts, (np.where(resident, RESIDENTS, VISITORS) * ANCHORS + anchors)[met], 1)
+            np.add.at(counts, NEAR * ANCHORS + anchors[fits], 1)
             if top is not None:
-                rest = label[rows] != top[anchors]
-                np.add.at(counts, (np.where(resident, 2, 3) * ANCHORS + anchors)[rest], 1)
+                odd = met & (label[rows] != top[anchors])
+                np.add.at(counts, (np.where(resident, ODD_RESIDENTS, ODD_VISITORS) * ANCHORS + anchors)[odd], 1)
 
         return work
 
     cells = _map_nodes(nodes, ["f", "label"], "cell int, n bigint", start).groupBy("cell").agg(F.sum("n").alias("n"))
-    found = cells.toArrow()  # four numbers for each anchor of the codes at most
-    out = np.zeros(4 * ANCHORS, np.int64)
+    found = cells.toArrow()  # five numbers for each anchor of the codes at most
+    out = np.zeros(5 * ANCHORS, np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out.reshape(4, ANCHORS)
+    return out.reshape(5, ANCHORS)
 
 
 def _cuts(n: np.ndarray, tile: int) -> np.ndarray:
@@ -242,25 +303,25 @@ def home_tiles(nodes: DataFrame, residents: np.ndarray, pivots: np.ndarray, tile
     return _map_nodes(nodes, ["f"], "tile bigint, f bigint, label bigint, left boolean", start)
 
 
-def member_tiles(nodes: DataFrame, counts: np.ndarray, tops: np.ndarray | None, tile: int) -> DataFrame:
-    """Tiles in which residents (the left side) meet all members of their anchors.
+def member_tiles(nodes: DataFrame, homes: Broadcast, counts: np.ndarray, tops: np.ndarray | None, distance: int, tile: int) -> DataFrame:
+    """Tiles in which residents (the left side) meet all members of their anchors that fit.
 
     Where an anchor has a top label: residents without it meet all members, those with it the members
     without it. All sides are cut into parts, and every part of the left meets every part of the right.
     """
-    residents, visitors, odd_residents, odd_visitors = counts
+    residents, visitors, odd_residents, odd_visitors, near = counts
     if tops is None:
         left, right = (residents,), (residents + visitors,)
     else:
         # Anchors without a top label have all members outside it.
         left, right = (odd_residents, residents - odd_residents), (residents + visitors, odd_residents + odd_visitors)
     sides = [(_cuts(a, tile), _cuts(b, 2 * tile)) for a, b in zip(left, right, strict=True)]
-    meets = [(a > 0) & (b > 1 if k == 0 else b > 0) for k, (a, b) in enumerate(zip(left, right, strict=True))]
+    meets = [(a > 0) & (b > 1 if k == 0 else b > 0) & (near > 0) for k, (a, b) in enumerate(zip(left, right, strict=True))]
     shared = nodes.sparkSession.sparkContext.broadcast((sides, meets, tops))  # a few numbers for each anchor
 
     def start():
         let_go()
-        code, (cuts, meet, top) = Covering(), shared.value
+        code, (cuts, meet, top), known = Covering(), shared.value, homes.value
 
         def dealt(f, rows, anchors, k, on_left):
             """Rows' tiles: each part of a side goes with every part of the other."""
@@ -277,6 +338,8 @@ def member_tiles(nodes: DataFrame, counts: np.ndarray, tops: np.ndarray | None,
             for a in range(0, batch.num_rows, 2000):  # large anchors multiply rows
                 f, label = (batch.column(i).slice(a, 2000).to_numpy() for i in (0, 1))
                 rows, anchors, resident = code.members(f.view(np.uint64))
+                kept = resident | known.fits(f.view(np.uint64)[rows], anchors, resident, distance)
+                rows, anchors, resident = rows[kept], anchors[kept], resident[kept]
                 odd = np.ones(len(rows), bool) if top is None else label[rows] != top[anchors]
                 out = []
                 for k in range(len(meet)):
@@ -398,15 +461,17 @@ def linked(nodes: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Data
     if not 0 <= distance < 2 * len(SEGMENTS):
         raise ValueError("the three segments find distances up to 5")
     labelled, tops, links = nodes.select("f", F.col("f").alias("label")), None, None
-    counts = anchor_counts(labelled, None)
-    hot = counts[0] > tile
+    homes = residents_of(nodes)
+    hot = homes.by_anchor() > tile
     if hot.any():
-        links = written(tile_links(home_tiles(nodes, counts[0], _smallest(nodes, hot), tile), distance), "home-links")
+        links = written(tile_links(home_tiles(nodes, homes.by_anchor(), _smallest(nodes, hot), tile), distance), "home-links")
         roots = components(links)
         labelled = written(nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", F.coalesce("root", "f").alias("label")), "labelled")
         tops = _tops(labelled, hot)
-        counts = anchor_counts(labelled, tops)
-    further = written(tile_links(member_tiles(labelled, counts, tops, tile), distance), "member-links")
+    shared = nodes.sparkSession.sparkContext.broadcast(homes)  # three numbers for each cell of the codes at most
+    counts = anchor_counts(labelled, shared, tops, distance)
+    further = written(tile_links(member_tiles(labelled, shared, counts, tops, distance, tile), distance), "member-links")
+    shared.destroy()
     return components(further if links is None else further.unionByName(links))
 
 
