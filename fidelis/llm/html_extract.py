@@ -1,9 +1,11 @@
 """Main text of web pages by a tree-structured graphical model over the DOM.
 
 Each block element is a node with one of three states: outer (holds both kinds), content or
-boilerplate. Unary potentials come from its tag, the hints in its class, id and role, its amount of
-text and its share of links; parent-child potentials from how states follow each other for a kind
-of tag. Both are estimated from labelled pages. Sum-product messages go upward and downward once,
+boilerplate; text that stands in no block gets a node of its own. Unary potentials come from the hints
+in a node's class, id and role, its amount of text, its share of links and how many siblings look the
+same; parent-child potentials from how states follow each other for a kind of tag and for the child's
+part in the page: whether it holds most of its parent's plain text, little of it or none, or stands
+outside the page's article. Both are estimated from labelled pages. Sum-product messages go upward and downward once,
 level by level over all pages of a batch, and the marginals of content decide. The labelled pages
 that the default model learns from are made by ``labelled_pages``.
 """
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -37,8 +40,18 @@ CLOSES_P = set(KIND_OF) - {"html", "body", "tr", "td", "th", "thead", "tbody", "
 #: A start tag closes an open element of these, up to the bound.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 GOOD = re.compile(r"\b(article|content|main|post|entry|story|text|body|prose)")
-BAD = re.compile(r"\b(nav|menu|side|foot|head|mast|ad|ads|adv|advert\w*|sponsor\w*|banner|cookie|consent|notice|comment|comments|reply|replies|disqus|promo|related|share|social|log-?in|sign-?up|search|subscribe|newsletter|breadcrumb|pagination|pager|widget|popup|modal|toolbar|tags)\b|\b(nav|menu|sidebar|footer|header|masthead|comment|cookie|banner)")
-TEXT_BOUNDS, FEATURES = (0, 24, 99), (len(KINDS) + 1, 4, 4, 4, 2)
+BAD = re.compile(r"\b(nav|menu|side|rail|foot|head|mast|ad|ads|adv|advert\w*|sponsor\w*|banner|cookie|consent|gdpr|paywall|copyright|disclaimer|alert|discussion|cmt|cmts|responses|notice|comment|comments|reply|replies|disqus|promo|related|share|social|log-?in|sign-?up|search|subscribe|newsletter|breadcrumb|pagination|pager|widget|popup|modal|toolbar|tags)\b|\b(nav|menu|sidebar|footer|header|masthead|comment|cookie|banner)")
+#: Kinds of the root and of text in no block.
+ROOT, LOOSE = len(KINDS), len(KINDS) + 1
+TEXT_BOUNDS, FEATURES = (0, 24, 99), (len(KINDS) + 2, 4, 4, 4, 2, 3)
+#: A child's part in the page, for its parent-child potential.
+NO_TEXT, MOST, LITTLE, OUTSIDE = range(4)
+#: An element of the kind "article" is the page's article if it has this share of its plain text.
+ARTICLE_SHARE = 0.3
+
+
+#: Text right below these stands in no block.
+KINDS_OF_PAGE = [k in ("page", "root") for k in (*KINDS, "root", "loose")]
 
 
 class Page(HTMLParser):
@@ -46,10 +59,10 @@ class Page(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.parents, self.kinds, self.hints, self.hidden, self.labels = [-1], [len(KINDS)], [0], [0], [None]
+        self.parents, self.kinds, self.hints, self.hidden, self.labels, self.looks = [-1], [ROOT], [0], [0], [None], [""]
         self.runs: list[tuple[int, list[str]]] = []
         self.chars, self.linked = [0], [0]
-        self.stack: list[tuple[str, int]] = []  # open elements and their nodes
+        self.stack: list[tuple[str, int, bool]] = []  # open elements, their nodes and whether their text is unseen
         self.open: dict[str, list[int]] = {}  # where in the stack elements of a tag are
         self.blocks: list[int] = []  # and those of KINDS
         self.unseen = self.links = 0
@@ -71,20 +84,23 @@ class Page(HTMLParser):
             self.close_to({"p"}, {"td", "th", "button", "object", "table"})
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
-        if tag in UNSEEN:
+        values = {k: v or "" for k, v in attrs}
+        style = values.get("style", "").replace(" ", "").lower()
+        dark = tag in UNSEEN or tag not in ("html", "body") and ("hidden" in values or "display:none" in style or "visibility:hidden" in style)
+        if dark:
             self.unseen += 1
         elif tag == "body":
             self.unseen = 0
         self.links += tag == "a"
         at = self.node()
         if tag in KIND_OF:
-            values = {k: v or "" for k, v in attrs}
             words = re.sub(r"[_\s]+", " ", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(values.get(k, "") for k in ("class", "id", "role", "itemprop")))).lower()
             self.parents.append(at)
             self.kinds.append(KIND_OF[tag])
             self.hints.append((GOOD.search(words) is not None) + 2 * (BAD.search(words) is not None))
-            self.hidden.append(int("hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "")))
+            self.hidden.append(int(values.get("aria-hidden") == "true"))
             self.labels.append(values.get("data-label"))
+            self.looks.append(f"{tag} {values['class']}" if values.get("class") else "")
             self.chars.append(0)
             self.linked.append(0)
             at = len(self.parents) - 1
@@ -92,15 +108,15 @@ class Page(HTMLParser):
         if tag in KIND_OF:
             self.blocks.append(len(self.stack))
         self.open.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, at))
+        self.stack.append((tag, at, dark))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def pop(self) -> str:
-        tag, _ = self.stack.pop()
+        tag, _, dark = self.stack.pop()
         self.open[tag].pop()
-        self.unseen = max(0, self.unseen - (tag in UNSEEN))
+        self.unseen = max(0, self.unseen - dark)
         self.links -= tag == "a"
         if tag in KIND_OF:
             self.fresh = True
@@ -128,6 +144,14 @@ class Page(HTMLParser):
         if self.unseen:
             return
         at = self.node()
+        if KINDS_OF_PAGE[self.kinds[at]]:  # text in no block: a node for it, up to the next block
+            begins = self.fresh or self.kinds[-1] != LOOSE or self.parents[-1] != at
+            if begins and not data.strip():
+                return
+            if begins:
+                for values, value in ((self.parents, at), (self.kinds, LOOSE), (self.hints, 0), (self.hidden, 0), (self.labels, None), (self.looks, ""), (self.chars, 0), (self.linked, 0)):
+                    values.append(value)
+            at = len(self.parents) - 1
         if self.fresh or not self.runs or self.runs[-1][0] != at:
             self.runs.append((at, []))
             self.fresh = False
@@ -139,7 +163,28 @@ class Page(HTMLParser):
     def features(self) -> np.ndarray:
         chars, linked = np.array(self.chars), np.array(self.linked)
         share = np.where(chars == 0, 0, np.where(linked == 0, 1, np.where(3 * linked < chars, 2, 3)))
-        return np.stack([np.array(self.kinds), np.array(self.hints), np.searchsorted(TEXT_BOUNDS, chars), share, np.array(self.hidden)], axis=1)
+        looks = [(p, x) for p, x in zip(self.parents, self.looks, strict=True)]
+        same = Counter(looks)
+        alike = np.array([np.searchsorted((1, 3), same[x] if x[1] else 0) for x in looks])
+        return np.stack([np.array(self.kinds), np.array(self.hints), np.searchsorted(TEXT_BOUNDS, chars), share, np.array(self.hidden), alike], axis=1)
+
+    def parts(self) -> np.ndarray:
+        """Each node's part in the page: NO_TEXT, MOST, LITTLE or OUTSIDE."""
+        plain = np.array(self.chars) - np.array(self.linked)
+        for i in range(len(plain) - 1, 0, -1):  # parents stand before their children
+            plain[self.parents[i]] += plain[i]
+        above = plain[np.maximum(self.parents, 0)]
+        out = np.where(plain == 0, NO_TEXT, np.where(2 * plain >= above, MOST, LITTLE))
+        kinds = np.array(self.kinds)
+        main = (kinds == KIND_OF["article"]) & (np.array(self.hints) < 2) & (plain >= ARTICLE_SHARE * plain[0]) & (plain > 0)
+        if main.any():
+            within, holds = main.copy(), main.copy()
+            for i in range(1, len(plain)):
+                within[i] |= within[self.parents[i]]
+            for i in range(len(plain) - 1, 0, -1):
+                holds[self.parents[i]] |= holds[i]
+            out[~(within | holds)] = OUTSIDE
+        return out
 
     def text(self, content: np.ndarray) -> str:
         blocks = (" ".join("".join(parts).split()) for at, parts in self.runs if content[at])
@@ -151,18 +196,23 @@ class TreeModel:
 
     def __init__(self, pages: list[str]):
         self.unary = [np.ones((n, 3)) for n in FEATURES]
-        self.pair = np.ones((len(KINDS) + 1, 3, 3))  # by the child's kind: parent's and child's state
+        counts = np.zeros((FEATURES[0], 4, 3, 3))  # by the child's kind and part in the page: parent's and child's state
         for page in map(Page, pages):
             state = [OUTER]
+            parts = page.parts()
             for i in range(1, len(page.parents)):
                 state.append({"content": CONTENT, "boilerplate": BOILERPLATE}.get(page.labels[i], state[page.parents[i]]))
-                self.pair[page.kinds[i], state[page.parents[i]], state[i]] += 1
+                if page.kinds[i] == LOOSE and state[i] == OUTER:  # loose text of a labelled page is content
+                    state[i] = CONTENT
+                counts[page.kinds[i], parts[i], state[page.parents[i]], state[i]] += 1
             for k, column in enumerate(page.features().T):
                 np.add.at(self.unary[k], (column, np.array(state)), 1)
-        # The states of a child given its parent's; a feature given the state.
-        self.pair = np.log(self.pair / self.pair.sum(axis=2, keepdims=True))
+        # What a parent's state says of a child: its kind, its part and its state.
+        self.pair = np.log((counts + 0.5) / (counts + 0.5).sum(axis=(0, 1, 3), keepdims=True))
         # What the parent and the kind of tag imply is in the pair potential; the tag's own column is left out.
         self.unary = [np.zeros((FEATURES[0], 3))] + [np.log(u / u.sum(axis=0)) for u in self.unary[1:]]
+        for k in (2, 3):  # a node without text of its own says nothing by its text
+            self.unary[k] = np.log(np.vstack([np.ones(3), np.exp(self.unary[k][1:]) / np.exp(self.unary[k][1:]).sum(axis=0)]))
 
     def marginals(self, pages: list[Page]) -> list[np.ndarray]:
         """Probability of content of each node, by sum-product over the forest of all pages."""
@@ -172,7 +222,7 @@ class TreeModel:
         features = np.concatenate([p.features() for p in pages])
         own = sum(u[features[:, k]] for k, u in enumerate(self.unary))
         own[offsets[:-1]] += np.array([0.0, -50.0, -50.0])  # the root stands above the page
-        pair = self.pair[features[:, 0]]
+        pair = self.pair[features[:, 0], np.concatenate([p.parts() for p in pages])]
         depth = np.zeros(len(parents), np.int64)
         for i, p in enumerate(parents.tolist()):  # parents stand before their children
             if p >= 0:
@@ -198,13 +248,17 @@ class TreeModel:
         return [(p.text(m >= 0.5), int((m >= 0.5).sum())) for p, m in zip(pages, self.marginals(pages), strict=True)] if pages else []
 
 
-def labelled_pages(n: int = 300, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
     """Made-up pages whose regions carry a data-label: the sample that the default model learns from."""
     rng = random.Random(seed)
 
     def words(low, high):
         return " ".join("x" * rng.randint(2, 9) for _ in range(rng.randint(low, high)))
 
+    def name(*usual):
+        """A class of a region: one of the usual names, or one that says nothing."""
+        return rng.choice(usual) if rng.random() < 0.6 else rng.choice(["blk", "c-12", "region", "x7f", "inner", "row", "unit", "panel-3", "box"])
+
     def link(low=1, high=3):
         return f'<a href="#">{words(low, high)}</a>'
 
@@ -212,40 +266,49 @@ def labelled_pages(n: int = 300, seed: int = 5) -> list[str]:
         inner = words(*rng.choice([(1, 6), (8, 40), (40, 160)]))
         return rng.choice([f"<p>{inner}</p>", f"<p>{inner} <b>{words(1, 3)}</b> {link()} {words(3, 20)}", f"<p>{inner}<br>{words(2, 9)}</p>"])
 
+    def listed():
+        tag, linked = rng.choice(["ul", "ul", "ol"]), rng.random() < 0.4
+        items = "".join(f"<li>{link(1, 5) if linked and rng.random() < 0.6 else words(1, 12)}</li>" for _ in range(rng.randint(2, 6)))
+        return f"<{tag}>{items}</{tag}>"
+
     def inside():
-        kinds = [paragraph, paragraph, paragraph, lambda: f"<h2>{words(1, 6)}</h2>", lambda: f"<ul>{''.join(f'<li>{words(1, 12)}</li>' for _ in range(rng.randint(2, 5)))}</ul>", lambda: f"<blockquote><p>{words(4, 30)}</p></blockquote>", lambda: f"<pre>{words(3, 30)}</pre>", lambda: f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>", lambda: f"<section>{paragraph()}</section>", lambda: f"<div>{paragraph()}</div>", lambda: f"<figure><figcaption>{words(2, 9)}</figcaption></figure>"]
+        kinds = [paragraph, paragraph, paragraph, lambda: f"<h2>{words(1, 6)}</h2>", listed, listed, lambda: f"<blockquote><p>{words(4, 30)}</p></blockquote>", lambda: f"<pre>{words(3, 30)}</pre>", lambda: f"<table><tr><td>{words(1, 5)}</td><td>{words(1, 5)}</td></tr></table>", lambda: f"<section>{paragraph()}</section>", lambda: f"<div>{paragraph()}</div>", lambda: f"<figure><figcaption>{words(2, 9)}</figcaption></figure>"]
         parts = [f"<h1>{words(1, 9)}</h1>"] * (rng.random() < 0.9) + [rng.choice(kinds)() for _ in range(rng.randint(0, 9))]
-        if rng.random() < 0.3:
-            parts.insert(rng.randint(1, len(parts)) if parts else 0, rng.choice([ad, form, aside])())
-        if rng.random() < 0.25:
-            parts.append(comments())
-        return "".join(parts)
+        if len(parts) > 3 and rng.random() < 0.3:
+            parts.insert(rng.randint(1, len(parts)), rng.choice([ad, form, aside])())
+        said = comments() if len(parts) > 4 and rng.random() < 0.25 else ""
+        text = "".join(parts)
+        if rng.random() < 0.3:  # all of it in one more element
+            text = rng.choice(["<div>{}</div>", '<div class="{}">{{}}</div>'.format(name("content", "body", "text")), "<section>{}</section>"]).format(text)
+        return text + said
 
     skip = 'data-label="boilerplate"'
 
     def nav():
         items = "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 8)))
-        return rng.choice([f"<nav {skip}><ul>{items}</ul></nav>", f'<div class="{rng.choice(["menu", "nav", "breadcrumb", "navbar"])}" {skip}><ul>{items}</ul></div>', f'<ul class="menu" {skip}>{items}</ul>', f"<nav {skip}>{link()} {link()}</nav>"])
+        return rng.choice([f"<nav {skip}><ul>{items}</ul></nav>", f'<div class="{name("menu", "nav", "breadcrumb", "navbar")}" {skip}><ul>{items}</ul></div>', f'<ul class="menu" {skip}>{items}</ul>', f"<nav {skip}>{link()} {link()}</nav>"])
 
     def ad():
-        return f'<div class="{rng.choice(["ad", "advert", "banner", "promo", "sponsored", "ad-box"])}" {skip}>{rng.choice([words(2, 25), f"<p>{words(2, 25)}</p>", link(2, 6)])}</div>'
+        return f'<div class="{name("ad", "advert", "banner", "promo", "sponsored", "ad-box")}" {skip}>{rng.choice([words(2, 25), f"<p>{words(2, 25)}</p>", link(2, 6)])}</div>'
 
     def aside():
-        return rng.choice([f"<aside {skip}><h3>{words(1, 3)}</h3><p>{words(3, 30)}</p></aside>", f'<div class="sidebar" {skip}><h3>{words(1, 3)}</h3><ul><li>{link()}</li><li>{link()}</li></ul><p>{words(3, 30)}</p></div>', f'<div id="related" {skip}>{link(3, 8)}{link(3, 8)}</div>'])
+        return rng.choice([f"<aside {skip}><h3>{words(1, 3)}</h3><p>{words(3, 30)}</p></aside>", f'<div class="{name("sidebar")}" {skip}><h3>{words(1, 3)}</h3><p>{words(10, 50)}</p></div>', f'<div {skip}><h3>{words(1, 3)}</h3><p>{words(5, 40)}</p><p>{words(3, 20)}</p></div>', f'<div class="{name("sidebar")}" {skip}><h3>{words(1, 3)}</h3><ul><li>{link()}</li><li>{link()}</li></ul><p>{words(3, 30)}</p></div>', f'<div id="related" {skip}>{link(3, 8)}{link(3, 8)}</div>'])
 
     def form():
         return f"<form {skip}><p>{words(1, 9)}</p><label>{words(1, 2)}</label><input><button>{words(1, 1)}</button></form>"
 
     def notice():
-        return f'<div class="{rng.choice(["cookie-notice", "notice", "cookie", "consent", "popup", "newsletter"])}" {skip}><p>{words(4, 40)}</p>{link()}</div>'
+        return f'<div class="{name("cookie-notice", "notice", "cookie", "consent", "popup", "newsletter")}" {skip}><p>{words(4, 40)}</p>{link()}</div>'
 
     def comments():
-        items = "".join(f'<div class="comment"><p>{words(2, 60)}</p></div>' for _ in range(rng.randint(1, 4)))
-        return rng.choice([f'<section class="comments" {skip}><h3>{words(1, 2)}</h3>{items}</section>', f'<div id="comments" {skip}><ul><li><p>{words(2, 60)}</p></li></ul></div>'])
+        one, every = name("comment", "reply"), name("comments", "replies")
+        items = "".join(f'<div class="{one}"><p>{words(2, 60)}</p></div>' for _ in range(rng.randint(1, 4)))
+        said = "".join(f'<li class="{one}"><b>{words(1, 2)}</b><p>{words(2, 60)}</p></li>' for _ in range(rng.randint(1, 5)))
+        return rng.choice([f'<ol class="{every}" {skip}>{said}</ol>', f'<section class="{every}" {skip}><h3>{words(1, 2)}</h3>{items}</section>', f'<div id="comments" {skip}><ul><li><p>{words(2, 60)}</p></li></ul></div>'])
 
     def main():
-        hint = rng.choice(["content", "main", "post", "entry-content", "article-body", "story"])
-        return rng.choice([f'<article data-label="content">{inside()}</article>'] * 3 + [f'<main data-label="content">{inside()}</main>', f'<main><article data-label="content">{inside()}</article></main>', f'<div class="{hint}" data-label="content">{inside()}</div>', f'<div id="{hint}" data-label="content"><h1>{words(2, 8)}</h1>{inside()}</div>', f'<div data-label="content"><h1>{words(2, 8)}</h1><p>{words(40, 120)}</p>{inside()}</div>', f'<table><tr><td {skip}>{link()}{link()}</td><td data-label="content"><h1>{words(2, 8)}</h1><p>{words(30, 90)}</p>{inside()}</td></tr></table>'])
+        hint = name("content", "main", "post", "entry-content", "article-body", "story")
+        return rng.choice([f'<article data-label="content">{inside()}</article>'] * 3 + [f'<main data-label="content">{inside()}</main>', f'<main data-label="content"><div>{inside()}</div></main>', f'<main><div data-label="content">{inside()}</div></main>', f'<div class="{hint}" data-label="content"><div>{inside()}</div></div>', f'<main><article data-label="content">{inside()}</article></main>', f'<div class="{hint}" data-label="content">{inside()}</div>', f'<div id="{hint}" data-label="content"><h1>{words(2, 8)}</h1>{inside()}</div>', f'<div data-label="content"><h1>{words(2, 8)}</h1><p>{words(40, 120)}</p>{inside()}</div>', f'<table><tr><td {skip}>{link()}{link()}</td><td data-label="content"><h1>{words(2, 8)}</h1><p>{words(30, 90)}</p>{inside()}</td></tr></table>'])
 
     pages = []
     for _ in range(n):
@@ -254,6 +317,9 @@ def labelled_pages(n: int = 300, seed: int = 5) -> list[str]:
         body = "".join(head) + main() + "".join(tail)
         if rng.random() < 0.4:
             body = f'<div id="{rng.choice(["wrapper", "page", "container"])}">{body}</div>'
+        if rng.random() < 0.05:  # text in no block
+            pages.append(f'<html><body data-label="content">{words(5, 90)}<br>{words(1, 40)}{rng.choice(["", f"<p>{words(4, 40)}</p>"])}</body></html>')
+            continue
         pages.append(f"<html><body>{body}</body></html>")
     return pages
 
