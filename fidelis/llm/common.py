@@ -137,19 +137,20 @@ def crc_bucket(column: str, modulus: int):
 def sample_by_class(df: DataFrame, key: str, per_class: int, columns: list[str]) -> DataFrame:
     """``per_class`` rows of each value of ``key`` (all, if there are fewer), those with the least hashes of doc_id.
 
-    Of values with many rows, only hashes below a threshold take part; it follows from the counts and
-    lets some twice ``per_class`` rows through. So the rows of a value that meet in one task do not grow
-    with the input, and only narrow columns are shuffled.
+    Of values with many ids, only hashes below a threshold take part; it follows from the numbers of
+    different ids (so repeated ids don't lower it) and lets some twice ``per_class`` of them through. So
+    the rows of a value that meet in one task do not grow with the input, and only narrow columns are
+    shuffled.
     """
     from pyspark.sql import Window
 
     rows = df.select(*dict.fromkeys([key, "doc_id", *columns])).withColumn("_h", F.xxhash64("doc_id"))
     bits = 62
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 4 * per_class)
-    # 2 * per_class + 200 of n rows are expected below the bound: fewer than per_class would be most unlikely.
+    counts = rows.groupBy(key).agg(F.approx_count_distinct("doc_id", 0.02).alias("_n")).filter(F.col("_n") > 4 * per_class)
+    # 2 * per_class + 200 of n ids, give or take a few hundredths, are expected below the bound: fewer than per_class would be most unlikely.
     bound = (F.lit(float(1 << bits)) * (2 * per_class + 200) / F.col("_n")).cast("bigint")
     bounds = counts.select(F.col(key).alias("_key"), bound.alias("_bound"))
-    thin = rows.join(F.broadcast(bounds), F.col(key) == F.col("_key"), "left")  # a row for each value with over 4 * per_class rows
+    thin = rows.join(F.broadcast(bounds), F.col(key) == F.col("_key"), "left")  # a row for each value with over 4 * per_class ids
     thin = thin.filter(F.col("_bound").isNull() | (F.pmod("_h", F.lit(1 << bits)) < F.col("_bound")))
     thin = thin.select(*[c for c in rows.columns]).distinct()  # a repeated id counts once
     order = Window.partitionBy(key).orderBy(F.pmod("_h", F.lit(1 << bits)), "doc_id")

@@ -180,14 +180,16 @@ def fit(docs: DataFrame, learnable, per_lang: int = 200, longest: int = 50_000,
     """Fits on at most ``per_lang`` rows of each language among the ``learnable`` ones, chosen by a hash of doc_id.
 
     Texts of more than ``longest`` characters are not chosen, so that the sample has a bound; every
-    fifth chosen text is held back for calibration. An id that repeats gives one text, the least.
-    More than ``most_langs`` languages are an error: the model has a column for each.
+    fifth chosen text is held back for calibration. An id that repeats gives one text, the least. The
+    model has a column for each language; of more than ``most_langs``, those with the most rows are
+    learned, ties by name. Other columns of ``docs`` don't matter, whatever their names.
     """
-    rows = docs.filter(learnable & F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("doc_id").isNotNull())
+    rows = docs.filter(learnable).select("doc_id", "lang", "text")
+    rows = rows.filter(F.col("lang").isNotNull() & (F.length("text") <= longest) & F.col("doc_id").isNotNull())
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs + 1).collect()
+    if len(langs) > most_langs:
+        rows = rows.filter(F.col("lang").isin([r["lang"] for r in langs[:most_langs]]))
     picked = sample_by_class(rows, "lang", per_lang, [])
-    n_langs = picked.select("lang").distinct().limit(most_langs + 1).count()
-    if n_langs > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
     picked = picked.groupBy("doc_id").agg(F.min("lang").alias("_lang"))  # at most most_langs * per_lang rows
     texts = rows.join(F.broadcast(picked), "doc_id").filter(F.col("lang") == F.col("_lang"))
     texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one text for an id, however often it repeats

@@ -162,6 +162,22 @@ def read_payloads(places: DataFrame, folder: str) -> DataFrame:
     return _ranges(places, folder, "digest string, payload binary", None, lambda digests, images: {"digest": digests, "payload": pa.array([samples_of(x).tobytes() for x in images], pa.binary())})
 
 
+#: Bytes and members that a task reads and holds at once; one longer member is read by itself.
+READ_BYTES, READ_ROWS = 8 << 20, 200
+
+
+def groups_of(sizes: np.ndarray, most_bytes: int, most_rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have ``most_bytes`` together at most, or are one row."""
+    begin, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and (total + n > most_bytes or i - begin >= most_rows):
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 def _ranges(places: DataFrame, folder: str, schema: str, first: int | None, columns) -> DataFrame:
     def start():
         fs, top = file_system(folder)
@@ -169,13 +185,14 @@ def _ranges(places: DataFrame, folder: str, schema: str, first: int | None, colu
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
             held: tuple = ("", None)
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            for a in range(0, len(rows), 200):
+            sizes = np.array([min(first or r[3], r[3]) for r in rows], np.int64)
+            for a, b in groups_of(sizes, READ_BYTES, READ_ROWS):
                 data = []
-                for _, shard, offset, length in rows[a : a + 200]:
+                for (_, shard, offset, _), size in zip(rows[a:b], sizes[a:b].tolist(), strict=True):
                     if held[0] != shard:
                         held = (shard, fs.open_input_file(f"{top}/{shard}"))
-                    data.append(held[1].read_at(min(first or length, length), offset))
-                yield columns(pa.array([r[0] for r in rows[a : a + 200]], pa.string()), data)
+                    data.append(held[1].read_at(size, offset))
+                yield columns(pa.array([r[0] for r in rows[a:b]], pa.string()), data)
 
         return work
 

@@ -30,6 +30,8 @@ from .common import Memo, crc32, file_system, kept, map_texts, prepare, shared_d
 #: Fixed values of the seekable format.
 SKIPPABLE, INDEX_FRAME, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
 FRAME_BYTES, SHARD_BYTES = 1 << 20, 256 << 20
+#: A shard ends after so many documents, too: its index is held in memory.
+SHARD_DOCS = 250_000
 #: Marks that form one pre-token behind letters. The apostrophe isn't one: contractions begin with it.
 MARKS = ".,;:!?*#$%&|<>=+-_/()[]{}@~"
 #: Documents of a shard, in order: id, 1 if the id is null, frame, bytes before it in the frame, tokens.
@@ -191,7 +193,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
                 for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), ids, strict=True):
                     writer = writer or ShardWriter(folder)
                     writer.add(doc_id, x + end)
-                    if writer.total >= SHARD_BYTES:
+                    if writer.total >= SHARD_BYTES or len(writer.docs) >= SHARD_DOCS:
                         yield closed()
                         writer, seq = None, seq + 1
         if writer:

@@ -131,7 +131,7 @@ def test_marginals_match_enumeration():
         s = [code // 3**i % 3 for i in range(n)]
         if s[0] != H.OUTER:
             continue
-        w = sum(u[x[i, k], s[i]] for i in range(n) for k, u in enumerate(model.unary)) + sum(model.pair[x[i, 0], s[page.parents[i]], s[i]] for i in range(1, n))
+        w = sum(u[x[i, k], s[i]] for i in range(n) for k, u in enumerate(model.unary)) + sum(model.pair[x[i, 0], page.parts()[i], s[page.parents[i]], s[i]] for i in range(1, n))
         total += np.exp(w)
         content += np.exp(w) * (np.array(s) == H.CONTENT)
     assert np.allclose(got, content / total)
@@ -153,3 +153,58 @@ def test_held_out_labelled_pages():
 def test_repeats_of_short_texts(n):
     words = np.zeros(n, np.int64)
     assert Q.repeated_words(words, np.zeros(n, np.int64), 1).tolist() == [n if n > 5 else 0]
+
+
+def test_repeats_and_names_dont_starve_the_sample(spark):
+    from pyspark.sql import functions as F
+
+    from fidelis.llm import common
+
+    rows = spark.range(3000).selectExpr("id doc_id", "'en' lang").union(spark.range(300_000).selectExpr("cast(7 as bigint)", "'en'"))
+    assert common.sample_by_class(rows, "lang", 200, []).select("doc_id").distinct().count() == 200
+    words = {"en": "the and of with house water", "fr": "le la les avec maison eau", "xx": "zq qz zzq"}
+    docs = spark.createDataFrame([(i, lang, f"{w} {w} {i}", "x") for lang, w in words.items() for i in range(1000 * len(lang + w), 1000 * len(lang + w) + (40 if lang != "xx" else 9))], "doc_id bigint, lang string, text string, _lang string")
+    out = L.language_id(docs, 20).collect()
+    assert {r["lang_pred"] for r in out} == set(words)
+    two = L.fit(docs, F.lit(True), 20, most_langs=2)
+    assert two.langs == ["en", "fr"]
+
+
+def test_media_are_read_by_bytes_and_shards_end_by_documents(spark, monkeypatch):
+
+    from fidelis.llm import media, token_output
+
+    sizes = np.array([5, 9 << 20, 3, 4 << 20, 4 << 20, 1, 0, *[1] * 500], np.int64)
+    groups = list(media.groups_of(sizes, 8 << 20, 200))
+    assert groups[0][0] == 0 and groups[-1][1] == len(sizes) and all(a[1] == b[0] for a, b in zip(groups, groups[1:], strict=False))
+    assert all(b - a <= 200 and (b - a == 1 or sizes[a:b].sum() <= 8 << 20) for a, b in groups)
+    monkeypatch.setattr(token_output, "SHARD_DOCS", 1000)  # tasks see the module as it was: the bound is in the writer's loop
+    docs = spark.range(20_000).selectExpr("id doc_id", "cast(null as string) text")
+    out = token_output.token_output(docs).collect()
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"]) for r in out) == [(i, i, 1) for i in range(20_000)]
+
+
+SENTENCES = "The river rose in the night and the lower fields were under water by the morning when we came to look. " * 3
+REGIONS = {
+    "discussion": f'<section id="discussion"><div class="cmt"><p>{{}}</p></div><div class="cmt"><p>{SENTENCES}</p></div></section>', "responses": f'<ol class="responses"><li><p>{{}}</p></li><li><p>{SENTENCES}</p></li></ol>',
+    "alert": '<div class="alert"><p>{}</p></div>', "right": '<div class="right-col"><h3>More</h3><p>{}</p></div>', "rail": '<div class="rail"><p>{}</p></div>', "copyright": '<div class="copyright"><p>{}</p></div>',
+    "paywall": '<div class="paywall"><p>{}</p></div>', "taboola": '<div class="taboola"><p>{}</p></div>', "plain": "<div><h3>More</h3><p>{}</p></div>", "dark": '<div style="display: none"><p>{}</p></div>', "gdpr": '<div class="gdpr"><p>{}</p></div>',
+}
+ARTICLE = f"<h1>On rivers</h1><p>{SENTENCES * 2}</p><p>{SENTENCES}</p><ul><li>one thing</li><li><a href='#'>a linked thing</a></li></ul><p>Last words of it.</p>"
+
+
+@pytest.mark.parametrize("shape", ["<article>{}</article>{}", "<div class='q1'>{}</div>{}", "<main><div>{}</div></main>{}"])
+def test_regions_beside_the_article(shape):
+    model = H.fit()
+    pages = {k: "<html><body><nav><a>Home</a></nav>" + shape.format(ARTICLE, r.format("Outside speech of somebody else who came by. " * 3)) + "</body></html>" for k, r in REGIONS.items()}
+    texts = dict(zip(pages, (t for t, _ in model.extract(list(pages.values()))), strict=True))
+    assert all("On rivers" in t and "Last words" in t and "a linked thing" in t and "Home" not in t for t in texts.values())
+    kept = [k for k, t in texts.items() if "Outside speech" in t]
+    assert len(kept) <= 2, kept
+
+
+def test_bare_text_and_hidden_parts():
+    model = H.fit()
+    texts = [t for t, _ in model.extract(["Just a line of text &amp; no markup at all, but a sentence.", "<body>One sentence that stands here.<br>Two sentences that stand here.</body>", f"<article>{ARTICLE}<span hidden>secret</span><p style='visibility: hidden'>secret</p></article>", "", "<p></p>"])]
+    assert texts[0] == "Just a line of text & no markup at all, but a sentence." and texts[1] == "One sentence that stands here. Two sentences that stand here."
+    assert "secret" not in texts[2] and texts[3:] == ["", ""]
