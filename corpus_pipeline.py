@@ -19,15 +19,20 @@ from fidelis.llm.common import read, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
+#: What the mixing stage adds and the last stage returns.
+PLACES = ["mix_slot", "mix_position"]
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (labels of the corpus train it)."""
+    """Documents that the quality classifier doesn't reject (labels of the corpus train it).
+
+    Null and empty texts are scored like others; a table without labelled rows rejects nothing.
+    """
     return quality_classifier.accepted(docs, quality_classifier.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules. Null and empty texts have no words and fail them."""
     return quality_rules.accepted(docs)
 
 
@@ -51,18 +56,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mixed sequence."""
-    return mixing.mix(docs, queries.SHARES, block=queries.BLOCK, many=True).orderBy("mix_position", "doc_id").select(*docs.columns)
+    """All documents with their places in the mixed sequence, mix_slot and mix_position, written in its order.
+
+    Null sources are a source of their own; rows with equal or null ids stand in any order among them. A
+    column of the input that has one of these names is replaced.
+    """
+    columns = [c for c in docs.columns if c not in PLACES]
+    mixed = mixing.mix(docs, queries.SHARES, block=queries.BLOCK, many=True)
+    return mixed.orderBy("mix_position", "doc_id").select(*columns, *PLACES)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' SentencePiece ids, whether they decode to the text, and their places in the mixed sequence.
 
-    Neither written tables nor documents' columns hold an order, so the places are worked out again:
-    they depend on doc_id and source only. Ordering by mix_position gives the mixed sequence.
+    Ordering by mix_position gives the mixed sequence. Documents without places (another mix, or none)
+    get no places.
     """
-    placed = mixing.mix(docs.select("doc_id", "text", "source"), queries.SHARES, block=queries.BLOCK, many=True)
-    return sentencepiece_lattice.sentencepiece_encoded(placed, keep=["mix_slot", "mix_position"])
+    return sentencepiece_lattice.sentencepiece_encoded(docs, keep=[c for c in PLACES if c in docs.columns])
 
 
 STAGES = [
