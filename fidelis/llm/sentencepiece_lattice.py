@@ -28,6 +28,8 @@ from .common import Memo, crc32, kept, map_texts, ragged, strings, text_groups
 SPACE = "▁"
 #: Longer words are relaxed one by one with a heap.
 LONG = 96
+#: Text bytes that are encoded at once; their arrays take about a hundred times as much.
+AT_ONCE = 1_000_000
 
 
 class Pieces:
@@ -127,7 +129,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.memo = Memo(self.learn)
+        self.memo = Memo(self.learn, 400_000, 64 << 20)
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def words(self, text: str) -> list[str]:
@@ -283,7 +285,7 @@ def _encoded(docs: DataFrame, vocabulary: str, schema: str, columns, keep: list[
         encoder = kept(Encoder, path)
 
         def work(batch: pa.RecordBatch) -> Iterator[dict]:
-            for a, b in text_groups(batch.column(1)):
+            for a, b in text_groups(batch.column(1), AT_ONCE):
                 texts = strings(batch.column(1).slice(a, b - a))
                 own = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(["doc_id", "text", *keep]) if c != "text"}
                 yield own | columns(encoder.pieces, texts, encoder.encode(texts))
