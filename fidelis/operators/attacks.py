@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .learners import FourierFeatures
 from .membership import majority, nearest_rows
 from .tagged import running
 
@@ -80,6 +81,7 @@ def near_sums(places: DataFrame, points: DataFrame, axes: list[str], sums: list[
     points, so that cells have few of them.
     """
     k = len(axes)
+    points = stored(points, "near-points")
     if depth is None:
         depth = max(1, min(62 // k, -(-max(1, points.count()).bit_length() // k)))
 
@@ -98,8 +100,9 @@ def near_sums(places: DataFrame, points: DataFrame, axes: list[str], sums: list[
         return reduce(lambda x, y: x + y, parts)
 
     levels = range(depth + 1)
-    own = places.select(*axes).distinct().select("*", *[code(n).alias(f"_q{n}") for n in levels])
-    data = points.select(*axes, *sums, *[code(n).alias(f"_d{n}") for n in levels])
+    # All levels read these tables, and the next level the pairs of the one before: they are stored, not worked out again.
+    own = stored(places.select(*axes).distinct().select("*", *[code(n).alias(f"_q{n}") for n in levels]), "places")
+    data = stored(points.select(*axes, *sums, *[code(n).alias(f"_d{n}") for n in levels]), "points")
     rim, given = places.limit(1).select(F.lit(0).cast("bigint").alias("cell"), F.lit(0).cast("bigint").alias("other")), []
     for n in levels:
         totals = data.groupBy(F.col(f"_d{n}").alias("other")).agg(*[F.sum(c).alias(c) for c in sums])
@@ -107,7 +110,7 @@ def near_sums(places: DataFrame, points: DataFrame, axes: list[str], sums: list[
             down = own.select(F.col(f"_q{n - 1}").alias("cell"), F.col(f"_q{n}").alias("cell_")).distinct()
             across = data.select(F.col(f"_d{n - 1}").alias("other"), F.col(f"_d{n}").alias("other_")).distinct()
             rim = rim.join(down, "cell").join(across, "other").select(F.col("cell_").alias("cell"), F.col("other_").alias("other"))
-        pairs = rim.where(bound(n, -1) < radius).withColumn("whole", bound(n, 1) < radius)
+        pairs = stored(rim.where(bound(n, -1) < radius).withColumn("whole", bound(n, 1) < radius), "cell-pairs")
         met = pairs.where("whole").join(totals, "other").groupBy("cell").agg(*[F.sum(c).alias(c) for c in sums])
         given.append(own.join(met, own[f"_q{n}"] == met["cell"]).select(*axes, *sums))
         rim = pairs.where("not whole").select("cell", "other")
@@ -134,6 +137,7 @@ def radius_attack(real: DataFrame, synthetic: DataFrame, keys: list[str], sensit
         shares = shares_below(value(real), value(places).union(value(data))).select(F.col("value").alias(c), F.col("share").alias(f"_at_{c}"))
         places, data = places.join(shares, c), data.join(shares, c)
     axes, sums = [f"_at_{c}" for c in keys], ["_n", *[f"_sum_{c}" for c in sensitive]]
+    places = stored(places, "key-places")
     near = near_sums(places, data, axes, sums, len(keys) * cutoff**p, p, depth)
     guess = places.join(near, axes, "left").select(*keys, *[F.coalesce(F.col(f"_sum_{c}") / F.col("_n"), F.lit(0.0)).alias(f"_of_{c}") for c in sensitive])
     return _mean_distance(real, rows.join(guess, keys), sensitive, p)
@@ -144,15 +148,16 @@ def radius_attack(real: DataFrame, synthetic: DataFrame, keys: list[str], sensit
 MODELS = {
     "naive_bayes": lambda: NaiveBayes(featuresCol="_features", labelCol="_label", predictionCol="_found", smoothing=1.0),
     "forest": lambda: RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_found", numTrees=100, maxDepth=8, seed=0),
-    "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=30), featuresCol="_features", labelCol="_label", predictionCol="_found"),
+    "linear": lambda: OneVsRest(classifier=LinearSVC(maxIter=30), featuresCol="_features", labelCol="_label", predictionCol="_found"),
+    "svm": lambda: Pipeline(stages=[FourierFeatures("_features", "_fourier"), OneVsRest(classifier=LinearSVC(maxIter=30), featuresCol="_fourier", labelCol="_label", predictionCol="_found")]),
 }
 
 
 def guesses(real: DataFrame, synthetic: DataFrame, keys: list[str], sensitive: str, model: str = "naive_bayes", neighbours: int = 5) -> DataFrame:
     """The distinct keys of real rows, their rows by actual value, and what a model fitted on synthetic rows guesses.
 
-    keys, actual, rows, guess. ``model`` is naive_bayes, forest, svm (one linear machine for each value) or
-    knn (votes of the synthetic rows with the most equal keys). Keys with a category that no synthetic row
+    keys, actual, rows, guess. ``model`` is naive_bayes, forest, svm (a machine with a radial kernel for each
+    value), linear (one without) or knn (votes of the synthetic rows with the most equal keys). Keys with a category that no synthetic row
     has have a null guess; nulls are the category "?".
     """
     text = lambda df: df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(c) for c in (*keys, sensitive)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StringIndexer, VectorAssembler
@@ -12,6 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .learners import AdaBoost, FourierFeatures
 from .membership import label_summary
 from .mixture import mixture_log_likelihood  # noqa: F401  (it belongs to the learned audits)
 from .tables import denormalize
@@ -26,14 +27,17 @@ def features(numeric: list[str], categorical: list[str]) -> list:
 
 
 def detection(real: DataFrame, synthetic: DataFrame, numeric: list[str], categorical: list[str], model: str = "logistic", folds: int = 3, seed: int = 0) -> DataFrame:
-    """score: 1 - mean over folds of (max(0.5, AUC) * 2 - 1). Folds are fixed by a hash, stratified by side."""
+    """score: 1 - mean over folds of (max(0.5, AUC) * 2 - 1). Folds are fixed by a hash, stratified by side.
+
+    ``model`` is logistic, svc (a machine with a radial kernel, by random Fourier features) or linear (one without).
+    """
     pick = lambda df, y: df.select(F.lit(float(y)).alias("label"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
     rows = pick(real, 1).unionByName(pick(synthetic, 0))
     rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(folds)))
-    learner = LogisticRegression(maxIter=50) if model == "logistic" else LinearSVC(maxIter=50)
+    learners = {"logistic": [LogisticRegression(maxIter=50)], "svc": [FourierFeatures(seed=seed), LinearSVC(featuresCol="fourier", maxIter=50)], "linear": [LinearSVC(maxIter=50)]}[model]
     aucs = []
     for k in range(folds):
-        fitted = Pipeline(stages=[*features(numeric, categorical), learner]).fit(rows.where(F.col("fold") != k))
+        fitted = Pipeline(stages=[*features(numeric, categorical), *learners]).fit(rows.where(F.col("fold") != k))
         aucs.append(BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(fitted.transform(rows.where(F.col("fold") == k))))
     score = 1 - sum(max(0.5, a) * 2 - 1 for a in aucs) / folds
     return real.sparkSession.range(1).select(F.lit(round(float(score), 6)).alias("score"))
@@ -42,11 +46,15 @@ def detection(real: DataFrame, synthetic: DataFrame, numeric: list[str], categor
 LEARNERS = {
     "random_forest": lambda seed: RandomForestClassifier(numTrees=200, maxDepth=10, seed=seed), "decision_tree": lambda seed: DecisionTreeClassifier(maxDepth=15, seed=seed),
     "logistic": lambda seed: LogisticRegression(maxIter=50), "boosted": lambda seed: GBTClassifier(maxIter=20, seed=seed),
+    "adaboost": lambda seed: AdaBoost(seed=seed),
 }
 
 
-def train_and_test(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, model: str = "random_forest", seed: int = 42) -> DataFrame:
-    """accuracy and macro_f1 of a model trained on one table and tested on another; labels that the test lacks are left out."""
+def train_and_test(train: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, model: str | Estimator = "random_forest", seed: int = 42) -> DataFrame:
+    """accuracy and macro_f1 of a model trained on one table and tested on another; labels that the test lacks are left out.
+
+    ``model`` is a name of LEARNERS, perceptron, or an estimator of features, label and prediction.
+    """
     known = train.join(test.select(target).distinct(), target, "left_semi")
     cast = lambda df: df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("target"), *[F.col(c).cast("double").alias(c) for c in numeric], *[F.col(c).cast("string").alias(c) for c in categorical])
     index = StringIndexer(inputCol="target", outputCol="label", handleInvalid="keep").fit(cast(test))
@@ -55,7 +63,7 @@ def train_and_test(train: DataFrame, test: DataFrame, numeric: list[str], catego
     if model == "perceptron":
         learner = perceptron([prepared.transform(rows.limit(1)).first()["features"].size, 20, len(index.labels) + 1], seed)
     else:
-        learner = LEARNERS[model](seed)
+        learner = LEARNERS[model](seed) if isinstance(model, str) else model
     fitted = Pipeline(stages=[prepared, learner]).fit(rows)
     return label_summary(fitted.transform(index.transform(cast(test))), "label", "prediction").select("accuracy", "macro_f1")
 
@@ -79,7 +87,7 @@ def ml_efficacy(train: DataFrame, test: DataFrame, numeric: list[str], categoric
         return regression_efficacy(train, test, numeric, target).select(F.col("r2").alias("score"))
     if kind not in ("categorical", "boolean", "numerical"):
         raise ValueError(f"unsupported kind of target {kind!r}")
-    models = ["decision_tree", "logistic", "boosted", "perceptron"] if two else ["decision_tree", "perceptron"]
+    models = ["decision_tree", "logistic", "adaboost", "perceptron"] if two else ["decision_tree", "perceptron"]
     each = [train_and_test(train, test, numeric, categorical, target, m).select(F.col("macro_f1").alias("score")) for m in models]
     return reduce(DataFrame.unionByName, each).agg(F.avg("score").alias("score"))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import histograms as H
 from ..operators import mixture as MX
-from .catalog import PACKETS, halves, packets, query, rounded
+from ..operators.learned import detection, train_and_test
+from ..operators.learners import AdaBoost
+from ..operators.tagged import tagged
+from ..operators.transformer import HyperTransformer
+from .catalog import JSD, PACKETS, halves, long_sql, packets, query, rounded, table
 
 # --- Gaussian mixtures -----------------------------------------------------------------------
 
@@ -48,7 +51,7 @@ def mixture_three_components(spark, d) -> DataFrame:
 @query(
     f"WITH {REAL}, {', '.join(mixture_sql(k, STEPS, f'g{k}') for k in (1, 2, 3))}, l AS ("
     + " UNION ALL ".join(f"SELECT {k} AS components, AVG(z) AS l FROM (SELECT DISTINCT id, z FROM g{k}_z{STEPS})" for k in (1, 2, 3))
-    + "), b AS (SELECT components, l, -2 * l * rows + (components - 1 + 4 * components) * LN(rows) AS bic FROM l, sc) SELECT components, ROUND(l, 4) AS log_likelihood, ROUND(bic / rows, 4) AS bic_per_row, bic = MIN(bic) OVER () AS chosen FROM b"
+    + "), b AS (SELECT components, l, -2 * l * rows + (components - 1 + 4 * components) * LN(rows) AS bic, rows FROM l, sc) SELECT components, ROUND(l, 4) AS log_likelihood, ROUND(bic / rows, 4) AS bic_per_row, bic = MIN(bic) OVER () AS chosen FROM b"
 )
 def mixture_selection(spark, d) -> DataFrame:
     """Numbers of components by the information criterion, after a fixed number of steps each."""
@@ -60,5 +63,60 @@ def mixture_selection(spark, d) -> DataFrame:
 
 @query()
 def mixture_best(spark, d) -> DataFrame:
-    """The score of the defaults: one to six components from drawn starts, the best by the criterion, three fits averaged."""
-    return rounded(MX.mixture_log_likelihood(*halves(packets(spark, d), "event_id"), ["value", "port"]), 3)
+    """One to three components from drawn starts, the best by the criterion."""
+    return rounded(MX.mixture_log_likelihood(*halves(packets(spark, d), "event_id"), ["value", "port"], (1, 3), steps=8, iterations=1), 2)
+
+
+# --- bins from the data ----------------------------------------------------------------------
+
+EDGE = "(low + ({k}) * (high - low) / bins)"
+
+
+@query(f"""WITH {PACKETS}, {long_sql('packets', 'event_id', {'value': 'value', 'port': 'port', 'time': 'time'}, 'DOUBLE')}, k AS (SELECT * FROM l WHERE value IS NOT NULL),
+ b AS (SELECT field, COUNT(*) AS n, MIN(value) AS a, MAX(value) AS z, QUANTILE_CONT(value, 0.75) - QUANTILE_CONT(value, 0.25) AS iqr FROM k WHERE side = 'real' GROUP BY field),
+ w AS (SELECT *, (z - a) / (LOG2(n) + 1) AS even FROM b), v AS (SELECT *, CASE WHEN iqr > 0 THEN LEAST(2 * iqr * POWER(n, -1.0::DOUBLE / 3), even) ELSE even END AS width FROM w),
+ e AS (SELECT field, CASE WHEN a = z THEN a - 0.5 ELSE a END AS low, CASE WHEN a = z THEN z + 0.5 ELSE z END AS high, CASE WHEN a = z THEN 1 ELSE CAST(CEIL((z - a) / CASE WHEN field = 'port' THEN GREATEST(width, 1) ELSE width END) AS BIGINT) END AS bins FROM v),
+ f AS (SELECT field, side, value, low, high, bins, LEAST(FLOOR((value - low) / (high - low) * bins), bins - 1) AS i FROM k JOIN e USING (field) WHERE value BETWEEN low AND high),
+ g AS (SELECT field, bins, side, CASE WHEN value < {EDGE.format(k='i')} THEN i - 1 WHEN i < bins - 1 AND value >= {EDGE.format(k='i + 1')} THEN i + 1 ELSE i END AS i FROM f),
+ c AS (SELECT field, bins, i, CAST(COUNT(*) FILTER (side = 'real') AS DOUBLE) AS r, CAST(COUNT(*) FILTER (side = 'synthetic') AS DOUBLE) AS s FROM g GROUP BY ALL),
+ h AS (SELECT field, bins, r / SUM(r) OVER (PARTITION BY field) AS p, s / SUM(s) OVER (PARTITION BY field) AS q FROM c)
+ SELECT field, bins, ROUND({JSD}, 6) AS score FROM h GROUP BY field, bins""")
+def continuous_divergence(spark, d) -> DataFrame:
+    both = tagged(*halves(packets(spark, d), "event_id"), ["value", "port", "time"])
+    return rounded(H.continuous_jsd(both, ["value", "port", "time"], whole=["port"]))
+
+
+# --- one transformer for a table -------------------------------------------------------------
+
+FLAGS = "SELECT DISTINCT l_returnflag AS v FROM lineitem WHERE l_orderkey % 2 = 0"
+
+
+@query(f"""WITH m AS (SELECT AVG(l_quantity) AS q, AVG(epoch_us(l_shipdate) * 1000.0::DOUBLE) AS t FROM lineitem WHERE l_orderkey % 2 = 0), s AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 1)
+ SELECT 'l_quantity' AS field, ROUND(AVG(COALESCE(CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity END, q)), 4) AS mean FROM s, m
+ UNION ALL SELECT 'l_shipdate', ROUND(AVG(COALESCE(epoch_us(l_shipdate) * 1000.0::DOUBLE, t)) / 1e13, 4) FROM s, m
+ UNION ALL SELECT 'l_returnflag=' || v, ROUND(AVG(CASE WHEN l_returnflag = v THEN 1.0::DOUBLE ELSE 0 END), 4) FROM s, ({FLAGS}) GROUP BY v""")
+def hyper_transform(spark, d) -> DataFrame:
+    """Fitted on the even orders' rows; means of the odd ones' columns, small quantities taken for gaps."""
+    real, synthetic = halves(table(spark, d, "lineitem"), "l_orderkey")
+    names = ["l_quantity", "l_shipdate", "l_returnflag"]
+    fitted = HyperTransformer().fit(real.select(*names))
+    out = fitted.transform(synthetic.select(F.when(F.col("l_quantity") >= 10, F.col("l_quantity")).alias("l_quantity"), *names[1:]), unknown="ignore")
+    scale = lambda c: F.col(f"`{c}`") / (1e13 if c == "l_shipdate" else 1.0)
+    means = out.agg(*[F.avg(scale(c)).alias(f"m{i}") for i, c in enumerate(out.columns)])
+    return rounded(means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(out.columns)]))), 4)
+
+
+# --- boosted stumps and kernel machines ------------------------------------------------------
+
+
+@query()
+def adaboost_efficacy(spark, d) -> DataFrame:
+    """Boosted stumps trained on the odd orders' rows and tested on the even ones: whether a row's line is open."""
+    test, train = halves(table(spark, d, "lineitem"), "l_orderkey")
+    return rounded(train_and_test(train, test, ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"], "l_linestatus", AdaBoost(rounds=4)), 3)
+
+
+@query()
+def kernel_detection(spark, d) -> DataFrame:
+    """How hard a machine with a radial kernel finds it to tell even from odd packets."""
+    return rounded(detection(*halves(packets(spark, d), "event_id"), ["value", "port"], [], "svc", folds=2), 2)

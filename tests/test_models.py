@@ -8,8 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from fidelis.operators import flows as FL
+from fidelis.operators import histograms as H
+from fidelis.operators import learned as L
 from fidelis.operators import membership as M
 from fidelis.operators import mixture as MX
+from fidelis.operators.learners import AdaBoost
+from fidelis.operators.tagged import tagged
+from fidelis.operators.transformer import HyperTransformer
 
 
 def plain_steps(x, means, variances, weights, steps):
@@ -118,3 +123,82 @@ def test_nearest_rows_are_filled(spark):
     for i, *p in points:
         equal = [(j, sum(a == b and a is not None for a, b in zip(p, q, strict=True))) for j, *q in model]
         assert got[i] == sorted(equal, key=lambda x: (-x[1], x[0]))[:8]
+
+
+def test_automatic_bins_are_numpys(spark):
+    rng = np.random.default_rng(7)
+    columns = {"even": rng.uniform(0, 5, 400), "skewed": rng.lognormal(0, 2, 333), "flat": np.concatenate([np.zeros(90), [1.0, 5.0]]), "one": np.full(5, 2.5), "few": np.array([1.0, 9.0])}
+    rows = [(k, float(x)) for k, xs in columns.items() for x in xs] + [("even", None), ("none", None)]
+    got = {r["field"]: r for r in H.automatic_bins(spark.createDataFrame(rows, "field string, value double").repartition(3)).collect()}
+    assert got.keys() == columns.keys()
+    for k, x in columns.items():
+        edges = max((np.histogram_bin_edges(x, bins=rule) for rule in ("fd", "sturges")), key=len)
+        assert (got[k]["bins"], got[k]["low"], got[k]["high"]) == (len(edges) - 1, edges[0], edges[-1]), k
+    whole = spark.createDataFrame([("w", float(v)) for v in rng.integers(0, 4, 500)], "field string, value double")
+    assert H.automatic_bins(whole, ["w"]).first()["bins"] == 3
+
+
+def test_continuous_divergence_is_plain(spark):
+    rng = np.random.default_rng(8)
+    p, q = rng.normal(0, 1, 300), rng.normal(0.5, 2, 280)
+    real, fake = (spark.createDataFrame([(float(v), 1.0) for v in x], "a double, b double") for x in (p, q))
+    got = {r["field"]: r["score"] for r in H.continuous_jsd(tagged(real, fake, ["a", "b"]), ["a", "b"]).collect()}
+    edges = max((np.histogram_bin_edges(p, bins=rule) for rule in ("fd", "sturges")), key=len)
+    a, b = (np.histogram(x, edges)[0].astype(float) for x in (p, q))
+    a, b = a / a.sum(), b / b.sum()
+    m = (a + b) / 2
+    kl = lambda x: sum(v * math.log(v / w) for v, w in zip(x, m, strict=True) if v)
+    assert math.isclose(got["a"], (kl(a) + kl(b)) / 2, rel_tol=1e-9) and got["b"] == 0
+    beyond = H.continuous_jsd(tagged(real, fake.withColumn("a", F.lit(99.0)), ["a"]), ["a"]).first()
+    assert beyond["score"] is None
+    assert H.continuous_jsd(tagged(real.where("false"), fake, ["a"]), ["a"]).collect() == []
+
+
+def test_transformer_by_kinds(spark):
+    df = spark.sql("select * from values (1, 2.0d, true, 'x', timestamp'2020-01-01 00:00:01', null), (3, null, true, null, null, date'2020-01-02'), (null, 4.0d, false, 'y', timestamp'2020-01-01 00:00:03', date'2020-01-04'), (null, 4.0d, null, 'x', null, null) as t(i, f, b, c, t, d)")
+    fitted = HyperTransformer().fit(df)
+    again = HyperTransformer(fitted.table(spark))
+    out = again.transform(df)
+    assert out.columns == ["i", "f", "b", "c=x", "c=y", "c", "t", "d"]
+    rows = [tuple(r) for r in out.collect()]
+    day = 86_400 * 10**9
+    new_year = 1577836800 * 10**9
+    assert [r[0] for r in rows] == [1, 3, 2, 2] and rows[1][1] == 10 / 3 and [r[2] for r in rows] == [1, 1, 0, 1]
+    assert [r[3:6] for r in rows] == [(1, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0)]
+    assert [r[6] - new_year for r in rows] == [1e9, 2e9, 3e9, 2e9] and [r[7] - new_year for r in rows] == [2 * day, day, 3 * day, 2 * day]
+    other = df.withColumn("c", F.lit("new"))
+    assert {tuple(r)[3:6] for r in again.transform(other, "ignore").collect()} == {(0, 0, 0)}
+    with pytest.raises(Exception, match="without the value new"):
+        again.transform(other).collect()
+    empty = HyperTransformer().fit(df.where("false"))
+    assert empty.transform(df, "ignore").columns == ["i", "f", "b", "t", "d"] and empty.table(spark).count() == 6
+    with pytest.raises(ValueError, match="more than"):
+        HyperTransformer().fit(df, most_values=2)
+
+
+def test_two_rounds_of_stumps_by_hand(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    xs, ys = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [1, 1, 1, 0, 0, 0, 1, 1, 1, 0]
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame([(float(x), float(y)) for x, y in zip(xs, ys, strict=True)], "x double, label double").coalesce(1))
+    model = AdaBoost(rounds=2).fit(df)
+    w = np.ones(10)
+    for feature, threshold, low, high, vote in model.stumps:
+        assert feature == 0
+        said = np.array([low if x <= threshold else high for x in xs])
+        wrong = said != ys
+        error = w[wrong].sum() / w.sum()
+        assert math.isclose(vote, math.log((1 - error) / error), rel_tol=1e-9)
+        w = w * np.exp(vote * wrong)
+    assert len(model.stumps) == 2 and model.stumps[0] != model.stumps[1]
+    more = AdaBoost(rounds=30).fit(df).transform(df).where("label <> prediction").count()
+    assert more < model.transform(df).where("label <> prediction").count()
+    assert AdaBoost().fit(df.where("label = 1")).transform(df).where("prediction = 1").count() == 10
+
+
+def test_kernels_tell_rings_apart(spark):
+    rng = np.random.default_rng(3)
+    ring = lambda r, n: [(float(r * math.cos(a)), float(r * math.sin(a))) for a in rng.uniform(0, 2 * math.pi, n)]
+    inner, outer = (spark.createDataFrame(ring(r, 250), "x double, y double").coalesce(1) for r in (1.0, 3.0))
+    score = {m: L.detection(inner, outer, ["x", "y"], [], m, folds=2).first()["score"] for m in ("svc", "linear")}
+    assert score["svc"] < 0.2 < 0.6 < score["linear"]
