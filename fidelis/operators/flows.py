@@ -112,8 +112,10 @@ def propagate_flow_tags(flows: DataFrame, chunk: str, flags: str) -> DataFrame:
     return own.unionByName(copies)
 
 
-def padded_series(packets: DataFrame, key: list[str], order: list[str], features: list[str], length: int) -> DataFrame:
-    """Per flow, arrays of each feature's first ``length`` values padded with zeros, and ``present`` flags."""
+def padded_series(packets: DataFrame, key: list[str], order: list[str], features: list[str], length: int | None = None) -> DataFrame:
+    """Per flow, arrays of each feature's values padded with zeros to the longest flow, or cut or padded to ``length``, and ``present`` flags."""
+    if length is None:
+        length = packets.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     first = head_per_flow(packets, key, order, length)
     packed = first.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("position", *features))).alias("_s"))
     pad = lambda a: F.slice(F.concat(a, F.array_repeat(F.lit(0.0), length)), 1, length)

@@ -303,9 +303,9 @@ def fixed_slices(spark, d) -> DataFrame:
     return FL.slices(packets(spark, d), "time", "event_id", 100).select("event_id", "chunk")
 
 
-@query(f"WITH {PACKETS}, f AS (SELECT user_id, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY time, event_id) AS i FROM packets) SELECT user_id, CAST(i - 1 AS INTEGER) AS step, ROUND(value, 4) AS value FROM f WHERE i <= 20")
+@query(f"WITH {PACKETS}, f AS (SELECT user_id, value, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY time, event_id) AS i FROM packets) SELECT user_id, CAST(i - 1 AS INTEGER) AS step, ROUND(value, 4) AS value FROM f")
 def padded_series(spark, d) -> DataFrame:
-    series = FL.padded_series(packets(spark, d), ["user_id"], ["time", "event_id"], ["value"], 20)
+    series = FL.padded_series(packets(spark, d), ["user_id"], ["time", "event_id"], ["value"])
     return FL.denormalize_series(series, ["user_id"], ["value"]).withColumn("value", F.round("value", 4))
 
 

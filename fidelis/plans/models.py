@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import histograms as H
 from ..operators import mixture as MX
+from ..operators.attacks import model_attack
 from ..operators.learned import detection, train_and_test
 from ..operators.learners import AdaBoost
 from ..operators.tagged import tagged
@@ -106,6 +107,24 @@ def hyper_transform(spark, d) -> DataFrame:
     return rounded(means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"m{i}").alias("mean")) for i, c in enumerate(out.columns)]))), 4)
 
 
+# --- naive Bayes with several keys -----------------------------------------------------------
+
+KEYS = ["l_returnflag", "l_linenumber", "l_discount"]
+
+
+@query(f"""WITH s AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 1), r AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0), c AS (SELECT l_linestatus AS v, COUNT(*) AS n FROM s GROUP BY v),
+ t AS (SELECT SUM(n) AS n, COUNT(*) AS k FROM c), w AS (SELECT {' + '.join(f'(SELECT COUNT(DISTINCT {k}) + 1 FROM s)' for k in KEYS)} AS w),
+ """ + ", ".join(f"k{i} AS (SELECT x, v, COALESCE(m, 0) AS m FROM (SELECT DISTINCT {k} AS x FROM s) CROSS JOIN c LEFT JOIN (SELECT {k} AS x, l_linestatus AS v, COUNT(*) AS m FROM s GROUP BY ALL) USING (x, v))" for i, k in enumerate(KEYS)) + f""",
+ p AS (SELECT DISTINCT {', '.join(KEYS)} FROM r), g AS (SELECT {', '.join(KEYS)}, c.v, c.n, LN(c.n + 1) - LN(t.n + t.k) + {' + '.join(f'LN(k{i}.m + 1) - LN({len(KEYS)} * c.n + w.w)' for i in range(len(KEYS)))} AS score
+  FROM p CROSS JOIN c CROSS JOIN t CROSS JOIN w {' '.join(f'JOIN k{i} ON k{i}.x = {k} AND k{i}.v = c.v' for i, k in enumerate(KEYS))}),
+ b AS (SELECT * FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY {', '.join(KEYS)} ORDER BY score DESC, n DESC, v) = 1)
+ SELECT ROUND(1 - AVG(CASE WHEN b.v = l_linestatus THEN 1.0::DOUBLE ELSE 0 END), 5) AS score FROM r JOIN b USING ({', '.join(KEYS)})""")
+def bayes_attack_three_keys(spark, d) -> DataFrame:
+    """What a naive Bayes attacker with three keys guesses of a real row's status; each share counts one more than seen."""
+    real, synthetic = halves(table(spark, d, "lineitem"), "l_orderkey")
+    return rounded(model_attack(real, synthetic, KEYS, "l_linestatus", "naive_bayes"), 5)
+
+
 # --- boosted stumps and kernel machines ------------------------------------------------------
 
 

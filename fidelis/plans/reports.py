@@ -32,38 +32,40 @@ def flow_rows(spark, d) -> DataFrame:
     return rows.select("event_id", "user_id", F.col("address").alias("srcip"), (F.col("user_id") * 7).alias("dstip"), (1000 + F.col("port")).alias("srcport"), F.lit(443).alias("dstport"), F.col("event_type").alias("proto"), F.round("time", 3).alias("time"), F.floor("value").alias("pkt_len"), F.col("port").alias("tos"), (F.col("user_id") % 64).alias("ttl"))
 
 
-def flow_files(spark, d) -> tuple[str, str]:
-    """Globs of both sides' CSV files, one folder ``u_<user>`` for each flow."""
+def flow_files(spark, d, names: tuple[str, ...] = ("real", "synthetic")) -> tuple[str, ...]:
+    """Globs of the named sides' CSV files, one folder ``u_<user>`` for each flow."""
     out = []
     for name, rows in zip(("real", "synthetic"), halves(flow_rows(spark, d), "event_id"), strict=True):
+        if name not in names:
+            continue
         folder = f"{shared_folder(spark, f'csv-{name}')}"
         rows.withColumn("u", F.col("user_id") % 8).repartition("u").write.partitionBy("u").option("header", True).csv(folder)
         out.append(f"{folder}/u=*/*.csv")
-    return out[0], out[1]
+    return tuple(out)
 
 
 @query(f"{EV} SELECT event_id, srcport, proto, time, pkt_len, 'u=' || user_id % 8 AS folder FROM p WHERE event_id % 2 = 0")
 def csv_files(spark, d) -> DataFrame:
-    rows = files.csv(spark, flow_files(spark, d)[0], "event_id bigint, user_id bigint, srcip bigint, dstip bigint, srcport int, dstport int, proto string, time double, pkt_len bigint")
+    rows = files.csv(spark, flow_files(spark, d, ("real",))[0], "event_id bigint, user_id bigint, srcip bigint, dstip bigint, srcport int, dstport int, proto string, time double, pkt_len bigint")
     return rows.select("event_id", "srcport", "proto", "time", "pkt_len", F.element_at(F.split("file", "/"), -2).alias("folder"))
 
 
 @query(f"{EV}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id % 8 ORDER BY time, event_id) AS i FROM p WHERE event_id % 2 = 0) SELECT event_id FROM r WHERE i <= 5")
 def head_of_files(spark, d) -> DataFrame:
     # Spark writes a folder's rows to one file here, as they were repartitioned by it.
-    return files.head_per_file(files.csv(spark, flow_files(spark, d)[0]), ["time", "event_id"], 5).select(F.col("event_id").cast("bigint").alias("event_id"))
+    return files.head_per_file(files.csv(spark, flow_files(spark, d, ("real",))[0]), ["time", "event_id"], 5).select(F.col("event_id").cast("bigint").alias("event_id"))
 
 
 @query(f"{EV} SELECT 'pkt_len' AS name, COUNT(*) AS n, CAST(SUM(pkt_len) AS BIGINT) AS total FROM p WHERE event_id % 2 = 0 UNION ALL SELECT 'nothing', 0, NULL")
 def file_columns(spark, d) -> DataFrame:
-    rows = files.csv(spark, flow_files(spark, d)[0])
+    rows = files.csv(spark, flow_files(spark, d, ("real",))[0])
     one = lambda name: files.column(rows, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(F.col(name).cast("bigint")).alias("total"))
     return one("pkt_len").unionByName(one("nothing"))
 
 
 @query(f"{EV} SELECT 'L' || user_id % 8 % 3 AS label, COUNT(*) AS n FROM p WHERE event_id % 2 = 0 AND user_id % 8 < 6 GROUP BY label")
 def labelled_files(spark, d) -> DataFrame:
-    rows = files.csv(spark, flow_files(spark, d)[0]).withColumn("file", F.element_at(F.split("file", "/"), -2))
+    rows = files.csv(spark, flow_files(spark, d, ("real",))[0]).withColumn("file", F.element_at(F.split("file", "/"), -2))
     labels = spark.range(6).select(F.concat(F.lit("u="), "id").alias("File"), F.concat(F.lit("L"), F.col("id") % 3).alias("Label"))
     return files.labelled(rows, labels).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -173,7 +175,7 @@ def run_topology_of_packets(spark, d) -> DataFrame:
 
 @query(f"{EV}, u AS (SELECT *, user_id % 8 AS f FROM p WHERE event_id % 2 = 0) SELECT 'u=' || f AS \"Label\", COUNT(*) AS packet_count, COUNT(DISTINCT srcport) AS unique_srcport, ROUND(AVG(pkt_len), 4) AS pkt_len_mean, MAX(CAST(ttl AS INTEGER)) AS ttl_max, ROUND(MAX(time) - MIN(time), 2) AS duration FROM u GROUP BY f")
 def run_membership_features(spark, d) -> DataFrame:
-    out = runs.membership_features(spark, flow_files(spark, d)[0])
+    out = runs.membership_features(spark, flow_files(spark, d, ("real",))[0])
     return out.select("Label", "packet_count", "unique_srcport", F.round("pkt_len_mean", 4).alias("pkt_len_mean"), F.col("ttl_max").cast("int").alias("ttl_max"), F.round("duration", 2).alias("duration"))
 
 
