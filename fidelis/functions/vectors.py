@@ -69,3 +69,53 @@ def decode(rows: DataFrame, column: str, vectors: DataFrame, kind: str, name: st
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
 
     return rows.mapInArrow(run, schema)
+
+
+# --- nearest words by a forest of random splits ------------------------------------------------
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+
+
+def _leaves(df: DataFrame, vector: str, planes: np.ndarray, probes: int) -> DataFrame:
+    """``df`` with _tree and _leaf: one row for each tree, and ``probes`` more for the leaves behind the splits that a vector is closest to."""
+    trees, depth, _ = planes.shape
+    number = lambda v: f"{float(v)!r}D"
+    forest = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(map(number, p)) + ")" for p in tree) + ")" for tree in planes) + ")") if depth else None
+    if forest is None:
+        return df.select("*", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("_tree"), F.lit(0).cast("bigint").alias("_leaf"))
+    # The outer lambda holds the vector; a split's bit is the side of its plane.
+    margins = F.transform(F.array(vector), lambda x: F.transform(forest, lambda tree: F.transform(tree, lambda p: _dot(p, x))))[0]
+    rows = df.select("*", F.posexplode(margins).alias("_tree", "_m"))
+    leaf = F.aggregate("_m", F.lit(0).cast("bigint"), lambda s, v: 2 * s + F.when(v > 0, 1).otherwise(0))
+    rows = rows.withColumn("_own", leaf)
+    if not probes:
+        return rows.withColumnRenamed("_own", "_leaf").drop("_m")
+    near = F.slice(F.array_sort(F.transform("_m", lambda v, i: F.struct(F.abs(v).alias("d"), i.alias("i")))), 1, probes)
+    bits = F.transform(near, lambda k: F.expr("1L") * F.pow(F.lit(2.0), F.lit(depth - 1) - k["i"]).cast("bigint"))
+    others = F.transform(bits, lambda b: F.col("_own").bitwiseXOR(b))
+    return rows.withColumn("_leaf", F.explode(F.concat(F.array("_own"), others))).drop("_m", "_own")
+
+
+def nearest_words(rows: DataFrame, words: DataFrame, trees: int = 12, probes: int = 2, leaf: int = 64, seed: int = 0) -> DataFrame:
+    """id, word, cosine: for each row (id, vector) the word (word, vector) with the smallest angle among those that share a leaf with it.
+
+    A forest of random hyperplane splits cuts the words into leaves of about ``leaf`` words; a row visits
+    its own leaf of each tree and those behind the ``probes`` splits that it is closest to. The shared
+    leaves are an equi-join, and the angles of what meets are exact, ties by word. So neither side is
+    gathered or broadcast. A vector without length or a null one has no word, nor has a row whose
+    leaves are empty.
+    """
+    size = lambda v: F.sqrt(_dot(F.col(v), F.col(v)))
+    unit = lambda df, key: df.select(F.col(key), F.transform("vector", lambda x: x.cast("double")).alias("_v")).where(size("_v") > 0).select(key, F.transform("_v", lambda x: x / size("_v")).alias("_v"))
+    own, known = unit(rows, "id"), unit(words, "word")
+    first = known.select(F.size("_v").alias("d")).first()
+    if first is None:
+        return own.select("id", F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("cosine")).limit(0)
+    depth = min(40, max(0, (max(1, known.count()) // leaf).bit_length()))
+    planes = np.random.default_rng(seed).normal(size=(trees, depth, first["d"]))
+    met = _leaves(own, "_v", planes, min(probes, depth)).join(_leaves(known.withColumnRenamed("_v", "_w"), "_w", planes, 0), ["_tree", "_leaf"])
+    pairs = met.select("id", "word", _dot(F.col("_v"), F.col("_w")).alias("cosine"))
+    best = pairs.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 12)).alias("c"), "word")).alias("_b"))
+    return best.select("id", F.col("_b.word").alias("word"), (-F.col("_b.c")).alias("cosine"))

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..operators import histograms as H
 from ..operators import mixture as MX
+from ..operators import quality as Q
+from ..operators.attacks import dependence_tree as fitted_tree
 from ..operators.attacks import model_attack
 from ..operators.learned import detection, train_and_test
 from ..operators.learners import AdaBoost
 from ..operators.tagged import tagged
 from ..operators.transformer import HyperTransformer
-from .catalog import JSD, PACKETS, halves, long_sql, packets, query, rounded, table
+from .catalog import JSD, ORACLE, PACKETS, halves, long_sql, packets, query, rounded, table
+from .comparison import reported
+from .reports import NUMBERS3
 
 # --- Gaussian mixtures -----------------------------------------------------------------------
 
@@ -139,3 +144,38 @@ def adaboost_efficacy(spark, d) -> DataFrame:
 def kernel_detection(spark, d) -> DataFrame:
     """How hard a machine with a radial kernel finds it to tell even from odd packets."""
     return rounded(detection(*halves(packets(spark, d), "event_id"), ["value", "port"], [], "svc", folds=2), 2)
+
+
+# --- the tree that the data gives ------------------------------------------------------------
+
+#: Grown from the first column: the heavier of its two edges, then the heavier edge to the column left.
+TREE_CHOICE = f"""WITH m AS ({ORACLE['mutual_information']}), w AS (SELECT MAX(bits) FILTER (a = 'l_returnflag' AND b = 'l_linestatus') AS fs, MAX(bits) FILTER (a = 'l_returnflag' AND b = 'l_linenumber') AS fn, MAX(bits) FILTER (a = 'l_linestatus' AND b = 'l_linenumber') AS sn FROM m)
+ SELECT 'l_linestatus' AS child, CASE WHEN fs >= fn OR fs >= sn THEN 'l_returnflag' ELSE 'l_linenumber' END AS parent FROM w
+ UNION ALL SELECT 'l_linenumber', CASE WHEN fs < fn OR fn >= sn THEN 'l_returnflag' ELSE 'l_linestatus' END FROM w"""
+
+
+@query(TREE_CHOICE)
+def dependence_tree(spark, d) -> DataFrame:
+    """Edges of the tree of columns with the most mutual information."""
+    tree = fitted_tree(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+    return spark.createDataFrame([(parent, child) for parent, child in tree if parent], "parent string, child string")
+
+
+@query(f"""WITH s AS ({ORACLE['chi_square_score']}), n AS (SELECT {', '.join(f'GREATEST(0, 1 - ABS(AVG({c}) FILTER (l_orderkey % 2 = 0) - AVG({c}) FILTER (l_orderkey % 2 = 1)) / (MAX({c}) FILTER (l_orderkey % 2 = 0) - MIN({c}) FILTER (l_orderkey % 2 = 0))) AS {c}' for c in NUMBERS3)} FROM lineitem)
+ SELECT 'chi_square' AS metric, field, ROUND(score, 5) AS score FROM s {' '.join(f"UNION ALL SELECT 'statistic_similarity', '{c}', ROUND({c}, 5) FROM n" for c in NUMBERS3)}""")
+def scores_of_columns(spark, d) -> DataFrame:
+    """Two metrics on all columns of their kinds, by the registry."""
+    return rounded(Q.scores(*reported(spark, d), ["chi_square", "statistic_similarity"]), 5)
+
+
+# --- nearest words ---------------------------------------------------------------------------
+
+
+@query("""WITH w AS (SELECT CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), r AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: ROUND(x, 1)) AS v FROM embeddings)
+ SELECT id, word, ROUND(c, 6) AS cosine FROM (SELECT id, word, ROUND(list_cosine_similarity(r.v, w.v), 12) AS c FROM r, w WHERE list_dot_product(r.v, r.v) > 0 AND list_dot_product(w.v, w.v) > 0) QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY c DESC, word) = 1""")
+def nearest_words(spark, d) -> DataFrame:
+    """Each vector, rounded to tenths, decoded to the nearest one by a forest of random splits; the SQL compares all pairs."""
+    rows = table(spark, d, "embeddings")
+    words = rows.select(F.col("vec_id").cast("string").alias("word"), F.col("embedding").alias("vector"))
+    coarse = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.round(x.cast("double"), 1)).alias("vector"))
+    return rounded(V.nearest_words(coarse, words))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fidelis.functions import vectors as V
 from fidelis.operators import flows as FL
 from fidelis.operators import histograms as H
 from fidelis.operators import learned as L
@@ -202,3 +203,19 @@ def test_kernels_tell_rings_apart(spark):
     inner, outer = (spark.createDataFrame(ring(r, 250), "x double, y double").coalesce(1) for r in (1.0, 3.0))
     score = {m: L.detection(inner, outer, ["x", "y"], [], m, folds=2).first()["score"] for m in ("svc", "linear")}
     assert score["svc"] < 0.2 < 0.6 < score["linear"]
+
+
+def test_forest_finds_nearest_words(spark):
+    rng = np.random.default_rng(6)
+    words = rng.normal(size=(1500, 8))
+    rows = words[::5] + rng.normal(0, 0.6, (300, 8))
+    w = spark.createDataFrame([(f"w{i:04}", [float(x) for x in v]) for i, v in enumerate(words)] + [("none", [0.0] * 8)], "word string, vector array<double>")
+    r = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)] + [(999, None), (1000, [0.0] * 8)], "id bigint, vector array<double>")
+    got = {x["id"]: (x["word"], x["cosine"]) for x in V.nearest_words(r, w).collect()}
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cos = unit(rows) @ unit(words).T
+    assert set(got) <= set(range(300)) and all(math.isclose(c, cos[i, int(word[1:])], abs_tol=1e-9) for i, (word, c) in got.items())
+    assert np.mean([got.get(i, ("", 0))[0] == f"w{cos[i].argmax():04}" for i in range(300)]) >= 0.9
+    few = V.nearest_words(r, w.limit(3)).collect()  # one leaf: exact
+    assert len(few) == 300
+    assert V.nearest_words(r, w.where("false")).collect() == [] == V.nearest_words(r.where("false"), w).collect()
