@@ -69,10 +69,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' SentencePiece ids, whether they decode to the text, and their places in the mixed sequence.
 
-    Ordering by mix_position gives the mixed sequence. Documents without places (another mix, or none)
-    get no places.
+    Ordering by mix_position gives the mixed sequence. Documents that come without places are mixed first.
     """
-    return sentencepiece_lattice.sentencepiece_encoded(docs, keep=[c for c in PLACES if c in docs.columns])
+    if not set(PLACES) <= set(docs.columns):
+        docs = mixing.mix(docs.select("doc_id", "text", "source"), queries.SHARES, block=queries.BLOCK, many=True)
+    return sentencepiece_lattice.sentencepiece_encoded(docs, keep=PLACES)
 
 
 STAGES = [
