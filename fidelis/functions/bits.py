@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: lambdas inside ``body`` would compute a plain column again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def bits_to_int(bits: Column) -> Column:
     """First bit is the most significant; missing bits count as 0."""
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a * 2 + F.when(b > 0, 1).otherwise(0))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bits import int_to_bits
+from .bits import int_to_bits, let
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ class Bits:
 
     def decode(self, y: Column) -> Column:
         at = F.sequence(F.lit(0), F.lit(self.width - 1))
-        return F.aggregate(at, F.lit(0).cast("bigint"), lambda a, k: a * 2 + F.when(F.get(y, 2 * k + 1) > F.get(y, 2 * k), 1).otherwise(0))
+        return let(y, lambda pairs: F.aggregate(at, F.lit(0).cast("bigint"), lambda a, k: a * 2 + F.when(F.get(pairs, 2 * k + 1) > F.get(pairs, 2 * k), 1).otherwise(0)))
 
 
 def encode_fields(df: DataFrame, codecs: dict[str, object], keep: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bits import let
+
 PACKET = "<|pkt|>"
 #: Bit of each TCP flag letter (fixed values).
 FLAGS = {"F": 1, "S": 2, "R": 4, "P": 8, "A": 16, "U": 32, "E": 64, "C": 128, "N": 256}
@@ -97,9 +99,9 @@ def truncate_tokens(text: Column, tokens: int) -> Column:
 
 def bytes_to_tokens(data: Column) -> Column:
     """Bytes as space-separated decimal numbers."""
-    digits = F.hex(data)
-    at = F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2))
-    return F.when(F.length(digits) > 0, F.array_join(F.transform(at, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10)), " ")).otherwise("")
+    at = lambda digits: F.sequence(F.lit(1), F.greatest(F.length(digits) - 1, F.lit(1)), F.lit(2))
+    numbers = let(F.hex(data), lambda digits: F.array_join(F.transform(at(digits), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10)), " "))
+    return F.when(F.length(data) > 0, numbers).otherwise("")
 
 
 def fit_length(values: Column, length: int) -> Column:
@@ -113,14 +115,17 @@ def tag_sequence(sequence: Column, label: Column) -> Column:
 
 def checksum(words: Column) -> Column:
     """One's-complement checksum of 16-bit words (the checksum word itself as 0)."""
+    folded = lambda x: x.bitwiseAND(65535) + F.shiftright(x, 16)
     total = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + w)
-    once = total.bitwiseAND(65535) + F.shiftright(total, 16)
-    return F.lit(65535) - (once.bitwiseAND(65535) + F.shiftright(once, 16))
+    return F.lit(65535) - let(let(total, folded), folded)
 
 
 def ipv4_checksum(header_hex: Column) -> Column:
     """Checksum of an IPv4 header of 20 bytes or more given as hexadecimal text."""
-    digits = clean_hex(header_hex)
+    return let(clean_hex(header_hex), _checksum_of_digits)
+
+
+def _checksum_of_digits(digits: Column) -> Column:
     at = F.sequence(F.lit(1), F.greatest(F.length(digits) - 3, F.lit(1)), F.lit(4))
     return checksum(F.transform(at, lambda i: F.when(i == 21, F.lit(0)).otherwise(F.conv(F.substring(digits, i, F.lit(4)), 16, 10)).cast("bigint")))
 
@@ -141,10 +146,11 @@ def header_bytes(src: Column, dst: Column, proto: Column, sport: Column, dport:
     of TCP and UDP zero. Anything but TCP and UDP ends behind the IP header.
     """
     number = F.when(F.upper(proto) == "TCP", 6).when(F.upper(proto) == "UDP", 17).otherwise(0)
-    blank = lambda check: F.concat(F.lit("4500"), number_bytes(payload_bytes + 16, 2), F.lit("0001000040"), number_bytes(number, 1), check, ip_bytes(src), ip_bytes(dst))
+    blank = F.concat(F.lit("4500"), number_bytes(payload_bytes + 16, 2), F.lit("0001000040"), number_bytes(number, 1), F.lit("0000"), ip_bytes(src), ip_bytes(dst))
+    checked = let(blank, lambda h: F.concat(F.substring(h, 1, 20), number_bytes(_checksum_of_digits(h), 2), F.substring(h, 25, 16)))
     ports = F.concat(number_bytes(sport, 2), number_bytes(dport, 2))
     up = F.when(number == 6, F.concat(ports, F.lit("0" * 16 + "5002200000000000"))).when(number == 17, F.concat(ports, number_bytes(payload_bytes + 8, 2), F.lit("0000"))).otherwise("")
-    return F.concat(F.lit("0" * 24 + "0800"), blank(number_bytes(ipv4_checksum(blank(F.lit("0000"))), 2)), up)
+    return F.concat(F.lit("0" * 24 + "0800"), checked, up)
 
 
 def flow_key_text(src: Column, dst: Column, sport: Column, dport: Column, proto: Column) -> Column:

@@ -8,19 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bits import bits_to_int, int_to_bits
+from ..functions.bits import bits_to_int, int_to_bits, let
 
 
 def fill_missing_bits(bits: Column, seed: int) -> Column:
     """-1 becomes a random bit: those of a seeded hash of the place and the row's bits."""
-    row = F.array_join(F.transform(bits, lambda x: x.cast("string")), "")
-    draw = lambda i, key: F.pmod(F.xxhash64(F.lit(seed), i, key), F.lit(2)).cast("int")
-    return _let(row, lambda key: F.transform(bits, lambda b, i: F.when(b == -1, draw(i, key)).otherwise(b.cast("int"))))
+    return let(_drawing_key(bits), lambda key: F.transform(bits, lambda b, i: F.when(b == -1, _drawn(seed, i, key)).otherwise(b.cast("int"))))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+def _drawing_key(bits: Column) -> Column:
+    return F.array_join(F.transform(bits, lambda x: x.cast("string")), "")
+
+
+def _drawn(seed: int, i: Column, key: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), i, key), F.lit(2)).cast("int")
 
 
 def constant_bits(width: int, value: int) -> Column:
@@ -119,32 +120,38 @@ def tcp_options(bits: Column, seed: int) -> Column:
     option of 8 bits ends the options (in the first place it is taken for a gap instead, and no
     option of 8 bits follows). The fold runs in the JVM; null stays null.
     """
-    old = F.transform(bits, lambda b: b.cast("int"))
+    mark = F.array_join(F.transform(bits, lambda b: F.when(b == -1, "-").when(b == 1, "1").otherwise("0")), "")
     state = lambda at, left, out: F.struct(at.cast("int").alias("at"), left.alias("left"), out.alias("out"))
-    gap = missing_bits(8)
-
-    def step(s: Column, header: Column) -> Column:
-        to_gap = F.array_position(F.slice(header["old"], s["at"] + 1, OPTION_BITS), F.lit(-1)).cast("int")
-        run = F.when(to_gap == 0, OPTION_BITS - s["at"]).otherwise(to_gap - 1)
-        sizes = _let(run, lambda n: F.array_min(F.transform(s["left"], lambda x, i: F.struct(F.abs(x - n).alias("d"), i.alias("i"), x.alias("x")))))
-        chosen = F.struct(sizes["x"].alias("near"), F.get(header["old"], s["at"]).alias("first"))
-        return F.when(s["at"] >= OPTION_BITS, s).otherwise(_let(chosen, lambda c: write(s, header, c["near"], c["first"])))
-
-    def write(s: Column, header: Column, near: Column, first: Column) -> Column:
+    #: What is written in a place, by code: a gap, a no-op, an end, or an option by its size. A 2 stands for the old bit there.
+    NOP, END, OLD = 1, 2, 2
+    binary = lambda *numbers: [int(b) for x in numbers for b in f"{x:08b}"]
+    pieces = {0: [-1] * 8, NOP: binary(1), END: binary(0)} | {n: binary(*pair) + [OLD] * (n - 16) for n, pair in TCP_OPTIONS.items()}
+
+    def step(s: Column, text: Column) -> Column:
+        to_gap = F.call_function("locate", F.lit("-"), text, s["at"] + 1)
+        run = let(to_gap, lambda g: F.when(g == 0, OPTION_BITS - s["at"]).otherwise(g - 1 - s["at"]))
+        # The nearest size, the first of several: distance and place in one number.
+        place = let(run, lambda n: F.array_min(F.transform(s["left"], lambda x, i: F.abs(x - n) * len(OPTION_SIZES) + i)) % len(OPTION_SIZES))
+        near = F.get(s["left"], place)
+        return F.when(s["at"] >= OPTION_BITS, s).otherwise(let(near, lambda x: write(s, x, F.substring(text, s["at"] + 1, F.lit(1)))))
+
+    def write(s: Column, near: Column, first: Column) -> Column:
         at, left = s["at"], s["left"]
-        end = (near == 8) & (first == 0)
-        written = F.when(near == 0, gap).when(near == 8, F.when(first == 1, constant_bits(8, 1)).when(at == 0, gap).otherwise(constant_bits(8, 0)))
-        for n, (kind, length) in TCP_OPTIONS.items():
-            written = written.when(near == n, F.concat(constant_bits(8, kind), constant_bits(8, length), F.slice(header["free"], at + 17, n - 16)))
-        out = F.concat(s["out"], F.slice(written, 1, OPTION_BITS - at))
+        end = (near == 8) & (first == "0")
+        code = F.when(near == 8, F.when(first == "1", NOP).when(at == 0, 0).otherwise(END)).otherwise(near)
         stop = F.when(end & (at > 0), F.lit(OPTION_BITS)).otherwise(at + F.greatest(near, F.lit(8)))
-        kept = F.when((near == 0) | ((near == 8) & (first == 1)), left).otherwise(F.filter(left, lambda x: x != near))
-        return state(stop, kept, out)
+        kept = F.when((near == 0) | ((near == 8) & (first == "1")), left).otherwise(F.filter(left, lambda x: x != near))
+        return state(stop, kept, F.concat(s["out"], F.array(code)))
 
     begin = state(F.lit(0), F.array(*map(F.lit, OPTION_SIZES)), F.array().cast("array<int>"))
-    header = F.struct(old.alias("old"), fill_missing_bits(bits, seed).alias("free"))
-    done = _let(header, lambda h: F.aggregate(F.sequence(F.lit(1), F.lit(OPTION_BITS // 8)), begin, lambda s, _: step(s, h), lambda s: s["out"]))
-    return F.when(bits.isNotNull(), F.slice(F.concat(done, missing_bits(OPTION_BITS)), 1, OPTION_BITS))
+    text = F.rpad(mark, OPTION_BITS, "-")
+    codes = let(text, lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(OPTION_BITS // 8)), begin, lambda s, _: step(s, t), lambda s: s["out"]))
+    known = F.create_map(*[x for code, piece in pieces.items() for x in (F.lit(code), F.array(*map(F.lit, piece)))])
+    template = F.slice(F.concat(F.flatten(F.transform(codes, lambda c: known[c])), missing_bits(OPTION_BITS)), 1, OPTION_BITS)
+    filled = lambda b, i, key: F.when(F.coalesce(b, F.lit(-1)) == -1, F.when(b == -1, _drawn(seed, i, key)).otherwise(-1)).otherwise(b.cast("int"))
+    row = F.struct(bits.alias("old"), _drawing_key(bits).alias("key"))
+    snapped = let(row, lambda r: F.transform(template, lambda t, i: F.when(t == OLD, filled(F.get(r["old"], i), i, r["key"])).otherwise(t)))
+    return F.when(bits.isNotNull(), snapped)
 
 
 def address_shares(rows: DataFrame, column: str = "src_ip") -> DataFrame:
