@@ -1,11 +1,13 @@
 """Classic pcap files: a Spark data source whose tasks read file by file, and a sink.
 
-A reader is a stream over records, so a task holds one packet at a time. A file can't be split, as
-records have no marks; captures are cut into many files.
+A reader is a stream over records, so a task holds few packets at a time. A file can't be split, as
+records have no marks; the sink can cut a capture into a folder of parts, each a capture of its own,
+which the reader takes for one file again.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -73,9 +75,26 @@ def records(stream) -> Iterator[tuple[int, int, bytes, int]]:
         yield seconds * 1_000_000 + part // unit, length, data, link
 
 
+#: Rows in one batch of the reader.
+BATCH = 2000
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, file: str, first: int):
+        self.path, self.file, self.first = path, file, first
+
+
+def _parts(paths: list[str]) -> list[_Part]:
+    """Paths with the capture that they belong to and the number of their first packet, which the parts' names tell: <part>-<packets>.pcap in a folder <name>.pcap."""
+    out, seen = [], {}
+    for path in sorted(paths):
+        folder, _, name = path.rpartition("/")
+        if folder.endswith(".pcap") and (found := re.fullmatch(r"\d{8}-(\d+)\.pcap", name)):
+            out.append(_Part(path, folder, seen.get(folder, 0)))
+            seen[folder] = seen.get(folder, 0) + int(found[1])
+        else:
+            out.append(_Part(path, path, 0))
+    return out
 
 
 class _Reader(DataSourceReader):
@@ -97,15 +116,26 @@ class _Reader(DataSourceReader):
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(top, recursive=True))
         name = self.path.split("://", 1)[-1].rsplit("/", 1)[-1]
         wanted = name if "*" in name else "*.pcap"
-        return [_Part(f.path) for f in sorted(files, key=lambda f: f.path) if f.type == fs.FileType.File and (f.size or 0) > 24 and (info.type == fs.FileType.File or fnmatch.fnmatch(f.base_name, wanted))]
+        parts = _parts([f.path for f in files if f.type == fs.FileType.File and (f.size or 0) > 24])
+        return [p for p in parts if info.type == fs.FileType.File or fnmatch.fnmatch(p.file.rsplit("/", 1)[-1], wanted)]
 
     def read(self, partition):
+        import pyarrow as pa
+
         _, system, _ = self._selector()
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+        schema, rows = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in SCHEMA.split(","))]), []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         with system.open_input_stream(partition.path) as stream:
-            for n, (time, length, data, link) in enumerate(records(stream)):
+            for n, (time, length, data, link) in enumerate(records(stream), partition.first):
                 if (row := decode(data, link)) is not None:
-                    row |= {"file": partition.path, "packet": n, "time_us": time, "captured": len(data), "length": length}
-                    yield tuple(row.get(f) for f in FIELDS)
+                    row |= {"file": partition.file, "packet": n, "time_us": time, "captured": len(data), "length": length}
+                    rows.append([row.get(f) for f in FIELDS])
+                    if len(rows) == BATCH:
+                        yield batch()
+                        rows.clear()
+        if rows:
+            yield batch()
 
 
 class PcapDataSource(DataSource):
@@ -137,11 +167,20 @@ def identifiers(packets: DataFrame) -> DataFrame:
 
 
 def byte_tokens(packets: DataFrame, width: int = 128) -> DataFrame:
-    """file, text: each file's packets as ``width`` decimal bytes each, joined by the packet mark.
+    """file, text: each file's packets as ``width`` decimal bytes each, joined by the packet mark. Files with one packet or none are left out.
+
+    A file is one sequence in one row, as the format asks for; ``byte_parts`` gives those of large files in pieces.
+    """
+    packed = byte_parts(packets, width).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("p"), F.sum("packets").alias("n")).where("n > 1")
+    return packed.select("file", F.array_join(F.transform("p", lambda x: x["text"]), " <|pkt|> ").alias("text"))
+
+
+def byte_parts(packets: DataFrame, width: int = 128, size: int = 4096) -> DataFrame:
+    """file, part, packets, text: the pieces of each file's sequence, which the packet mark joins in the order of ``part``.
 
     TCP packets give their headers, UDP ones their headers and 12 bytes of payload (the payload but its
-    last byte if it is shorter). Files with one packet or none are left out. A file is one sequence, so
-    its packets meet in one row, as the format asks for.
+    last byte if it is shorter). A piece has the packets of ``size`` places in its file, so no file's
+    packets meet in one task.
     """
     from ..functions.packets import bytes_to_tokens
 
@@ -149,8 +188,8 @@ def byte_tokens(packets: DataFrame, width: int = 128) -> DataFrame:
     kept = F.when(F.col("protocol") == "UDP", F.concat("header", tail)).otherwise(F.col("header"))
     padded = F.substring(F.concat(kept, F.lit(bytes(width))), 1, width)
     rows = packets.where(F.col("protocol").isin("TCP", "UDP")).select("file", "packet", bytes_to_tokens(padded).alias("tokens"))
-    packed = rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("packet", "tokens"))).alias("p")).where(F.size("p") > 1)
-    return packed.select("file", F.array_join(F.transform("p", lambda x: x["tokens"]), " <|pkt|> ").alias("text"))
+    packed = rows.groupBy("file", F.expr(f"packet div {size}").alias("part")).agg(F.sort_array(F.collect_list(F.struct("packet", "tokens"))).alias("p"))
+    return packed.select("file", "part", F.size("p").cast("bigint").alias("packets"), F.array_join(F.transform("p", lambda x: x["tokens"]), " <|pkt|> ").alias("text"))
 
 
 def flow_hex(packets: DataFrame, n: int = 10, digits: int = 256) -> DataFrame:
@@ -162,19 +201,23 @@ def flow_hex(packets: DataFrame, n: int = 10, digits: int = 256) -> DataFrame:
     return first.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("packet", text.alias("x")))).alias("p")).select("file", F.array_join(F.transform("p", lambda x: x["x"]), "<pck>").alias("text"))
 
 
-def write(packets: DataFrame, folder: str, file: str, order: list[str], data: str, time_us: str, link: int = 1) -> DataFrame:
+def write(packets: DataFrame, folder: str, file: str, order: list[str], data: str, time_us: str, link: int = 1, cut: bool = False) -> DataFrame:
     """Writes one pcap per value of ``file`` to a shared folder; returns (path, packets) as the tasks report them.
 
-    Rows are grouped by file through a shuffle and sorted in it; a task streams them to disk.
+    Rows are grouped by file through a shuffle and sorted in it; a task streams them to disk. With
+    ``cut`` rows are dealt by ranges of file and order, so that many tasks write a large capture, each
+    a part in a folder with the capture's name.
     """
     rows = packets.select(F.col(file).alias("file"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(time_us).alias("t"), F.col(data).alias("d"))
-    rows = rows.repartition("file").sortWithinPartitions("file", *[f"o{i}" for i in range(len(order))])
+    keys = ["file", *[f"o{i}" for i in range(len(order))]]
+    rows = (rows.repartitionByRange(*keys) if cut else rows.repartition("file")).sortWithinPartitions(*keys)
 
     def run(batches):
         import uuid
 
         import pyarrow as pa
         from pyarrow import fs
+        from pyspark import TaskContext
 
         system, top = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         system.create_dir(top, recursive=True)
@@ -182,7 +225,7 @@ def write(packets: DataFrame, folder: str, file: str, order: list[str], data: st
 
         def close():
             state["out"].close()
-            system.move(state["temp"], state["path"])
+            system.move(state["temp"], f"{state['path']}/{TaskContext.get().partitionId():08d}-{state['n']}.pcap" if cut else state["path"])
             return pa.RecordBatch.from_pydict({"path": [state["path"]], "packets": pa.array([state["n"]], pa.int64())})
 
         for batch in batches:
@@ -191,7 +234,9 @@ def write(packets: DataFrame, folder: str, file: str, order: list[str], data: st
                     if state:
                         yield close()
                     path = f"{top}/{str(name).replace('/', '_')}.pcap"
-                    state = {"name": name, "path": path, "temp": f"{path}.{uuid.uuid4().hex}", "n": 0}
+                    if cut:
+                        system.create_dir(path, recursive=True)
+                    state = {"name": name, "path": path, "temp": f"{path}/{uuid.uuid4().hex}" if cut else f"{path}.{uuid.uuid4().hex}", "n": 0}
                     state["out"] = system.open_output_stream(state["temp"])
                     state["out"].write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, link))
                 if d is not None:
@@ -200,4 +245,5 @@ def write(packets: DataFrame, folder: str, file: str, order: list[str], data: st
         if state:
             yield close()
 
-    return rows.mapInArrow(run, "path string, packets bigint")
+    out = rows.mapInArrow(run, "path string, packets bigint")
+    return out.groupBy("path").agg(F.sum("packets").alias("packets")) if cut else out
