@@ -37,16 +37,22 @@ def category_shares(both: DataFrame, columns: list[str], epsilon: float = 0.0) -
     )
 
 
-def running(df: DataFrame, keys: list[str], order: str, add: str, cuts: int = 64) -> DataFrame:
+#: Rows of a key that one task sums without cutting them into ranges.
+WHOLE = 100_000
+
+
+def running(df: DataFrame, keys: list[str], order: str, add: str, cuts: int = 64, whole: int = WHOLE) -> DataFrame:
     """Running sum ``cum`` of ``add`` by ``order`` within ``keys``, and the next row's ``order`` as ``after``.
 
-    Rows of one key don't meet in one task: approximate quantiles cut the order into ranges, each
-    range is summed on its own, and the ranges' totals (``cuts`` rows a key) are summed up before
-    them. ``order`` must be unique within a key. Without keys the bounds are one row that all tasks get.
+    Rows of one key don't meet in one task: approximate quantiles cut the order of a key with more
+    than ``whole`` rows into ranges, each range is summed on its own, and the ranges' totals (``cuts``
+    rows a key) are summed up before them. Bounds of such keys, one row for ``whole`` rows at most,
+    reach all tasks, so that the rows go straight to their ranges. ``order`` must be unique within a key.
     """
     share = [k / cuts for k in range(1, cuts)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(order, share, 1000).alias("_bounds"))
-    ranged = (df.join(bounds, keys) if keys else df.join(F.broadcast(bounds))).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+    bounds = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(order, share, 1000).alias("_bounds")).where(F.col("_rows") > whole).drop("_rows")
+    ranged = df.join(F.broadcast(bounds), keys, "left") if keys else df.join(F.broadcast(bounds), how="left")
+    ranged = ranged.withColumn("_range", F.coalesce(F.when(F.col("_bounds").isNotNull(), F.size(F.filter("_bounds", lambda b: b < F.col(order)))), F.lit(0))).drop("_bounds")
     inside = Window.partitionBy(*keys, "_range").orderBy(order)
     summed = ranged.withColumn("_in", F.sum(add).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_next", F.lead(order).over(inside))
     across = Window.partitionBy(*keys).orderBy("_range")
