@@ -101,12 +101,27 @@ def missing_value_similarity(both: DataFrame, columns: list[str]) -> DataFrame:
 
 def statistic_similarity(both: DataFrame, columns: list[str], statistic: str = "mean") -> DataFrame:
     """1 less the difference of the means, medians or deviations over the real range, 0 at least."""
-    of = {"mean": F.avg, "std": F.stddev_samp, "median": lambda x: F.percentile(x, 0.5)}[statistic]
     values = long_form(both, columns, "double")
-    row = values.groupBy("field").agg(of(_side(REAL)).alias("r"), of(_side(SYNTHETIC)).alias("s"), (F.max(_side(REAL)) - F.min(_side(REAL))).alias("span"))
+    if statistic == "median":
+        values, of = _middles(values), F.avg
+    else:
+        of = {"mean": F.avg, "std": F.stddev_samp}[statistic]
+    ends = (F.col("low"), F.col("high")) if statistic == "median" else (F.col("value"), F.col("value"))
+    row = values.groupBy("field").agg(of(_side(REAL)).alias("r"), of(_side(SYNTHETIC)).alias("s"), (F.max(_side(REAL, ends[1])) - F.min(_side(REAL, ends[0]))).alias("span"))
     return row.select("field", F.when((F.col("span") > 0) & F.col("r").isNotNull() & F.col("s").isNotNull(), F.greatest(1 - F.abs(F.col("r") - F.col("s")) / F.col("span"), F.lit(0.0))).alias("score"))
 
 
+def _middles(values: DataFrame) -> DataFrame:
+    """(side, field, value, low, high): the one or two middle values, whose mean is the median, and the range, by running counts of distinct values."""
+    counts = values.where(F.col("value").isNotNull()).groupBy("side", "field", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    totals = counts.groupBy("side", "field").agg(F.sum("n").alias("all"), F.min("value").alias("low"), F.max("value").alias("high"))
+    placed = running(counts, ["side", "field"], "value", "n").join(F.broadcast(totals), ["side", "field"])  # a row for each side and column
+    before = F.col("cum") - F.col("n")
+    places = F.array(F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2))  # from 0
+    hits = F.filter(places, lambda k: (before <= k) & (k < F.col("cum")))
+    return placed.select("side", "field", "value", "low", "high", F.explode(hits).alias("_k")).drop("_k")
+
+
 # --- pairs -----------------------------------------------------------------------------------
 
 
