@@ -6,12 +6,13 @@ ceil((k + 1) L / c); every slot goes to the released block with the earliest dea
 are always feasible on one slot a time, so at any slot each source is less than one block from its
 target. Rounds repeat the same schedule as long as all sources last; when one runs out, later
 rounds share its slots among the others in proportion. As each source gives round v exactly
-clamp(n - v c, 0, c) blocks, the rounds fall into few kinds (two more for each source at most),
-each scheduled once by a fold over its slots, and every block finds its slot by arithmetic.
+clamp(n - v c, 0, c) blocks, the rounds fall into few kinds (two more for each number of blocks that
+sources have, at most), each scheduled once, and every block finds its slot by arithmetic.
 
-Where sources or slots are too many for folds, blocks are rows: block k of a source that gives c
-blocks in a round stands at time (k + f) / c of it, with phases f spread evenly over the sources with
-the same c, and slots are the ranks of these times.
+Ties in the deadline go by the sources' keys. Sources without a share of their own that lie between
+the same two named ones and give as many blocks form a class, whose blocks k share their window and
+so follow each other by key (classes of the same place go by their numbers of blocks). A fold over
+classes gives runs of slots, so it grows with the named shares and not with the sources.
 """
 
 from __future__ import annotations
@@ -32,70 +33,60 @@ def shares_of(weights: dict[str, float], slots: int = 1000) -> dict[str, int]:
     return {k: max(1, round(slots * w / total)) for k, w in weights.items()}
 
 
-#: Earliest deadline first over one round: ``shares`` are the sources' blocks in it, ``slots`` their sum.
-SCHEDULE = """
-aggregate(
-  sequence(0L, slots - 1),
-  named_struct('given', transform(shares, c -> 0L), 'out', cast(array() as array<struct<source: bigint, k: bigint>>)),
-  (acc, t) -> transform(
-    array(array_min(transform(shares, (c, i) ->
-      if(acc.given[i] < c and (acc.given[i] * slots) div c <= t,
-         named_struct('due', ((acc.given[i] + 1) * slots + c - 1) div c, 'source', cast(i as bigint)), null)))),
-    next -> named_struct(
-      'given', transform(acc.given, (g, i) -> if(i = next.source, g + 1, g)),
-      'out', concat(acc.out, array(named_struct('source', next.source, 'k', acc.given[cast(next.source as int)])))))[0],
-  acc -> acc.out)
+#: One step of earliest deadline first: the class that is next takes slots until its blocks or the time to the next release end.
+_STEP = """(acc, _) -> transform(array(named_struct(
+  'next', array_min(transform(e, (x, n) ->
+    if(acc.given[n].k < x.c and (acc.given[n].k * slots) div x.c <= acc.t, named_struct('due', ((acc.given[n].k + 1) * slots + x.c - 1) div x.c, 'n', n), null))),
+  'until', array_min(transform(e, (x, n) -> if(acc.given[n].k < x.c and (acc.given[n].k * slots) div x.c > acc.t, (acc.given[n].k * slots) div x.c, null))))),
+ s -> if(s.next is null, acc, transform(array(least(e[s.next.n].m - acc.given[s.next.n].i, coalesce(s.until, slots) - acc.t)),
+  took -> named_struct(
+   't', acc.t + took,
+   'given', transform(acc.given, (g, n) -> if(n <> s.next.n, g, if(g.i + took = e[n].m, named_struct('k', g.k + 1, 'i', 0L), named_struct('k', g.k, 'i', g.i + took)))),
+   'out', concat(acc.out, array(named_struct('place', e[s.next.n].place, 'c', e[s.next.n].c, 'k', acc.given[s.next.n].k, 'first', acc.given[s.next.n].i, 'took', took, 't', acc.t)))))[0]))[0]"""
+
+_NO_RUNS = "cast(array() as array<struct<place: bigint, c: bigint, k: bigint, first: bigint, took: bigint, t: bigint>>)"
+
+#: Runs of slots of one round of ``slots`` slots: ``e`` are its classes (place, c, m: m sources with c blocks each), ``steps`` at least
+#: the square root of the steps, which two folds share so that few long arrays are copied.
+SCHEDULE = f"""
+aggregate(sequence(1L, steps), named_struct('t', 0L, 'given', transform(e, x -> named_struct('k', 0L, 'i', 0L)), 'out', {_NO_RUNS}),
+  (all, _) -> transform(array(aggregate(sequence(1L, steps), named_struct('t', all.t, 'given', all.given, 'out', {_NO_RUNS}), {_STEP})),
+    part -> named_struct('t', part.t, 'given', part.given, 'out', concat(all.out, part.out)))[0],
+  all -> all.out)
 """
 
 
-def round_kinds(counts: DataFrame) -> DataFrame:
-    """Kinds of rounds from (key, share, blocks) of each source.
+def block_slots(sources: DataFrame) -> DataFrame:
+    """key, j, slot, full of every block from the written table (key, place, share, blocks, part) of any number of sources.
 
-    Columns: keys (sorted), all_shares, bounds (first rounds of all kinds), kind, v_from, shares, slots, base.
+    Only the kinds of rounds meet in one task and reach all of them: with B blocks there are sqrt(8 B) + 1 at most,
+    as so many sources of different lengths have more blocks.
     """
-    one = counts.agg(F.sort_array(F.collect_list(F.struct("key", "share", "blocks"))).alias("s"))
-    one = one.filter(F.size("s") > 0).select(
-        F.when((F.size("s") <= MAX_SOURCES) & (F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["share"]) <= MAX_ROUND), F.col("s"))
-        .otherwise(F.raise_error(F.lit(f"mixing takes {MAX_SOURCES} sources and {MAX_ROUND} slots a round at most")))
-        .alias("s")
-    )
-    one = one.withColumn("bounds", F.expr("array_sort(array_distinct(concat(array(0L), flatten(transform(s, x -> array(x.blocks div x.share, (x.blocks + x.share - 1) div x.share))))))"))
-    kinds = one.select("s", "bounds", F.expr("posexplode(slice(bounds, 1, size(bounds) - 1)) as (kind, v_from)"))
-    return kinds.select(
-        F.expr("transform(s, x -> x.key)").alias("keys"), F.expr("transform(s, x -> x.share)").alias("all_shares"), "bounds", "kind", "v_from",
-        F.expr("transform(s, x -> greatest(0L, least(x.share, x.blocks - v_from * x.share)))").alias("shares"),
-        F.expr("aggregate(s, 0L, (a, x) -> a + greatest(0L, least(x.share, x.blocks - v_from * x.share)))").alias("slots"),
-        F.expr("aggregate(s, 0L, (a, x) -> a + least(x.blocks, v_from * x.share))").alias("base"),
-    )
-
-
-def slots_of_many(counts: DataFrame, hex_digits: int) -> DataFrame:
-    """key, j, slot, full of every block from (key, share, blocks) of any number of sources, as a written table.
-
-    Both rankings are made in ranges behind the counts of those before; only the rounds' totals meet in one task.
-    """
-    counts = written(counts, "mixing-counts")
-    ranged = F.substring("h", 1, hex_digits)
-    rounds = counts.select("key", "share", "blocks", F.md5("key").alias("h"), F.explode(F.expr("sequence(0L, (blocks - 1) div share)")).alias("v"))
-    rounds = rounds.withColumn("c", F.least(F.col("share"), F.col("blocks") - F.col("v") * F.col("share"))).withColumn("range", ranged)
-    cells = rounds.groupBy("v", "c", "range").agg(F.count(F.lit(1)).alias("n"))
-    alike = Window.partitionBy("v", "c")
-    before = F.coalesce(F.sum("n").over(alike.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.select("v", "c", "range", before.alias("before"), F.sum("n").over(alike).alias("all"))
-    own = F.row_number().over(Window.partitionBy("v", "c", "range").orderBy("h", "key"))
-    phased = rounds.withColumn("own", own).join(cells, ["v", "c", "range"]).withColumn("phase", (F.col("before") + F.col("own") - 0.5) / F.col("all"))
-    blocks = phased.select("key", "share", "v", "c", "h", "phase", F.explode(F.expr("sequence(0L, c - 1)")).alias("k"))
-    blocks = blocks.withColumn("u", (F.col("k") + F.col("phase")) / F.col("c")).withColumn("part", F.least(F.floor(F.col("u") * 16**hex_digits), F.lit(16**hex_digits - 1)))
-
-    parts = blocks.groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = parts.groupBy("v").agg(F.sum("n").alias("n")).select("v", earlier(Window.orderBy("v")).alias("base"))  # a row for each round
-    parts = parts.select("v", "part", earlier(Window.partitionBy("v").orderBy("part")).alias("before")).join(bases, "v")
-    rank = F.row_number().over(Window.partitionBy("v", "part").orderBy("u", "h", "key"))
-    whole = F.broadcast(counts.agg(F.min(F.expr("blocks div share")).alias("whole")))  # one row
-    out = blocks.withColumn("rank", rank).join(parts, ["v", "part"]).join(whole)
-    slots = out.select("key", (F.col("v") * F.col("share") + F.col("k")).alias("j"), (F.col("base") + F.col("before") + F.col("rank") - 1).alias("slot"), (F.col("v") < F.col("whole")).alias("full"))
-    return written(slots, "mixing-slots")
+    ends = sources.select(F.explode(F.expr("array(0L, blocks div share, (blocks + share - 1) div share)")).alias("v")).distinct()
+    kinds = ends.select(F.col("v").alias("v_from"), F.lead("v").over(Window.orderBy("v")).alias("v_to")).where("v_to is not null")
+    gives = sources.join(F.broadcast(kinds), F.expr("v_from * share < blocks")).withColumn("c", F.expr("least(share, blocks - v_from * share)"))
+
+    # Members of a class are numbered in ranges of the key behind the counts of those before.
+    kind = ["v_from", "place", "c"]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    cells = gives.groupBy(*kind, "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(before(Window.partitionBy(*kind).orderBy("part"))), F.lit(0))
+    cells = cells.select(*kind, "part", "n", earlier.alias("before"))
+    classes = cells.groupBy(*kind).agg(F.sum("n").alias("m"))
+    rounds = classes.groupBy("v_from").agg(F.sort_array(F.collect_list(F.struct("place", "c", "m"))).alias("e"), F.sum(F.expr("c * m")).alias("slots"), F.sum("c").alias("batches"))
+    rounds = rounds.join(F.broadcast(kinds), "v_from").withColumn("steps", F.ceil(F.sqrt(2 * F.col("batches"))))
+    rounds = rounds.withColumn("base", F.coalesce(F.sum(F.expr("slots * (v_to - v_from)")).over(before(Window.orderBy("v_from"))), F.lit(0)))
+    runs = rounds.repartition("v_from").select("v_from", "v_to", "slots", "base", F.expr(f"inline({SCHEDULE})"))
+
+    met = runs.join(cells, kind).where("before < first + took and first < before + n")
+    own = F.row_number().over(Window.partitionBy(*kind, "part").orderBy("key")) - 1
+    members = gives.drop("v_to").withColumn("own", own)
+    at = members.join(met, [*kind, "part"]).withColumn("i", F.expr("before + own - first")).where("i >= 0 and i < took")
+    # A source with very many rounds is cut, so that its blocks are made by many tasks.
+    at = at.select("key", "share", "k", "v_from", "v_to", "slots", (F.col("base") + F.col("t") + F.col("i")).alias("at"), F.explode(F.expr("sequence(v_from, v_to - 1, 4096L)")).alias("v0"))
+    at = at.repartition("key", "k", "v0").select("*", F.explode(F.expr("sequence(v0, least(v0 + 4096, v_to) - 1)")).alias("v"))
+    whole = F.broadcast(sources.agg(F.min(F.expr("blocks div share")).alias("whole")))  # one row
+    return at.join(whole).select("key", F.expr("v * share + k").alias("j"), F.expr("at + (v - v_from) * slots").alias("slot"), F.expr("v < whole").alias("full"))
 
 
 def mix(docs: DataFrame, shares: dict[str, int], default: int = 1, block: int = 32, seed: str = "mix", hex_digits: int = 3, many: bool = False) -> DataFrame:
@@ -110,9 +101,9 @@ def mix(docs: DataFrame, shares: dict[str, int], default: int = 1, block: int =
     source is a source of its own. Within a source the order is that of md5(seed:doc_id), then
     doc_id; rows with the same doc_id, null ones included, are next to each other in any order.
     Sources need not divide into whole blocks; their last block may be short. An empty table gives
-    no rows. More than 200 sources, or rounds of over 4096 slots, are an error unless ``many``. Then
-    a source with share c in rounds of L slots is less than 1 + (d + 2) c / (2 L) blocks from its target,
-    d being the number of different shares, and no table of sources is gathered or broadcast.
+    no rows. More than 200 sources, or rounds of over 4096 slots, are an error unless ``many``, which
+    changes nothing else: the schedule is the same for any number. No table of sources is gathered or
+    broadcast; the time of a round's fold grows with the named shares' sum times their number.
 
     No source's rows meet in one task: they are numbered in 16 ** ``hex_digits`` ranges of the md5,
     whose counts are summed separately.
@@ -127,24 +118,20 @@ def mix(docs: DataFrame, shares: dict[str, int], default: int = 1, block: int =
 
     named = F.create_map(*[x for k, v in shares.items() for x in (F.lit(f"s{k}"), F.lit(int(v)).cast("bigint"))]) if shares else None
     share: Column = F.coalesce(named[F.col("key")], F.lit(default).cast("bigint")) if shares else F.lit(default).cast("bigint")
-    counts = ranges.groupBy("key").agg(F.sum("count").alias("n")).select("key", share.alias("share"), F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
+    # Places in the order of keys: odd ones of named sources, even ones of what lies between them.
+    names = sorted((f"s{k}" for k in shares), key=str.encode)
+    smaller = F.size(F.filter(F.array(*map(F.lit, names)), lambda x: x < F.col("key"))) if names else F.lit(0)
+    place = (2 * smaller + (F.col("key").isin(names).cast("int") if names else 0)).cast("bigint")
+    counts = ranges.groupBy("key").agg(F.sum("count").alias("n")).select("key", place.alias("place"), share.alias("share"), F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
+    sources = written(counts.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "mixing-sources")
+    if not many:
+        size = sources.agg(F.count(F.lit(1)).alias("sources"), F.sum("share").alias("slots")).first()
+        if size["sources"] > MAX_SOURCES or (size["slots"] or 0) > MAX_ROUND:
+            raise ValueError(f"mixing takes {MAX_SOURCES} sources and {MAX_ROUND} slots a round at most")
     in_range = Window.partitionBy("key", "range").orderBy("h", "row.doc_id")
     placed = rows.withColumn("i", F.row_number().over(in_range)).join(offsets, ["key", "range"]).withColumn("i", F.col("i") - 1 + F.col("before"))
     placed = placed.withColumn("j", F.expr(f"i div {block}"))
-    size = counts.agg(F.count(F.lit(1)).alias("sources"), F.sum("share").alias("slots")).first() if many else None
-    if size and (size["sources"] > MAX_SOURCES or (size["slots"] or 0) > MAX_ROUND):
-        placed = placed.join(slots_of_many(counts, hex_digits), ["key", "j"])
-    else:
-        kinds = round_kinds(counts)
-        # Both tables below are bounded by MAX_SOURCES and MAX_ROUND, whatever the rows.
-        sources = kinds.filter("kind = 0").select(F.expr("posexplode(arrays_zip(keys, all_shares)) as (source, x)"), "bounds").select("source", F.col("x.keys").alias("key"), F.col("x.all_shares").alias("share"), "bounds")
-        full = F.col("shares") == F.col("all_shares")
-        plan = kinds.select("kind", "v_from", "slots", "base", full.alias("full"), F.posexplode(F.expr(SCHEDULE)).alias("pos", "x"))
-        plan = plan.select("kind", "v_from", "slots", "base", "full", "pos", F.col("x.source").alias("source"), F.col("x.k").alias("k"))
-        placed = placed.join(F.broadcast(sources), "key")
-        placed = placed.withColumn("v", F.expr("j div share")).withColumn("k", F.col("j") % F.col("share")).withColumn("kind", F.expr("size(filter(bounds, b -> b <= v)) - 1"))
-        placed = placed.join(F.broadcast(plan), ["kind", "source", "k"])
-        placed = placed.withColumn("slot", F.col("base") + (F.col("v") - F.col("v_from")) * F.col("slots") + F.col("pos"))
+    placed = placed.join(block_slots(sources), ["key", "j"])
     slot = F.col("slot")
     added = {"mix_block": F.col("j"), "mix_slot": slot, "mix_position": slot * block + F.col("i") % block, "mix_on_target": F.col("full")}
     return placed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

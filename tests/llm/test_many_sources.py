@@ -2,6 +2,9 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+from test_corpus import brute_mix
+
 from fidelis.llm import mixing, queries
 
 
@@ -35,3 +38,24 @@ def test_few_sources_keep_their_schedule(docs, empty):
     rows = lambda df: Counter((r["doc_id"], r["mix_position"]) for r in df.collect())
     assert rows(mixing.mix(docs, {"s0": 5}, block=4, many=True)) == rows(mixing.mix(docs, {"s0": 5}, block=4))
     assert mixing.mix(empty, {}, many=True).collect() == []
+
+
+@pytest.mark.parametrize("sources", [190, 201, 700])
+def test_the_schedule_does_not_depend_on_the_number_of_sources(spark, sources):
+    rows = [(i, None if i % sources == 5 else f"s{i % sources if i > 400 else i % 3}") for i in range(3000)]
+    shares = {"s0": 6, "s150": 3, "s2": 2, "absent": 4}
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), shares, block=2, many=True).collect()
+    want = brute_mix(rows, shares, 1, 2, "mix")
+    assert Counter((r["doc_id"], r["mix_position"]) for r in got) == want
+
+
+def test_many_sources_with_larger_shares_are_less_than_a_block_from_their_targets(spark):
+    docs = spark.range(6000).selectExpr("id doc_id", "if(id < 3000, concat('s', id % 300), if(id < 3600, 's7', concat('s', id % 240))) source")
+    out = mixing.mix(docs, {"s7": 40}, default=3, block=1, many=True).collect()
+    assert sorted(r["mix_position"] for r in out) == list(range(6000)) == sorted(r["doc_id"] for r in out)
+    told = [r["source"] for r in sorted(out, key=lambda r: r["mix_slot"]) if r["mix_on_target"]]
+    total, given = 40 + 3 * 299, Counter()
+    assert len(told) == 3 * total
+    for t, s in enumerate(told, 1):
+        given[s] += 1
+        assert all(abs(given[x] - t * (40 if x == "s7" else 3) / total) < 1 for x in ("s7", "s0", "s150", "s299", s))
