@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 
 def train(rows: DataFrame, columns: list[str], size: int = 10, seed: int = 0, window: int = 5) -> DataFrame:
@@ -74,48 +74,104 @@ def decode(rows: DataFrame, column: str, vectors: DataFrame, kind: str, name: st
 # --- nearest words by a forest of random splits ------------------------------------------------
 
 
+#: Words of one leaf that a task compares at once; larger leaves are cut into chunks of about so many.
+LEAF_WORDS = 4096
+#: Bytes of vectors in one partition of the leaves.
+PART_BYTES = 64 << 20
+
+
 def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def _matrix(lists: pa.Array) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(lists), -1)
+
+
 def _leaves(df: DataFrame, vector: str, planes: np.ndarray, probes: int) -> DataFrame:
-    """``df`` with _tree and _leaf: one row for each tree, and ``probes`` more for the leaves behind the splits that a vector is closest to."""
+    """``df`` with _cell: one row for the leaf of each tree, and ``probes`` more for the leaves behind the splits that a vector is closest to."""
     trees, depth, _ = planes.shape
-    number = lambda v: f"{float(v)!r}D"
-    forest = F.expr("array(" + ", ".join("array(" + ", ".join("array(" + ", ".join(map(number, p)) + ")" for p in tree) + ")" for tree in planes) + ")") if depth else None
-    if forest is None:
-        return df.select("*", F.explode(F.array(*[F.lit(t) for t in range(trees)])).alias("_tree"), F.lit(0).cast("bigint").alias("_leaf"))
-    # The outer lambda holds the vector; a split's bit is the side of its plane.
-    margins = F.transform(F.array(vector), lambda x: F.transform(forest, lambda tree: F.transform(tree, lambda p: _dot(p, x))))[0]
-    rows = df.select("*", F.posexplode(margins).alias("_tree", "_m"))
-    leaf = F.aggregate("_m", F.lit(0).cast("bigint"), lambda s, v: 2 * s + F.when(v > 0, 1).otherwise(0))
-    rows = rows.withColumn("_own", leaf)
-    if not probes:
-        return rows.withColumnRenamed("_own", "_leaf").drop("_m")
-    near = F.slice(F.array_sort(F.transform("_m", lambda v, i: F.struct(F.abs(v).alias("d"), i.alias("i")))), 1, probes)
-    bits = F.transform(near, lambda k: F.expr("1L") * F.pow(F.lit(2.0), F.lit(depth - 1) - k["i"]).cast("bigint"))
-    others = F.transform(bits, lambda b: F.col("_own").bitwiseXOR(b))
-    return rows.withColumn("_leaf", F.explode(F.concat(F.array("_own"), others))).drop("_m", "_own")
-
-
-def nearest_words(rows: DataFrame, words: DataFrame, trees: int = 12, probes: int = 2, leaf: int = 64, seed: int = 0) -> DataFrame:
+    at = df.columns.index(vector)
+    powers = 1 << np.arange(depth - 1, -1, -1, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                x = _matrix(part.column(at))
+                cells = np.empty((len(x), trees, 1 + probes), np.int64)
+                for t in range(trees):
+                    margins = x @ planes[t].T
+                    own = (margins > 0) @ powers
+                    near = np.argsort(np.abs(margins), axis=1, kind="stable")[:, :probes]
+                    cells[:, t] = (t << 40) + np.column_stack([own, own[:, None] ^ powers[near]])
+                told = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * trees * (1 + probes)), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, told], [*batch.schema.names, "_cells"])
+
+    wide = df.mapInArrow(run, StructType([*df.schema.fields, StructField("_cells", ArrayType(LongType()))]))
+    return wide.select(*df.columns, F.explode("_cells").alias("_cell"))
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (cell, chunk, side, word), words first: id, word, cosine of each row's best word in its leaf, the first of equal ones."""
+    unit = lambda m: m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+    key, words, vectors = None, [], []
+    for batch in batches:
+        cell, chunk, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        x = unit(_matrix(batch.column(5))) if batch.num_rows else None
+        cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
+        ends = [0, *cuts.tolist(), batch.num_rows] if batch.num_rows else [0]
+        ids, best, cosines = [], [], []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if (cell[a], chunk[a]) != key:
+                key, words, vectors = (cell[a], chunk[a]), [], []
+            if not side[a]:
+                words.append(batch.column(4).slice(a, b - a))
+                vectors.append(x[a:b])
+            elif words:
+                if len(words) > 1:
+                    words, vectors = [pa.concat_arrays(words)], [np.concatenate(vectors)]
+                for c in range(a, b, 1000):
+                    cos = (x[c : min(b, c + 1000)] @ vectors[0].T).round(12)
+                    first = np.where(np.isnan(cos), -np.inf, cos).argmax(axis=1)
+                    ids.append(batch.column(3).slice(c, len(first)))
+                    best.append(words[0].take(pa.array(first)))
+                    cosines.append(cos[np.arange(len(first)), first])
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(best), pa.array(np.concatenate(cosines))], ["id", "word", "cosine"])
+
+
+def nearest_words(rows: DataFrame, words: DataFrame, trees: int = 12, probes: int = 2, leaf: int = 64, seed: int = 0, most: int = LEAF_WORDS) -> DataFrame:
     """id, word, cosine: for each row (id, vector) the word (word, vector) with the smallest angle among those that share a leaf with it.
 
     A forest of random hyperplane splits cuts the words into leaves of about ``leaf`` words; a row visits
-    its own leaf of each tree and those behind the ``probes`` splits that it is closest to. The shared
-    leaves are an equi-join, and the angles of what meets are exact, ties by word. So neither side is
-    gathered or broadcast. A vector without length or a null one has no word, nor has a row whose
-    leaves are empty.
+    its own leaf of each tree and those behind the ``probes`` splits that it is closest to. Rows and
+    words meet in their leaves by one shuffle and a sort, where the angles are exact, ties by word; a
+    leaf hands on the best word of each of its rows only, no pairs. Leaves with more than ``most`` words are
+    cut into chunks that each of their rows visits. So neither side is gathered or broadcast. A vector
+    without length or a null one has no word, nor has a row whose leaves are empty.
     """
-    size = lambda v: F.sqrt(_dot(F.col(v), F.col(v)))
-    unit = lambda df, key: df.select(F.col(key), F.transform("vector", lambda x: x.cast("double")).alias("_v")).where(size("_v") > 0).select(key, F.transform("_v", lambda x: x / size("_v")).alias("_v"))
-    own, known = unit(rows, "id"), unit(words, "word")
+    size = F.sqrt(_dot(F.col("_v"), F.col("_v")))
+    given = lambda df, key: df.select(F.col(key), F.transform("vector", lambda x: x.cast("double")).alias("_v")).where(size > 0)
+    own, known = given(rows, "id"), given(words, "word")
     first = known.select(F.size("_v").alias("d")).first()
     if first is None:
         return own.select("id", F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("cosine")).limit(0)
-    depth = min(40, max(0, (max(1, known.count()) // leaf).bit_length()))
+    n = known.count()
+    depth = min(40, max(0, (max(1, n) // leaf).bit_length()))
     planes = np.random.default_rng(seed).normal(size=(trees, depth, first["d"]))
-    met = _leaves(own, "_v", planes, min(probes, depth)).join(_leaves(known.withColumnRenamed("_v", "_w"), "_w", planes, 0), ["_tree", "_leaf"])
-    pairs = met.select("id", "word", _dot(F.col("_v"), F.col("_w")).alias("cosine"))
-    best = pairs.groupBy("id").agg(F.min(F.struct((-F.round("cosine", 12)).alias("c"), "word")).alias("_b"))
+    probes = min(probes, depth)
+    visits, leaves = _leaves(own, "_v", planes, probes), _leaves(known, "_v", planes, 0)
+    # Chunks of the leaves with too many words: a row for each such leaf.
+    large = F.broadcast(leaves.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_cell", F.ceil(F.col("_n") / most).alias("_chunks")))
+    chunks = F.coalesce("_chunks", F.lit(1).cast("bigint"))
+    kind = dict(own.dtypes)["id"]
+    visits = visits.join(large, "_cell", "left").select("_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), chunks - 1)).alias("_chunk"), F.lit(1).alias("_side"), "id", F.lit(None).cast("string").alias("word"), "_v")
+    leaves = leaves.join(large, "_cell", "left").select("_cell", F.pmod(F.xxhash64("word"), chunks).alias("_chunk"), F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("id"), "word", "_v")
+    vectors = (own.count() * (1 + probes) + n) * trees
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), vectors * first["d"] * 8 // PART_BYTES)
+    met = leaves.unionByName(visits).repartition(parts, "_cell", "_chunk").sortWithinPartitions("_cell", "_chunk", "_side", "word")
+    schema = StructType([own.schema["id"], StructField("word", StringType()), StructField("cosine", DoubleType())])
+    best = met.mapInArrow(_best, schema).groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "word")).alias("_b"))
     return best.select("id", F.col("_b.word").alias("word"), (-F.col("_b.c")).alias("cosine"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fidelis.functions import codecs as K
 from fidelis.functions import packets as P
+from fidelis.functions import vectors as V
 from fidelis.operators import bit_repair as R
 from fidelis.operators import columns as C
 from fidelis.operators import learned as L
@@ -95,3 +96,21 @@ def test_training_rows_are_not_joined_by_their_label(spark, monkeypatch):
     monkeypatch.setattr(type(rows), "join", lambda self, other, on=None, how=None: joined.append(how) or real(self, other, on, how))
     score = L.train_and_test(rows, rows.where("y <> 'odd'"), ["x"], ["c"], "y", "decision_tree").first()
     assert "left_semi" not in joined and score["accuracy"] == 1.0
+
+
+def test_leaves_hand_on_no_pairs(spark):
+    vector = F.array(*[F.sin(F.col("id") * k) for k in (1, 7, 29)]).alias("vector")
+    words = spark.range(400).select(F.concat(F.lit("w"), F.format_string("%03d", "id")).alias("word"), vector)
+    copies = spark.range(400, 700).select(F.concat(F.lit("w"), F.col("id")).alias("word"), F.array(*map(F.lit, (1.0, 0.0, 0.0))).alias("vector"))
+    rows = spark.range(350, 420).select(F.col("id"), vector)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = V.nearest_words(rows, words.union(copies))
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    told = {r["id"]: (r["word"], r["cosine"]) for r in got.collect()}
+    assert all(told[i] == (f"w{i}", 1.0) for i in range(350, 400)) and set(told) == set(range(350, 420))
+    cut = V.nearest_words(rows, words.union(copies), most=20)  # most leaves in chunks
+    assert {r["id"]: (r["word"], r["cosine"]) for r in cut.collect()} == told
+    assert V.nearest_words(copies.selectExpr("word id", "vector"), copies, most=20).groupBy("word", "cosine").count().collect() == [("w400", 1.0, 300)]
