@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .distances import wasserstein
 
 
@@ -28,32 +29,45 @@ def undirected_edges(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count(F.lit(1)).alias("times"))
 
 
+#: Rows that a task counts at most, about: the more edges, the more tasks.
+PART_ROWS = 500_000
+#: Tasks that share a hub's edges.
+SALTS = 16
+
+
+def _both(real: DataFrame, synthetic: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, x, y) and (a, b, x, y), written: degrees of nodes and times of undirected edges in the real and the synthetic graph, 0 where absent."""
+    tag = lambda df, x, y: df.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    rows = tag(real, 1, 0).unionByName(tag(synthetic, 0, 1))
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // PART_ROWS))
+    # Rows are spread before they are counted, so that no task's table of groups grows with the input.
+    spread = lambda df, *keys: df.repartition(parts, *keys).groupBy(*keys).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    edges = stored(spread(rows, "a", "b"), "edges")
+    ends = F.array(*[F.struct(F.col(p).alias("node"), F.pmod(F.xxhash64(q), F.lit(SALTS)).alias("salt")) for p, q in (("a", "b"), ("b", "a"))])
+    nodes = edges.select(F.inline(ends), "x", "y")
+    return stored(spread(spread(nodes, "node", "salt"), "node"), "nodes"), edges
+
+
 def compare(real: DataFrame, synthetic: DataFrame, top_k: int = 10) -> DataFrame:
     """One row: common nodes and edges with their shares of the real ones, overlap of the ``top_k`` hubs
     and edges, and the distance of the degree distributions over the real degrees' range."""
-    nr, ns = node_degrees(real), node_degrees(synthetic)
-    er, es = undirected_edges(real), undirected_edges(synthetic)
+    nodes, edges = _both(real, synthetic)
 
-    def common(a: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
-        flags = a.select(*keys, F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(*keys, F.lit(0), F.lit(1))).groupBy(*keys).agg(F.max("x").alias("x"), F.max("y").alias("y"))
-        n = F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0)).cast("bigint")
-        return flags.agg(n.alias(f"common_{name}"), F.coalesce(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum("x")), F.lit(0.0)).alias(f"{name}_rate"))
+    def common(df: DataFrame, name: str) -> DataFrame:
+        both, own = F.sum(((F.col("x") > 0) & (F.col("y") > 0)).cast("int")), F.sum((F.col("x") > 0).cast("int"))
+        return df.agg(F.coalesce(both, F.lit(0)).cast("bigint").alias(f"common_{name}"), F.coalesce(F.try_divide(both, own), F.lit(0.0)).alias(f"{name}_rate"))
 
     def top(df: DataFrame, weight: str, keys: list[str]) -> DataFrame:
-        return df.orderBy(F.desc(weight), *keys).limit(top_k).select(*keys)
-
-    def overlap(a: DataFrame, b: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return a.join(b, keys, "left_semi").agg(F.count(F.lit(1)).alias(f"common_top_{name}"))
-
-    both = nr.select(F.lit("real").alias("side"), "degree").union(ns.select(F.lit("synthetic"), "degree"))
-    distance = wasserstein(both, ["degree"]).agg(F.max("emd_of_range").alias("degree_emd"))  # one row, also for empty graphs
-    out = common(nr, ns, ["node"], "nodes")
-    for part in (
-        common(er, es, ["a", "b"], "edges"),
-        overlap(top(nr, "degree", ["node"]), top(ns, "degree", ["node"]), ["node"], "nodes"),
-        overlap(top(er, "times", ["a", "b"]), top(es, "times", ["a", "b"]), ["a", "b"], "edges"),
-        distance,
-    ):
+        return df.where(F.col(weight) > 0).orderBy(F.desc(weight), *keys).limit(top_k).select(*keys)
+
+    def overlap(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return top(df, "x", keys).join(top(df, "y", keys), keys, "left_semi").agg(F.count(F.lit(1)).alias(f"common_top_{name}"))
+
+    degrees = lambda side, x: nodes.where(F.col(x) > 0).select(F.lit(side).alias("side"), F.col(x).alias("degree"))
+    distance = wasserstein(degrees("real", "x").union(degrees("synthetic", "y")), ["degree"]).agg(F.max("emd_of_range").alias("degree_emd"))  # one row, also for empty graphs
+    out = common(nodes, "nodes")
+    for part in (common(edges, "edges"), overlap(nodes, ["node"], "nodes"), overlap(edges, ["a", "b"], "edges"), distance):
         out = out.join(F.broadcast(part))  # single rows
     return out
 

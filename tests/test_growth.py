@@ -9,6 +9,7 @@ from fidelis.functions import vectors as V
 from fidelis.operators import bit_repair as R
 from fidelis.operators import columns as C
 from fidelis.operators import learned as L
+from fidelis.operators import topology as G
 from fidelis.operators.tagged import running, tagged
 from fidelis.sources import pcap
 
@@ -114,3 +115,15 @@ def test_leaves_hand_on_no_pairs(spark):
     cut = V.nearest_words(rows, words.union(copies), most=20)  # most leaves in chunks
     assert {r["id"]: (r["word"], r["cosine"]) for r in cut.collect()} == told
     assert V.nearest_words(copies.selectExpr("word id", "vector"), copies, most=20).groupBy("word", "cosine").count().collect() == [("w400", 1.0, 300)]
+
+
+def test_more_edges_are_counted_by_more_tasks(spark, monkeypatch):
+    edges = spark.range(2000).selectExpr("if(id % 2 = 0, 'hub', concat('n', id % 50)) src", "concat('m', id % 300) dst")
+    parts, real = [], type(edges).repartition
+    monkeypatch.setattr(type(edges), "repartition", lambda self, n, *keys: parts.append(n) or real(self, n, *keys))
+    rows = [[tuple(r) for r in G.compare(edges, edges.where("dst <> 'm8'"), 3).collect()]]
+    monkeypatch.setattr(G, "PART_ROWS", 100, raising=False)
+    rows.append([tuple(r) for r in G.compare(edges, edges.where("dst <> 'm8'"), 3).collect()])
+    assert min(parts) == 4 and max(parts) == 40
+    nodes, pairs = 1 + 25 + 300, 150 + 150
+    assert rows[0] == rows[1] and rows[0][0][:4] == (nodes - 1, (nodes - 1) / nodes, pairs - 1, (pairs - 1) / pairs)
