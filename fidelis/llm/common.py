@@ -56,11 +56,13 @@ _MADE: dict[str, None] = {}
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives lost executors.
 
-    ``dropped`` deletes it when nothing reads it any more, ``clean`` all that are left.
+    ``dropped`` deletes it when nothing reads it any more, ``clean`` all that are left. Spark deletes the
+    shuffle files and broadcasts of the write once the driver's garbage is collected, so that is asked for here.
     """
     folder = shared_dir(df.sparkSession, name)
     _MADE[folder] = None
     df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(f"{folder}/table")
+    df.sparkSession._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
     out._fidelis_folder = folder
     return out

@@ -114,7 +114,6 @@ def mix(docs: DataFrame, shares: dict[str, int], default: int = 1, block: int =
     rows = rows.withColumn("range", F.substring("h", 1, hex_digits))
     ranges = rows.groupBy("key", "range").count()
     before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("key", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))  # one row for each range
 
     named = F.create_map(*[x for k, v in shares.items() for x in (F.lit(f"s{k}"), F.lit(int(v)).cast("bigint"))]) if shares else None
     share: Column = F.coalesce(named[F.col("key")], F.lit(default).cast("bigint")) if shares else F.lit(default).cast("bigint")
@@ -128,10 +127,14 @@ def mix(docs: DataFrame, shares: dict[str, int], default: int = 1, block: int =
         size = sources.agg(F.count(F.lit(1)).alias("sources"), F.sum("share").alias("slots")).first()
         if size["sources"] > MAX_SOURCES or (size["slots"] or 0) > MAX_ROUND:
             raise ValueError(f"mixing takes {MAX_SOURCES} sources and {MAX_ROUND} slots a round at most")
+    # Each range has the slots of its blocks in one array (a count / ``block`` of entries), so that whole rows move once, to their ranges.
+    ends = ranges.select("key", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.col("count").alias("n"))
+    cells = ends.select("key", "range", "before", F.explode(F.expr(f"sequence(before div {block}, (before + n - 1) div {block})")).alias("j"))
+    cells = cells.join(block_slots(sources), ["key", "j"]).groupBy("key", "range").agg(F.min("before").alias("before"), F.sort_array(F.collect_list(F.struct("j", "slot", "full"))).alias("slots"))
     in_range = Window.partitionBy("key", "range").orderBy("h", "row.doc_id")
-    placed = rows.withColumn("i", F.row_number().over(in_range)).join(offsets, ["key", "range"]).withColumn("i", F.col("i") - 1 + F.col("before"))
+    placed = rows.withColumn("i", F.row_number().over(in_range)).join(cells, ["key", "range"]).withColumn("i", F.col("i") - 1 + F.col("before"))
     placed = placed.withColumn("j", F.expr(f"i div {block}"))
-    placed = placed.join(block_slots(sources), ["key", "j"])
-    slot = F.col("slot")
-    added = {"mix_block": F.col("j"), "mix_slot": slot, "mix_position": slot * block + F.col("i") % block, "mix_on_target": F.col("full")}
+    own = F.get("slots", (F.col("j") - F.expr(f"before div {block}")).cast("int"))
+    slot = own["slot"]
+    added = {"mix_block": F.col("j"), "mix_slot": slot, "mix_position": slot * block + F.col("i") % block, "mix_on_target": own["full"]}
     return placed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -1,5 +1,6 @@
 """Mixing more sources than one fold takes."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -59,3 +60,14 @@ def test_many_sources_with_larger_shares_are_less_than_a_block_from_their_target
     for t, s in enumerate(told, 1):
         given[s] += 1
         assert all(abs(given[x] - t * (40 if x == "s7" else 3) / total) < 1 for x in ("s7", "s0", "s150", "s299", s))
+
+
+def test_whole_rows_move_once(spark):
+    docs = spark.range(500).selectExpr("id doc_id", "repeat('x', 9) text", "concat('s', id % 3) source")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = mixing.mix(docs, {"s0": 5}, block=4)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"\) Exchange\nInput \[\d+\]: \[[^\]]*row#", plan)) == 1
