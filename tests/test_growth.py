@@ -127,3 +127,14 @@ def test_more_edges_are_counted_by_more_tasks(spark, monkeypatch):
     assert min(parts) == 4 and max(parts) == 40
     nodes, pairs = 1 + 25 + 300, 150 + 150
     assert rows[0] == rows[1] and rows[0][0][:4] == (nodes - 1, (nodes - 1) / nodes, pairs - 1, (pairs - 1) / pairs)
+
+
+def test_more_rows_are_detected_by_more_tasks(spark, monkeypatch):
+    rows = spark.range(800).selectExpr("id", "cast(id * 37 % 101 + if(id % 2 = 0, 9, 0) as double) x", "if(id % 3 = 0, 'p', 'q') c").coalesce(1)
+    parts, real = [], type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, n, *keys: parts.append(n) or real(self, n, *keys))
+    score = lambda: L.detection(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["x"], ["c"], folds=2).first()["score"]
+    few = score()
+    monkeypatch.setattr(L, "PART_ROWS", 50, raising=False)
+    assert abs(score() - few) < 1e-6 and 0 < few < 1 and parts == [1, 16]
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
