@@ -16,22 +16,26 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .common import Memo, crc32, file_system, kept, map_texts, prepare, shared_dir, strings, text_groups, written
+from .common import Memo, crc32, file_system, kept, map_texts, prepare, shared_dir, text_groups, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE, INDEX_FRAME, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 0x80
 FRAME_BYTES, SHARD_BYTES = 1 << 20, 256 << 20
 #: A shard ends after so many documents, too: its index is held in memory.
 SHARD_DOCS = 250_000
+#: Words of a text whose ids are gathered at once.
+STEP = 1 << 20
 #: Marks that form one pre-token behind letters. The apostrophe isn't one: contractions begin with it.
 MARKS = ".,;:!?*#$%&|<>=+-_/()[]{}@~"
 #: Documents of a shard, in order: id, 1 if the id is null, frame, bytes before it in the frame, tokens.
@@ -134,31 +138,87 @@ class Encoder:
         for a in range(0, len(words), 2000):
             found = list(map(self.tokenizer.model.tokenize, words[a : a + 2000]))
             ends = [0, *accumulate(map(len, found))]
-            ids = np.fromiter((t.id for t in chain.from_iterable(found)), "<u4", ends[-1]).tobytes()
+            ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), "<u4", ends[-1]).tobytes()
             yield from (ids[4 * x : 4 * y] for x, y in pairwise(ends))
 
     def learn(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks. Letters behind a space are one pre-token, marks behind them another: these go straight
-        to the library's model in that model's byte symbols. Other chunks take the whole way through the library."""
-        out, words, at, tails, others, marks = [b""] * len(chunks), [], [], [], [], {"": b""}
-        for i, c in enumerate(chunks):
-            letters = c.rstrip(MARKS)
-            if letters.isalpha() and not isinstance(c, byte_bpe.Inner):
-                words.append(self.space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.symbols)))
-                at.append(i)
-                tails.append(c[len(letters) :])
-            else:
-                others.append(i)
-        new = [x for x in set(tails) if x]
-        marks |= zip(new, self.pieces(new), strict=True)
-        for i, ids, tail in zip(at, self.pieces(words), tails, strict=True):
-            out[i] = ids + marks[tail] if tail else ids
+        """Ids of chunks. Letters behind a space are one pre-token: these go straight to the library's model in that
+        model's byte symbols. Other chunks take the whole way through the library."""
+        out = [b""] * len(chunks)
+        plain = [c.isalpha() and not isinstance(c, byte_bpe.Inner) for c in chunks]
+        at, others = [i for i, x in enumerate(plain) if x], [i for i, x in enumerate(plain) if not x]
+        words = [self.space + (c if c.isascii() else c.encode().decode("latin-1").translate(self.symbols)) for c in map(chunks.__getitem__, at)]
+        for i, ids in zip(at, self.pieces(words), strict=True):
+            out[i] = ids
         found = self.tokenizer.encode_batch_fast([byte_bpe.spelled(chunks[i]) for i in others], add_special_tokens=False)
         for i, e in zip(others, found, strict=True):
             out[i] = array("I", e.ids).tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids of texts. Where single spaces end pre-tokens, each different word of all these texts is looked up once."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        counts = np.diff(split.offsets.to_numpy())
+        coded = split.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        del split, coded
+        keys = [w.rstrip(MARKS) for w in words]
+        others = [i for i, k in enumerate(keys) if not k.isalpha()]
+        for i in others:
+            keys[i] = words[i]
+        uneven = self.uneven(words, others, codes, counts)
+        for m in self.ids:
+            uneven |= pc.match_substring(texts, m).to_numpy(zero_copy_only=False)
+        if uneven.any():
+            used, codes = np.unique(codes[~np.repeat(uneven, counts)], return_inverse=True)
+            words, keys, counts = [words[i] for i in used.tolist()], [keys[i] for i in used.tolist()], counts[~uneven]
+        even = iter(self.joined(words, keys, codes, counts))
+        rest = iter(self.sections(texts.filter(pa.array(uneven)).to_pylist()))
+        return [next(rest if u else even) for u in uneven.tolist()]
+
+    def uneven(self, words: list[str], others: list[int], codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether a text has white space beside a space or of a wide kind. Only the words numbered ``others`` may have some."""
+        flags = np.zeros(len(words), np.uint8)  # 1: unless it is the first of its text, 2: unless the last, 4: anywhere
+        for i in others:
+            w = words[i]
+            flags[i] = 4 * (not w or not w.isascii() and byte_bpe.OTHER_WIDE.search(w) is not None) + 2 * (w[-1:] in byte_bpe.OTHER_ASCII) + (w[:1] in byte_bpe.OTHER_ASCII)
+        if not flags.any():
+            return np.zeros(len(counts), bool)
+        seen, ends = flags[codes], np.cumsum(counts)
+        seen[ends - counts] &= 6
+        seen[ends - 1] &= 5
+        return np.logical_or.reduceat(seen != 0, ends - counts)
+
+    def joined(self, words: list[str], keys: list[str], codes: np.ndarray, counts: np.ndarray) -> Iterator[bytes]:
+        """Ids of texts of ``counts`` words each, given by their numbers in ``words``. ``keys`` are the words without
+        the marks behind their letters: those are a pre-token of their own. No space stands before a text's first word."""
+        tails = [w[len(k) :] if w is not k else "" for w, k in zip(words, keys, strict=True)]
+        ends = np.cumsum(counts)
+        first, place = np.unique(codes[ends - counts], return_inverse=True)
+        heads, marks = [byte_bpe.Inner(words[i]) for i in first.tolist()], {t: byte_bpe.Inner(t) for t in set(tails) if t}
+        known = self.memo.need([keys, heads, list(marks.values())])
+        marks = {t: known[x] for t, x in marks.items()}
+        ids = [known[k] + marks[t] if t else known[k] for k, t in zip(keys, tails, strict=True)] + [known[h] for h in heads]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begins = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        codes = codes.copy()
+        codes[ends - counts] = len(words) + place
+        del words, keys, tails, ids
+        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            yield b"".join(self.gathered(flat, begins, sizes, codes[x : min(x + STEP, b)]) for x in range(a, b, STEP))
+
+    @staticmethod
+    def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> bytes:
+        """The pieces of ``flat`` that ``codes`` name, one after the other."""
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        return flat[np.repeat(begins[codes] - ends + n, n) + np.arange(ends[-1])].tobytes()
+
+    def sections(self, texts: list[str]) -> list[bytes]:
+        """Ids of any texts, cut at special strings and then at pre-tokens."""
         found = [self.special.findall(t) if any(m in t for m in self.ids) else [] for t in texts]
         parts = [[byte_bpe.chunks(s) for s in self.special.split(t)] if f else byte_bpe.chunks(t) for t, f in zip(texts, found, strict=True)]
         known = self.memo.need([c for p, f in zip(parts, found, strict=True) for c in (p if f else [p])])
@@ -189,7 +249,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
 
         for batch in batches:
             for a, b in text_groups(batch.column(1)):
-                ids = encoder.encode(strings(batch.column(1).slice(a, b - a)))
+                ids = encoder.encode(pc.fill_null(batch.column(1).slice(a, b - a), ""))
                 for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), ids, strict=True):
                     writer = writer or ShardWriter(folder)
                     writer.add(doc_id, x + end)

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from hypothesis import given, settings
@@ -105,6 +106,26 @@ def test_shards_round_trip(docs, rows, tokenizer, empty):
     assert token_output.token_output(empty).collect() == []
 
 
+def test_marks_behind_a_word_are_not_learned_with_it(tokenizer):
+    encoder, learned = token_output.Encoder(JSON), []
+    learn = encoder.memo.learn
+    encoder.memo.learn = lambda chunks: learned.extend(chunks) or learn(chunks)
+    words = [f"wörd{'abcdefgh'[i]}ing" for i in range(8)]
+    texts = [" ".join(w + m * 3 for w in words) for m in token_output.MARKS]
+    assert encoder.encode(texts) == [struct.pack(f"<{len(ids)}I", *ids) for ids in (ids_of(tokenizer, t) for t in texts)]
+    assert len(learned) <= len(words) + 2 * len(token_output.MARKS)  # words, marks, first words of texts
+
+
+def test_texts_of_one_call_take_their_own_way(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_output, "STEP", 2)
+    encoder = token_output.Encoder(JSON)
+    plain = ["one two, three!! don't x1 -- &&& café's", "word", "word,", ", word", "ends here\n", "\nbegins so", "in\nside a\tb c\r\nd", "日本 語。 two"]
+    odd = ["", " ", "  ", " one", "one ", "a  b", "a \n b", "a\n b", "a \tb", "wide\u3000space x", "\u3000", "x\xa0", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "two  <|endoftext|>\n"]
+    for texts in ([t for pair in zip(plain, odd) for t in pair] + odd, plain, odd, odd[:1], []):  # noqa: B905 (the rest of odd follows)
+        for given in (texts, pa.array(["cut", *texts], pa.string()).slice(1), pa.array(texts, pa.large_string())):
+            assert encoder.encode(given) == [struct.pack(f"<{len(ids)}I", *ids) for ids in (ids_of(tokenizer, t) for t in texts)]
+
+
 def test_a_reader_decompresses_only_what_it_needs(tmp_path):
     writer = token_output.ShardWriter(f"file://{tmp_path}")
     for i in range(40):
