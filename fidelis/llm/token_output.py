@@ -34,6 +34,8 @@ SKIPPABLE, INDEX_FRAME, SEEK_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A5D, 0x8F92EA
 FRAME_BYTES, SHARD_BYTES = 1 << 20, 256 << 20
 #: A shard ends after so many documents, too: its index is held in memory.
 SHARD_DOCS = 250_000
+#: Bytes and rows of texts whose words are looked up together: the more, the fewer words are looked up again.
+LOOKED_UP, LOOKED_UP_ROWS = 12 << 20, 20_000
 #: Words of a text whose ids are gathered at once.
 STEP = 1 << 20
 #: Marks that form one pre-token behind letters. The apostrophe isn't one: contractions begin with it.
@@ -226,6 +228,20 @@ class Encoder:
         return [b"".join([b"".join(map(get, c)) + m for c, m in zip(p, [self.ids[x] for x in f] + [b""], strict=True)]) if f else b"".join(map(get, p)) for p, f in zip(parts, found, strict=True)]
 
 
+def larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, within ``LOOKED_UP`` and ``LOOKED_UP_ROWS`` unless one of the given ones has more."""
+    held: list[pa.RecordBatch] = []
+    n_bytes = n_rows = 0
+    for batch in batches:
+        n_bytes, n_rows = n_bytes + batch.nbytes, n_rows + batch.num_rows
+        if held and (n_bytes > LOOKED_UP or n_rows > LOOKED_UP_ROWS):
+            yield pa.concat_batches(held)
+            held, n_bytes, n_rows = [], batch.nbytes, batch.num_rows
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFrame:
     """Writes shards of ``docs`` in ascending doc_id order (nulls first) to ``folder``.
 
@@ -247,8 +263,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int) ->
             name, n_docs, n_ids = writer.close()
             return pa.RecordBatch.from_pydict({"shard": [name], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": [n_docs], "n_ids": [n_ids]})
 
-        for batch in batches:
-            for a, b in text_groups(batch.column(1)):
+        for batch in larger(batches):
+            for a, b in text_groups(batch.column(1), LOOKED_UP):
                 ids = encoder.encode(pc.fill_null(batch.column(1).slice(a, b - a), ""))
                 for doc_id, x in zip(batch.column(0).slice(a, b - a).to_pylist(), ids, strict=True):
                     writer = writer or ShardWriter(folder)

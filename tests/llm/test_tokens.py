@@ -126,6 +126,17 @@ def test_texts_of_one_call_take_their_own_way(tokenizer, monkeypatch):
             assert encoder.encode(given) == [struct.pack(f"<{len(ids)}I", *ids) for ids in (ids_of(tokenizer, t) for t in texts)]
 
 
+def test_batches_are_joined_within_bounds(monkeypatch):
+    monkeypatch.setattr(token_output, "LOOKED_UP", 4000)
+    monkeypatch.setattr(token_output, "LOOKED_UP_ROWS", 30)
+    sizes = [(3, 10)] * 30 + [(1, 9000)] + [(10, 1)] * 7 + [(2, 700)] * 9
+    given = [pa.RecordBatch.from_pydict({"doc_id": [k] * n, "text": ["x" * m] * n}) for k, (n, m) in enumerate(sizes)]
+    got = list(token_output.larger(iter(given)))
+    assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches(given).to_pydict()
+    assert all(b.num_rows <= 30 and (b.nbytes <= 4000 or b.num_rows == 1) for b in got) and len(got) < 14
+    assert list(token_output.larger(iter([]))) == []
+
+
 def test_a_reader_decompresses_only_what_it_needs(tmp_path):
     writer = token_output.ShardWriter(f"file://{tmp_path}")
     for i in range(40):
