@@ -1,5 +1,6 @@
 """Steps whose work or memory in one task once grew faster than the input."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from fidelis.functions import vectors as V
 from fidelis.operators import bit_repair as R
 from fidelis.operators import columns as C
 from fidelis.operators import learned as L
+from fidelis.operators import membership as M
 from fidelis.operators import topology as G
 from fidelis.operators.tagged import running, tagged
 from fidelis.sources import pcap
@@ -138,3 +140,61 @@ def test_more_rows_are_detected_by_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(L, "PART_ROWS", 50, raising=False)
     assert abs(score() - few) < 1e-6 and 0 < few < 1 and parts == [1, 16]
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """4,000 rows in two copies: a number with gaps and ties, a number mostly equal, frequent and rare categories with gaps."""
+    one = spark.range(4000).selectExpr(
+        "id", "if(id % 11 = 0, null, cast(id * 7919 % 1009 as double) + if(id % 2 = 0, 90, 0)) x", "cast(if(id % 5 = 0, id % 2 + 1, 0) as double) y", "if(id % 7 = 0, null, element_at(array('p', 'q', 'r'), cast(1 + id * 31 % 3 as int))) c"
+    )
+    return one.unionAll(one)
+
+
+def test_detection_counts_equal_rows_once_and_is_exact(spark, mixed, monkeypatch):
+    kept, real = [], type(mixed).persist
+    monkeypatch.setattr(type(mixed), "persist", lambda self, *how: kept.append(self) or real(self, *how))
+    score = L.detection(mixed.where("id % 2 = 0"), mixed.where("id % 2 = 1"), ["x", "y"], ["c"], folds=2).first()["score"]
+    assert kept[0].count() <= 4000 and kept[0].agg(F.sum("_rows")).first()[0] == 8000
+    label = F.lit(1.0) - F.col("id") % 2
+    rows = mixed.select(label.alias("label"), "x", "y", "c").withColumn("fold", F.pmod(F.xxhash64(F.lit(0), "label", "x", "y", "c"), F.lit(2))).collect()
+    aucs = []
+    for k in (0, 1):
+        train, test = [r for r in rows if r["fold"] != k], [r for r in rows if r["fold"] == k]
+        mean = np.mean([r["x"] for r in train if r["x"] is not None])
+        at = lambda told: np.array([[1.0, ((r["x"] if r["x"] is not None else mean) - mean) / 300, *[float(r["c"] == v) for v in "pqr"]] for r in told])  # noqa: B023, E731
+        x, y, b = at(train), np.array([r["label"] for r in train]), np.zeros(5)
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-x @ b))
+            b = b + np.linalg.lstsq((x * (p * (1 - p))[:, None]).T @ x, x.T @ (y - p), rcond=1e-10)[0]
+        said, y = np.round(at(test) @ b, 12), np.array([r["label"] for r in test])
+        wins = (said[y == 1][:, None] > said[y == 0]).mean() + (said[y == 1][:, None] == said[y == 0]).mean() / 2
+        aucs.append(max(0.5, wins))
+    assert abs(score - (1 - np.mean([2 * a - 1 for a in aucs]))) < 2e-6 and score < 0.95
+
+
+@pytest.mark.parametrize("scaled", [True, False])
+def test_counted_rows_give_the_columns_of_the_pipeline(mixed, scaled):
+    rows = mixed.select((F.col("id") % 2 == 0).cast("tinyint").alias("label"), F.pmod("id", F.lit(3)).cast("int").alias("fold"), "x", "y", "c")
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    for k, (both, columns) in enumerate(L._prepared(counted, ["x", "y"], ["c"], 3, scaled)):
+        train = rows.where(F.col("fold") != k)
+        fitted = L.Pipeline(stages=L.features(["x", "y"], ["c"])).fit(train)
+        told = fitted.transform(counted).select(L.vector_to_array("features").alias("v"), F.array(*[F.lit(0.0) if c is None else c for c in columns]).alias("w")).collect()
+        v, w = np.array([r["v"] for r in told]), np.array([r["w"] for r in told])
+        if scaled:
+            assert v.shape == w.shape and np.allclose(v, w, rtol=5e-3)  # quartiles of the pipeline are approximate
+        else:
+            used = [i for i in range(v.shape[1]) if v[:, i].any()]
+            assert used == [i for i, c in enumerate(columns) if c is not None]
+            assert all(np.ptp(w[:, i]) > 0 and abs(np.corrcoef(v[:, i], w[:, i])[0, 1] - 1) < 1e-9 for i in used)
+        assert both and columns[1] is None  # most of y is 0
+
+
+def test_the_auc_of_counted_rows_is_that_of_all_rows(spark):
+    rows = spark.range(3000).selectExpr("id % 2 label", "cast(id * 37 % 211 + id % 2 as double) score", "1 + id % 4 n")
+    each = rows.selectExpr("label", "score", "explode(sequence(1, n)) i")
+    exact = M.membership_auc(each, "label", "score").first()["auc"]
+    assert abs(M.counted_auc(rows, "label", "score", "n") - exact) < 1e-12 and abs(M.counted_auc(rows, "label", "score", "n", 5) - exact) < 1e-12
+    assert M.counted_auc(rows.where("label = 1"), "label", "score", "n") is None and M.counted_auc(rows.where("false"), "label", "score", "n") is None
+    assert L._repeated(rows.withColumnRenamed("n", "_rows"), 3).count() == each.count()
