@@ -198,3 +198,14 @@ def test_the_auc_of_counted_rows_is_that_of_all_rows(spark):
     assert abs(M.counted_auc(rows, "label", "score", "n") - exact) < 1e-12 and abs(M.counted_auc(rows, "label", "score", "n", 5) - exact) < 1e-12
     assert M.counted_auc(rows.where("label = 1"), "label", "score", "n") is None and M.counted_auc(rows.where("false"), "label", "score", "n") is None
     assert L._repeated(rows.withColumnRenamed("n", "_rows"), 3).count() == each.count()
+
+
+def test_a_kernel_machine_sees_equal_rows_once(spark, monkeypatch):
+    one = spark.range(240).selectExpr("id", "cos(id) * if(id % 2 = 0, 1, 3) x", "sin(id) * if(id % 2 = 0, 1, 3) y")
+    rows = one.unionAll(one).unionAll(one).coalesce(1)
+    kept, real = [], type(rows).persist
+    monkeypatch.setattr(type(rows), "persist", lambda self, *how: kept.append(self) or real(self, *how))
+    assert L.detection(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["x", "y"], [], "svc", folds=2).first()["score"] < 0.2
+    scored = [k for k in kept if "score" in k.columns]
+    assert len(scored) == 2 and sum(k.count() for k in scored) == 240  # the waves of a row are computed once for both passes over its score
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
